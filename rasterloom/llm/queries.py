@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_bpe, op2_frames, op9_decontaminate
+from . import op1_bpe, op2_frames, op4_suffix, op9_decontaminate
 from .common import table
 
 
@@ -19,16 +19,35 @@ def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_frames.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_transducer, op2_token_frames, op9_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_transducer, op2_token_frames, op4_suffix_dedup, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9}
+    return {"op4_suffix_dedup": OP4, "op9_decontamination": OP9}
+
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, p, substring(h, 2 * p - 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS p FROM d WHERE length(h) >= 100)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS m FROM s) WHERE m < doc_id),
+e AS (SELECT doc_id, p, p + 49 AS q, CASE WHEN p > 50 + lag(p) OVER w OR lag(p) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT doc_id, k, min(p) AS a, max(q) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM e) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM g UNION ALL SELECT doc_id, max(b), NULL FROM g GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * x + 1, CASE WHEN y IS NULL THEN length(h) ELSE 2 * (y - 1 - x) END), '' ORDER BY x) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans FROM g GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n.doc_id IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
 
 
 OP9 = r"""
