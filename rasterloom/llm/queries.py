@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_bpe, op2_frames, op4_suffix, op9_decontaminate
+from . import op1_bpe, op2_frames, op4_suffix, op7_minhash, op9_decontaminate
 from .common import table
 
 
@@ -23,16 +23,33 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_suffix.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, share=80)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_transducer, op2_token_frames, op4_suffix_dedup, op9_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_transducer, op2_token_frames, op4_suffix_dedup, op7_near_duplicates, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_dedup": OP4, "op9_decontamination": OP9}
+    return {"op4_suffix_dedup": OP4, "op7_near_duplicates": OP7, "op9_decontamination": OP9}
+
+
+OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT doc_id, w, least(4, len(w)) AS n FROM d WHERE len(w) > 0))),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM i JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * k >= 80 * (cx.n + cy.n - k)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.doc_id WHERE r.root < u.y)
+SELECT d.doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(root) AS component_id, d.doc_id = min(root) AS kept
+FROM d JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+"""
 
 
 OP4 = r"""
