@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_bpe, op2_frames, op4_suffix, op7_minhash, op9_decontaminate
+from . import op1_bpe, op2_frames, op3_warc, op4_suffix, op6_language, op7_minhash, op9_decontaminate
 from .common import table
 
 
@@ -19,10 +19,18 @@ def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_frames.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_suffix.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, share=80)
 
@@ -32,12 +40,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_transducer, op2_token_frames, op4_suffix_dedup, op7_near_duplicates, op9_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_transducer, op2_token_frames, op3_warc_archive, op4_suffix_dedup, op6_language_centroids, op7_near_duplicates, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_dedup": OP4, "op7_near_duplicates": OP7, "op9_decontamination": OP9}
+    return {"op3_warc_archive": OP3, "op4_suffix_dedup": OP4, "op7_near_duplicates": OP7, "op9_decontamination": OP9}
+
 
+OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest, min(page_id) OVER (PARTITION BY b) AS f FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND f < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND f < page_id THEN f END AS refers_to
+FROM q
+"""
 
 OP7 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
