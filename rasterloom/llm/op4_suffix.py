@@ -507,3 +507,31 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         return doc_id, [{"start": int(a), "end": int(b)} for a, b in edges], kept_bytes(text, gone)
 
     return duplicate_spans(docs, finish, "doc_id long, spans array<struct<start:long,end:long>>, kept binary", length, id_col, text_col)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut from the texts; all columns are kept, null texts stay null.
+
+    A cut that would split a character keeps the character's bytes. ``n_chars``, where it is a column, follows the text.
+    Repeated rows stay as many as they were.
+    """
+
+    def finish(doc_id: int, text: bytes, gone: np.ndarray) -> tuple:
+        digest = hashlib.sha256(text).digest()
+        return (doc_id, digest, whole_characters(text, gone).decode("utf-8")) if gone.any() else (doc_id, digest, None)
+
+    cuts = duplicate_spans(docs, finish, "_id long, _digest binary, _kept string", length, id_col, text_col)
+    cuts = cuts.where("_kept IS NOT NULL").dropDuplicates(["_id", "_digest"])
+    own = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)))
+    both = own.join(cuts, (own[id_col].cast("long") == cuts["_id"]) & (own["_own"] == cuts["_digest"]), "left")
+    text = F.coalesce(F.col("_kept"), F.col(text_col))
+    out = [text.alias(c) if c == text_col else F.length(text).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    return both.select(*out)
+
+
+def whole_characters(text: bytes, gone: np.ndarray) -> bytes:
+    """What stays of a text, with characters that a cut would split kept whole."""
+    data = np.frombuffer(text, np.uint8)
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(start, len(data)))
+    return data[~np.repeat(np.logical_and.reduceat(gone, start), size)].tobytes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_bpe, op2_frames, op3_warc, op4_suffix, op6_language, op7_minhash, op9_decontaminate
+from . import op1_bpe, op10_media, op2_frames, op3_warc, op4_suffix, op5_html, op6_language, op7_minhash, op8_quality, op9_decontaminate
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_suffix.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_language.identify(table(spark, sf_dir, "documents"))
 
@@ -35,12 +39,20 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, share=80)
 
 
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_transducer, op2_token_frames, op3_warc_archive, op4_suffix_dedup, op6_language_centroids, op7_near_duplicates, op9_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_transducer, op2_token_frames, op3_warc_archive, op4_suffix_dedup, op5_tag_paths, op6_language_centroids, op7_near_duplicates, op8_weak_quality, op9_decontamination, op10_media_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
