@@ -1,9 +1,14 @@
 """Registered queries of the raster engine and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import pixel, scene, words  # noqa: F401 - importing registers
+from .registry import QUERIES, SQL, Query
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -1,0 +1,20 @@
+"""Incremental scene analysis. An extension: batches of new pixels are analysed as they arrive."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def analyse_stream(spark: SparkSession, pixels: str, schema: str, analyse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+    """Every file that appears under ``pixels`` holds whole scenes; each micro-batch's results are appended to ``out``.
+
+    Results carry the batch number, so a batch that runs again replaces its own folder and nothing counts twice.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        analyse(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = spark.readStream.schema(schema).parquet(pixels)
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
