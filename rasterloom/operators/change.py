@@ -52,7 +52,7 @@ def find_regions(pixels: DataFrame, scenes: DataFrame, label=components.grouped)
 
 def analyse(pairs: DataFrame, query: str = "", detector: str = "lab", label=components.grouped) -> DataFrame:
     """One row per scene pair: percentage, ranked regions, confidence, evidence, narrative and trace."""
-    pixels, scenes = DETECTORS[detector](pairs)
+    pixels, scenes = (components.settled(x) for x in DETECTORS[detector](pairs))
     found = find_regions(pixels, scenes, label)
     out = regions.collected(scenes, found, regions.region_struct())
     percent = F.round(F.col("fraction") * 100.0, 2)

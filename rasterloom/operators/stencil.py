@@ -24,18 +24,22 @@ def along(pixels: DataFrame, value: str, line: str, place: str, filtered) -> Dat
 
 def convolved(values: Column, taps: list[float]) -> Column:
     """Half-sample symmetric borders: the index bounces at both ends, however short the line is."""
-    radius, n = len(taps) // 2, F.size(values)
-    pairs = F.array(*[F.struct(F.lit(d - radius).alias("d"), F.lit(t).alias("t")) for d, t in enumerate(taps)])
+    radius = len(taps) // 2
 
-    def at(i: Column) -> Column:
-        def add(total: Column, p: Column) -> Column:
-            turn = F.pmod(i + p["d"], 2 * n)
-            j = F.when(turn < n, turn).otherwise(2 * n - 1 - turn)
-            return total + p["t"] * F.element_at(values, (j + 1).cast("int"))
+    def line(a: Column) -> Column:
+        n = F.size(a)
 
-        return F.aggregate(pairs, F.lit(0.0), add)
+        def at(v: Column, i: Column) -> Column:
+            total = F.lit(taps[radius]) * v
+            for d in range(1, radius + 1):
+                for turn in (F.pmod(i - d, 2 * n), F.pmod(i + d, 2 * n)):
+                    total = total + F.lit(taps[radius + d]) * F.element_at(a, F.when(turn < n, turn + 1).otherwise(2 * n - turn).cast("int"))
+            return total
 
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+        return F.transform(a, at)
+
+    # An array of one line binds the line to a variable, so that it is made once and not once per element.
+    return F.transform(F.array(values), line)[0]
 
 
 def gaussian(pixels: DataFrame, value: str, sigma: float = 2.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import radar, spectral
-from ..operators import change, fusion, regions, stats
+from ..operators import change, components, fusion, regions, stats
 from ..sources import synth
 from .pixel import COMPONENTS, DB, DELTA, GAUSS, GRAD, INDEX
 from .registry import SCENES, SIX, TILES, r6, register
@@ -74,7 +74,8 @@ mk AS (SELECT i.*, edges, t_ndwi, t_vv, t_vh, t_db, ndwi >= t_ndwi AND b08 <= 0.
 
 def _masks(spark, d):
     p = fusion.prepared(synth.scenes(spark, d).select("scene_id", "y", "x", "b02", "b03", "b04", "b08", "vv_raw", "vh_raw"))
-    return p, fusion.scene_scalars(p)
+    p = components.settled(p)  # read by every scalar and by the masks
+    return p, components.settled(fusion.scene_scalars(p))
 
 
 @register("p2_thresholds", f"WITH {FUSED} SELECT scene_id, t_ndwi, t_vv, t_vh, t_db FROM th")
@@ -125,8 +126,6 @@ SUMMARY = "count(*)::BIGINT AS area, min(x)::INT AS bx, min(y)::INT AS by_, (max
 
 @register("a7_regions", f"WITH RECURSIVE {TILES}, {COMPONENTS}, lb AS (SELECT scene_id, y, x, dense_rank() OVER (PARTITION BY scene_id ORDER BY root)::BIGINT AS label FROM roots JOIN mask USING (scene_id, p)) SELECT scene_id, label, {SUMMARY}, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(avg(v), 6) AS v FROM lb JOIN tiles USING (scene_id, y, x) GROUP BY scene_id, label")
 def a7_regions(spark, d):
-    from ..operators import components
-
     t = synth.tiles(spark, d).where("v > 0.5")
     r = regions.summarise(components.grouped(t.select("scene_id", "y", "x")).join(t, ["scene_id", "y", "x"]), ["v"])
     return r.select("scene_id", "label", "area", "bx", C("by").alias("by_"), "bw", "bh", r6("mx"), r6("my"), r6("v"))
@@ -166,8 +165,8 @@ def change_pipeline(spark, d):
     return change.analyse(pairs, "how did the river change?")
 
 
-@register("fusion_features", f"""WITH RECURSIVE {FUSED}, some AS (SELECT scene_id, max((wo AND ws)::INT) AS s FROM mk GROUP BY 1),
-kinds AS (SELECT scene_id, y, x, unnest([1, 2, 3]) AS kind, unnest([CASE WHEN s = 1 THEN wo AND ws ELSE wo OR ws END, structure, veg AND ws]) AS f, ndwi, ndvi, vv, edges, (wo AND ws)::INT AS agree FROM mk JOIN some USING (scene_id)),
+@register("fusion_features", f"""WITH RECURSIVE {FUSED}, anywet AS (SELECT scene_id, max((wo AND ws)::INT) AS s FROM mk GROUP BY 1),
+kinds AS (SELECT scene_id, y, x, unnest([1, 2, 3]) AS kind, unnest([CASE WHEN s = 1 THEN wo AND ws ELSE wo OR ws END, structure, veg AND ws]) AS f, ndwi, ndvi, vv, edges, (wo AND ws)::INT AS agree FROM mk JOIN anywet USING (scene_id)),
 mask AS (SELECT *, y * 64 + x AS p, scene_id * 4 + kind AS s FROM kinds WHERE f),
 runs AS (SELECT s, y, min(x) AS lo, max(x) AS hi, min(p) AS r FROM (SELECT *, x - row_number() OVER (PARTITION BY s, y ORDER BY x) AS g FROM mask) GROUP BY s, y, g),
 links AS (SELECT a.s, a.r AS a, b.r AS b FROM runs a JOIN runs b ON a.s = b.s AND abs(a.y - b.y) = 1 AND a.lo <= b.hi AND b.lo <= a.hi),

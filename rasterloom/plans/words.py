@@ -79,7 +79,7 @@ def g2_polygon_area(spark, d):
     return p.select("k", F.round(geo.polygon_area_km2(C("p")), 3).alias("km2"), r6(geo.centroid(C("p"), "lat"), "lat"), r6(geo.centroid(C("p"), "lng"), "lng"))
 
 
-@register("g4_scene_ids", f"WITH {COORD}, s AS (SELECT *, abs(floor(lat * 10000 + lon * 7919 + 100000 + 0.5))::BIGINT % 2147483647 AS seed FROM c) SELECT k, seed, 'S2-L2A-DEMO-' || substr(lpad(seed::VARCHAR, greatest(8, length(seed::VARCHAR)), '0'), 1, 8) AS scene, 3 + seed % 37 AS cloud, 12 + seed % 28 AS built, 5 + seed % 15 AS water, greatest(8, 92 - (12 + seed % 28) - (5 + seed % 15))::BIGINT AS veg FROM s")
+@register("g4_scene_ids", f"WITH {COORD}, s AS (SELECT *, abs(floor(lat * 10000 + lon * 7919 + 100000 + 0.5))::BIGINT % 2147483647 AS seed FROM c) SELECT k, seed, 'S2-L2A-DEMO-' || CASE WHEN length(seed::VARCHAR) >= 8 THEN substr(seed::VARCHAR, 1, 8) ELSE right('00000000' || seed::VARCHAR, 8) END AS scene, 3 + seed % 37 AS cloud, 12 + seed % 28 AS built, 5 + seed % 15 AS water, greatest(8, 92 - (12 + seed % 28) - (5 + seed % 15))::BIGINT AS veg FROM s")
 def g4_scene_ids(spark, d):
     s = coords(spark, d).select("k", geo.seed(C("lat"), C("lon")).cast("long").alias("seed"))
     built, water, veg = geo.demo_cover(C("seed"))
