@@ -268,7 +268,7 @@ def split(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame
     return cut(rows.mapInArrow(run, "path string"), "splits")
 
 
-def bucket(files: DataFrame, n: int, length: int) -> DataFrame:
+def bucket(files: DataFrame, n: int, length: int, hot: int) -> DataFrame:
     """Verdicts and requests (path, kind, blob) from the corpus-wide buckets, already written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +288,7 @@ def bucket(files: DataFrame, n: int, length: int) -> DataFrame:
         gram, content, doc, top = (np.concatenate(c) for c in zip(*parts))
         origin = np.repeat(np.arange(len(paths)), [len(p[0]) for p in parts])
         out = []
-        for kind, chosen, least in verdicts(gram, content, doc, top):
+        for kind, chosen, least in verdicts(gram, content, doc, top, hot):
             for k, at in by_origin(origin, chosen):
                 out.append((paths[k], kind, pack(gram[at], content[at], least[at])))
         return pa.Table.from_batches([batch_of(out, "path kind blob", (pa.string(), pa.int32(), pa.binary()))])
@@ -313,7 +313,7 @@ def by_origin(origin: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[int, np.
             yield int(origin[part[0]]), part
 
 
-def verdicts(gram: np.ndarray, content: np.ndarray, doc: np.ndarray, top: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def verdicts(gram: np.ndarray, content: np.ndarray, doc: np.ndarray, top: np.ndarray, hot: int = HOT) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, rows concerned, smallest document of each row's content) for the rows of whole q-gram buckets."""
     n = len(gram)
     order = np.lexsort((doc, content, gram))
@@ -331,7 +331,7 @@ def verdicts(gram: np.ndarray, content: np.ndarray, doc: np.ndarray, top: np.nda
     unsettled = several & (contents > 1) & new
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    for kind, flags in ((SETTLED, t > least), (SEND, unsettled & (contents <= HOT)), (SEND_HOT, unsettled & (contents > HOT))):
+    for kind, flags in ((SETTLED, t > least), (SEND, unsettled & (contents <= hot)), (SEND_HOT, unsettled & (contents > hot))):
         yield kind, flags[back], least[back]
 
 
@@ -375,7 +375,7 @@ def refine(requests: DataFrame, n: int, length: int) -> DataFrame:
             gram, content, doc, size = (np.concatenate(c) for c in zip(*parts))
             origin = np.repeat(np.arange(len(own)), [len(p[0]) for p in parts])
             data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["texts"]) for r in own), np.uint8)
-            item, low, high = refined(data, size, doc, length)
+            item, low, high = refined_by_gram(data, gram, size, doc, length)
             for k, at in by_origin(origin[item], np.ones(len(item), bool)):
                 i = item[at]
                 out.append((own[k]["path"], REFINED, pack(gram[i], content[i], doc[i], low[at].astype(np.int32), high[at].astype(np.int32))))
@@ -393,6 +393,22 @@ def refine(requests: DataFrame, n: int, length: int) -> DataFrame:
     return cut(sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(sort, "path string, kind int, blob binary"), "refined")
 
 
+def refined_by_gram(data: np.ndarray, gram: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``refined`` over runs of whole q-gram buckets of about CHUNK_BYTES, so memory doesn't follow the task's share."""
+    offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    order = np.argsort(gram, kind="stable")
+    head = np.append(np.flatnonzero(np.diff(gram[order].astype(np.int64), prepend=gram[order[0]].astype(np.int64) + 1)), len(order))
+    bytes_of = np.add.reduceat(size[order].astype(np.int64), head[:-1])
+    parts = []
+    for i, j in chunks_of(bytes_of.tolist(), CHUNK_BYTES):
+        items = order[head[i] : head[j]]
+        own = size[items].astype(np.int64)
+        place = np.repeat(offsets[items] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum())
+        item, low, high = refined(data[place], own, doc[items], length)
+        parts.append((items[item], low, high))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
 def refined(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, low, high): ranges of bytes in items that strings of smaller documents' items cover."""
     offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
@@ -451,12 +467,12 @@ class Verdicts:
         return np.cumsum(np.bincount(np.concatenate(low), minlength=n) - np.bincount(np.concatenate(high), minlength=n))[:-1] > 0
 
 
-def duplicate_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Runs the steps; ``finish(doc_id, text, gone)`` gives a row per document, ``gone`` a flag for each byte."""
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     files = split(docs, fresh_path(spark, "texts"), id_col, text_col)
-    found = bucket(files, n, length)
+    found = bucket(files, n, length, hot)
     more = refine(found.where(F.col("kind").isin(SEND, SEND_HOT)), n, length)
     names, kinds = zip(*((f.name, f.dataType) for f in spark.createDataFrame([], schema).schema))
     types = pa.schema([(name, arrow_type(kind)) for name, kind in zip(names, kinds)])
@@ -490,13 +506,13 @@ def kept_bytes(text: bytes, gone: np.ndarray) -> bytes:
     return text if not gone.any() else np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, SHA-256 of what stays."""
 
     def finish(doc_id: int, text: bytes, gone: np.ndarray) -> tuple:
         return doc_id, len(text), int(gone.sum()), runs_of(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()
 
-    return duplicate_spans(docs, finish, SCHEMA, length, id_col, text_col)
+    return duplicate_spans(docs, finish, SCHEMA, length, id_col, text_col, hot)
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
