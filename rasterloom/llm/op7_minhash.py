@@ -1,10 +1,11 @@
 """MinHash near-duplicate grouping with sequential Bayesian verification.
 
 Texts with equal shingle sets form a class from the start, so copies never meet again. Classes are banded by MinHash
-signatures. Links are looked for in two rounds that together lose none:
+signatures. Links are looked for in rounds that together lose none:
 
 * *Star*: each class is compared with one hub of its band buckets, the smallest id of the bucket it shares most bands
-  with. That joins almost all of a large group without pairs within it.
+  with; then members outside a bucket's largest component are compared with that component's last member. That joins
+  almost all of a large group without pairs within it.
 * *Cells*: a bucket whose members are still in several components is cut into blocks, and every pair of blocks is one
   cell; members of different components are compared until they are linked or no pair is left. Buckets of equal members
   are compared once.
@@ -37,7 +38,7 @@ WIDTH, SHARE = 5, 80
 BANDS, ROWS, BATCH = 32, 4, 16
 MISS = 1e-9
 #: Classes in a block of a cell; bytes of text handled together.
-BLOCK, CHUNK_BYTES = 256, 1 << 20
+BLOCK, CHUNK_BYTES = 1024, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -203,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_
     shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = cut(bands.join(shared, "key"), "members")
 
-    # star: one hub for each class
+    # first star: one hub for each class
     ties = members.where("id != hub").groupBy("id", "hub").agg(F.count("*").alias("k"))
     star = ties.groupBy("id").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
     some = members.select("id").distinct().join(classes, "id")
@@ -220,18 +221,30 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_
 
     left = sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("codes").alias("codes_a"))
     right = sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("codes").alias("codes_b"))
-    pairs = star.select(F.col("id").alias("a"), F.col("hub").alias("b")).join(left, "a").join(right, "b")
-    edges = cut(pairs.mapInArrow(verify, "a long, b long"), "links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.select(F.col("id").alias("a"), F.col("hub").alias("b")).join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long"), "links")
+
+    def apart(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, of the buckets that still hold several; and one bucket of those with equal members."""
+        placed = members.select("key", "id").join(components(edges), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+        state = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return cut(placed.join(state.select("key"), "key", "left_semi"), "apart"), state.groupBy("n", "who").agg(F.min("key").alias("key"))
+
+    edges = linked(star)
+    # second star: members outside a bucket's largest component against its last member
+    placed, _ = apart(edges)
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("id").alias("hub"))
+    largest = sizes.groupBy("key").agg(F.max_by(F.struct("comp", "hub"), F.struct("n", -F.col("comp"))).alias("big")).select("key", F.col("big.comp").alias("big"), F.col("big.hub").alias("hub"))
+    ties = placed.join(largest, "key").where("comp != big").groupBy("id", "hub").agg(F.count("*").alias("k"))
+    edges = cut(edges.unionByName(linked(ties.groupBy("id").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub")))), "links")
 
     # cells: buckets whose members are still apart
-    part = components(edges)
-    placed = members.select("key", "id").join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    state = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    once = state.groupBy("n", "who").agg(F.min("key").alias("key"))
+    placed, once = apart(edges)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    apart = placed.join(once, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = apart.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp").join(sets, "id")
+    blocked = placed.join(once, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = blocked.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp").join(sets, "id")
     found = cells.repartition(n, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(lambda t: pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())}) if len(t) < 2 else edge_table(cell_links(t, share)), "a long, b long")
     more = cut(found, "links")
     part = cut(components(edges.unionByName(more)), "components")
