@@ -10,9 +10,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 __all__ = [
-    "shared_dir", "fresh_path", "cut", "table", "fs_of", "Rolling", "mix64", "concat_texts", "sha256_hex", "chunks_of", "as_bytes",
+    "NO_ID", "id_of", "ids_back", "shared_dir", "fresh_path", "cut", "table", "fs_of", "Rolling", "mix64", "concat_texts", "sha256_hex", "chunks_of", "as_bytes",
 ]
 
 
@@ -31,6 +32,20 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Stands for a missing identifier inside an operator, so that such rows take part like any other.
+NO_ID = -(1 << 63)
+
+
+def id_of(df: DataFrame, column: str, name: str = "doc_id"):
+    """The identifier as a long; a missing one as NO_ID."""
+    return F.coalesce(df[column].cast("long"), F.lit(NO_ID)).alias(name)
+
+
+def ids_back(df: DataFrame, *columns: str) -> DataFrame:
+    """NO_ID as null again."""
+    return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in columns})
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: a lineage cut that outlives lost executors."""
     spark = df.sparkSession

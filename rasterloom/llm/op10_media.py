@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
+from .common import as_bytes, cut, id_of, ids_back
 
 UNIT, WIDTH = 576, 24
 LEVEL = 1
@@ -192,7 +192,7 @@ def resolve(sequences: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document as a page with a heading, its payload as a figure, and a caption."""
-    rows = docs.select(docs[id_col].cast("long").alias("page_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("payload"))
+    rows = docs.select(id_of(docs, id_col, "page_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("payload"))
     size = F.octet_length("payload")
     units = F.greatest(F.lit(1), F.ceil(size / F.lit(UNIT))).cast("int")
     fill = F.unhex(F.repeat(F.lit("FF"), units * UNIT - size))
@@ -209,4 +209,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sequences = interleave(document_pages(docs, id_col, text_col))
     found = resolve(sequences, media_features(store(docs, text_col)).drop("n_bytes"))
     n_bytes = F.regexp_extract("caption", r"^(\d+)", 1).cast("long")
-    return found.select(F.col("id").alias("doc_id"), n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = found.select(F.col("id").alias("doc_id"), n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return ids_back(out, "doc_id")

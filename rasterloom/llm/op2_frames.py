@@ -6,7 +6,7 @@ compressed size, its decompressed size and the low 32 bits of its XXH64. A reade
 those frames that hold the documents asked for; it verifies each frame that it opens.
 
 Edge cases: null and empty texts hold the end id alone; rows with equal ids keep their order by text; an empty input
-gives no file; other columns of the input take no part.
+gives no file; rows without an id come first; other columns of the input take no part.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, fs_of
+from .common import cut, fresh_path, fs_of, id_of, ids_back
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -179,7 +179,7 @@ def write_frames(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     task that is tried again writes another file name; the manifest names only files of tasks that succeeded.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(id_of(docs, id_col), docs[text_col].alias("text"))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def read_frames(manifest: DataFrame) -> DataFrame:
     before = F.sum("n_ids").over(Window.orderBy("first_doc", "path").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("before"))
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return files.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return ids_back(files.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"), "doc_id")
 
 
 def read_documents(path: str, wanted: Iterable[int]) -> dict[int, np.ndarray]:

@@ -5,7 +5,8 @@ record follows as a frame of its own, compressed with the dictionary, so any rec
 Payloads that were archived before become revisit records that refer to the first.
 
 Edge cases: null and empty payloads are records of length 0; payloads under ``MIN_REVISIT`` bytes are always responses;
-too few or too small records for a dictionary give a file without one; equal ids are ordered by payload digest.
+too few or too small records for a dictionary give a file without one; rows of equal id are records of
+their own; a row without an id counts as before all others, and revisits of it refer to null.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fresh_path, fs_of
+from .common import as_bytes, cut, fresh_path, fs_of, id_of, ids_back
 
 #: Fixed value: the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -132,7 +133,7 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     The first record of each payload comes from a partial aggregation; a payload that many pages share meets its join as
     rows of one key, which adaptive execution splits.
     """
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), F.coalesce(pages[html_col], F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(id_of(pages, id_col, "page_id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), F.coalesce(pages[html_col], F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     first = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
     marked = rows.drop("size").join(first, "digest", "left")
@@ -187,7 +188,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.repartition(n, "path").mapInArrow(run, SCHEMA)
+    return ids_back(manifest.repartition(n, "path").mapInArrow(run, SCHEMA), "page_id", "refers_to")
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:

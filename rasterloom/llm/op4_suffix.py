@@ -19,7 +19,7 @@ No cap drops a case: every bucket, hot or not, takes one of the exact ways. Cont
 step 2 and byte by byte in step 3.
 
 Edge cases: null and empty texts keep nothing and lose nothing; texts shorter than ``length`` stay whole; repeats within
-one document alone stay; rows of equal id count as one document and each gets its row.
+one document alone stay; rows of equal id count as one document and each gets its row; rows without an id count as one document before all others.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_bytes, chunks_of, concat_texts, cut, fresh_path, fs_of, mix64
+from .common import Rolling, as_bytes, chunks_of, concat_texts, cut, fresh_path, fs_of, id_of, ids_back, mix64
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a file, in one array and in one block of suffixes.
@@ -264,7 +264,7 @@ def split(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame
         if held:
             yield write()
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(id_of(docs, id_col), docs[text_col].alias("text"))
     return cut(rows.mapInArrow(run, "path string"), "splits")
 
 
@@ -512,7 +512,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     def finish(doc_id: int, text: bytes, gone: np.ndarray) -> tuple:
         return doc_id, len(text), int(gone.sum()), runs_of(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()
 
-    return duplicate_spans(docs, finish, SCHEMA, length, id_col, text_col, hot)
+    return ids_back(duplicate_spans(docs, finish, SCHEMA, length, id_col, text_col, hot), "doc_id")
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -522,7 +522,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
         return doc_id, [{"start": int(a), "end": int(b)} for a, b in edges], kept_bytes(text, gone)
 
-    return duplicate_spans(docs, finish, "doc_id long, spans array<struct<start:long,end:long>>, kept binary", length, id_col, text_col)
+    found = duplicate_spans(docs, finish, "doc_id long, spans array<struct<start:long,end:long>>, kept binary", length, id_col, text_col)
+    return ids_back(found, "doc_id")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -539,7 +540,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     cuts = duplicate_spans(docs, finish, "_id long, _digest binary, _kept string", length, id_col, text_col)
     cuts = cuts.where("_kept IS NOT NULL").dropDuplicates(["_id", "_digest"])
     own = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)))
-    both = own.join(cuts, (own[id_col].cast("long") == cuts["_id"]) & (own["_own"] == cuts["_digest"]), "left")
+    both = own.join(cuts, (id_of(own, id_col, "_i") == cuts["_id"]) & (own["_own"] == cuts["_digest"]), "left")
     text = F.coalesce(F.col("_kept"), F.col(text_col))
     out = [text.alias(c) if c == text_col else F.length(text).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return both.select(*out)

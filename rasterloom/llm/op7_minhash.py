@@ -17,7 +17,7 @@ with probability (1 - 0.8**4)**32, some 5e-8.
 
 Edge cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component; texts of
 fewer words than a shingle have one shingle of all their words; rows of equal text fall into one component; rows of
-equal id keep one row each.
+equal id keep one row each; a row without an id counts as the smallest.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_bytes, chunks_of, concat_texts, cut, mix64
+from .common import Rolling, as_bytes, chunks_of, concat_texts, cut, id_of, ids_back, mix64
 
 WIDTH, SHARE = 5, 80
 BANDS, ROWS, BATCH = 32, 4, 16
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_
     """Per document: size of its shingle set, smallest id of its component, and whether it is that one."""
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(id_of(docs, id_col), docs[text_col].alias("text"))
     feats = features(rows, width)
     classes = cut(feats.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
 
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_
 
     known = feats.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "id"), "digest", "left").join(part, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
-    return known.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return ids_back(known.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), "doc_id", "component_id")
 
 
 def edge_table(edges: list[tuple[int, int]]) -> pa.Table:

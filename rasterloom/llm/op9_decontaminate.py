@@ -9,7 +9,8 @@ that begin with enough of them are sorted. Benchmark items take part as a whole;
 are small (``BLOCK_BYTES``, checked first) and otherwise taken in blocks of items, one pass each.
 
 Edge cases: null has no words, as has a text of other characters only: n_hit 0, not contaminated. An item without words
-matches nothing; an item of fewer words than a window is one window. Rows with equal ids and texts give equal rows.
+matches nothing; an item of fewer words than a window is one window. Rows with equal ids and texts give equal rows. Items without an
+id count as one item whose name is empty.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_bytes, chunks_of, concat_texts
+from .common import NO_ID, Rolling, as_bytes, chunks_of, concat_texts, id_of
 
 WINDOW = 13
 SHARE = 20
@@ -163,12 +164,12 @@ def shards(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
 
 
 def items_digest(items: np.ndarray) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items.tolist()))).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted("" if i == NO_ID else str(i) for i in items.tolist())).encode()).hexdigest()
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, bytes]]]:
     """The benchmark in blocks of at most about BLOCK_BYTES, one at a time; its size is summed up before any is fetched."""
-    rows = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[text_col], F.lit("")).cast("binary").alias("t"))
+    rows = benchmark.select(id_of(benchmark, item_col, "i"), F.coalesce(benchmark[text_col], F.lit("")).cast("binary").alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 32), F.lit(0))).first()[0]
     n = -(-size // BLOCK_BYTES) or 1
     part = F.pmod(F.xxhash64("i"), F.lit(n))

@@ -39,6 +39,13 @@ def noise(seed, n, letters, length):
     return ["".join(r.choice(letters) for _ in range(r.randint(0, length))) for _ in range(n)]
 
 
+@pytest.mark.parametrize("run", [lambda d: op1_bpe.bpe_digests(d, WORD), lambda d: op2_frames.token_files(d, BYTE), op4_suffix.suffix_dedup, op7_minhash.near_duplicates, op10_media.media_columns, lambda d: op9_decontaminate.decontamination(d, d.selectExpr("doc_id AS item_id", "text")), lambda d: op3_warc.warc_round_trip(d.selectExpr("doc_id AS page_id", "text AS url", "text AS html"))])
+def test_rows_without_an_id_take_part(spark, run):
+    df = spark.createDataFrame([(None, "one two three four five six " * 5), (None, None), (3, "one two three four five six " * 5), (3, "one two three four five six " * 5)], "doc_id long, text string")
+    rows = run(df).collect()
+    assert sorted(str(r[0]) for r in rows) == ["3", "3", "None", "None"]
+
+
 # ---- 1 ----
 
 
