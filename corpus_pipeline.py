@@ -8,33 +8,53 @@ go), BPE encoding and decoding (digests of the tokens of what is left). All but
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import op1_bpe, op4_suffix, op6_language, op7_minhash, op9_decontaminate
-from rasterloom.llm.common import cut, table
+from rasterloom.llm.common import cut, recorded, removed, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Folders that the stage before has left; they go when the next stage begins, as its docs have been written by then.
+_left: list[str] = []
+
+
+def staged(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        removed(spark, _left)
+        with recorded(_left):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@staged
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op6_language.keep_identified(docs)
 
 
+@staged
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op7_minhash.keep_one(docs)
 
 
+@staged
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op4_suffix.without_repeats(docs)
 
 
+@staged
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@staged
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op1_bpe.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 

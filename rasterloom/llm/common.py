@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 __all__ = [
-    "NO_ID", "id_of", "ids_back", "shared_dir", "fresh_path", "cut", "table", "fs_of", "Rolling", "mix64", "concat_texts", "sha256_hex", "chunks_of", "as_bytes",
+    "NO_ID", "id_of", "ids_back", "recorded", "removed", "shared_dir", "fresh_path", "cut", "table", "fs_of", "Rolling", "mix64", "concat_texts", "sha256_hex", "chunks_of", "as_bytes",
 ]
 
 
@@ -28,8 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Adds to ``paths`` what is put into the shared folder meanwhile, for ``removed`` once nothing reads it any more."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.pop()
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes the folders, in whatever store they are, and empties the list."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
 
 
 #: Stands for a missing identifier inside an operator, so that such rows take part like any other.
