@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words a worker remembers; the memory of what it has encoded is emptied beyond that.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 #: Characters of a text that are looked at together, and of a word that is encoded in one piece.
 SLICE_CHARS, WORD_CHARS = 1 << 18, 512
 
