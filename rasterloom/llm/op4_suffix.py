@@ -15,8 +15,8 @@ and suffixes next to each other share their choice (a *stretch*), which thins wh
    q-grams with more than ``HOT`` contents are refined one suffix at a time instead, merged by file before they move.
 4. ``apply``: files are read again and their verdicts applied.
 
-No cap drops a case: every bucket, hot or not, takes one of the exact ways. Contents are compared by 96 bits of hash in
-step 2 and byte by byte in step 3.
+No cap drops a case: every bucket, hot or not, takes one of the exact ways. Within a q-gram's bucket contents are compared by
+64 bits of hash of their own in step 2, and byte by byte in step 3.
 
 Edge cases: null and empty texts keep nothing and lose nothing; texts shorter than ``length`` stay whole; repeats within
 one document alone stay; rows of equal id count as one document and each gets its row; rows without an id count as one document before all others.
@@ -123,7 +123,7 @@ class Stretches:
         self.length, parts = length, []
         for low in range(0, max(len(self.data) - length + 1, 0), BLOCK):
             parts.append(self._block(low, self.data[low : low + BLOCK + length - 1], gram))
-        empty = [np.empty(0, t) for t in (np.uint64, np.uint32, np.int64, np.int64, np.int64)]
+        empty = [np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
         self.gram, self.content, self.doc, self.start, self.end = [np.concatenate(c) for c in zip(*parts)] if parts else empty
 
     def _block(self, low: int, data: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
@@ -143,8 +143,8 @@ class Stretches:
         keep = last > first
         first, last, at, doc = first[keep], last[keep], at[keep], doc[keep]
         end = last + length - 1
-        content = mix64(rolling.slices(first, end) + (at - first).astype(np.uint64)) >> np.uint64(32)
-        return hashes[at], content.astype(np.uint32), doc, first + low, end + low
+        content = mix64(rolling.slices(first, end) + (at - first).astype(np.uint64))  # whole: the q-gram's hash tells nothing apart in its own bucket
+        return hashes[at], content, doc, first + low, end + low
 
     def window_keys(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, start, 64 and 32 bits of hash) of every suffix of the given stretches."""

@@ -202,6 +202,14 @@ def test_long_texts_cross_blocks():
     assert inside[: len(text) - 49].all() and (s.doc == 2).any() and not (s.doc == 1).any()
 
 
+def test_contents_of_one_gram_are_told_apart_by_64_bits(spark):
+    pair = ["mzgiugmphsysuywnwutqteyritzmhuhbwgcgggnlcszokzazsc", "qgqqfifdvzpuqxpwzutqteyritzmhuhbwwuyhuwgotpyqlmpfa"]  # one q-gram, 32 equal bits
+    s = op4_suffix.Stretches([t.encode() for t in pair])
+    assert s.gram[0] == s.gram[1] and len(set((s.content.astype(np.uint64) >> np.uint64(32)).tolist())) == 1
+    got = op4_suffix.suffix_dedup(docs_of(spark, pair)).collect()
+    assert sorted(tuple(x) for x in got) == brute_spans(enumerate(pair))
+
+
 def test_repeats_leave_texts_valid(spark):
     p = "ééééé" * 12
     docs = spark.createDataFrame([(1, "a" + p, 9), (2, "b" + p + "c", 9), (3, None, None)], "doc_id long, text string, n_chars long")
