@@ -2,8 +2,10 @@
 
 A page becomes a sequence of text blocks, each with its path of block tags from the root (classes and ids take part). For
 each path the text length per block, its spread, the punctuation per block and its spread are aggregated and fused into
-one score, the scores of the block sequence are smoothed by a Gaussian, and blocks whose path's smoothed score reaches a
-share of the page's spread of scores are content. Blocks whose path holds an element that never is the article (menus,
+one score, the scores of the block sequence are smoothed by a Gaussian, and a two-class split of the paths' mean smoothed
+scores (largest variance between classes, a path counts once for each block) parts content from the rest. A page whose
+classes lie close to each other, or whose lower class holds most of the text, isn't split. A heading directly before
+content is content. Blocks whose path holds an element that never is the article (menus,
 headers and footers of the page, sidebars, notices, adverts, forms, comments, hidden parts) take no part, and links count
 against a block. If a page marks its article, only that part of it competes.
 
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-#: Share of the standard deviation of smoothed scores that content reaches; width of the smoothing.
-SHARE, SIGMA = 0.2, 1.0
+#: Share of the upper class's mean below which a lower class's lies if it goes; width of the smoothing.
+APART, SIGMA = 0.55, 1.0
 LINK_SHARE = 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +38,7 @@ OUTSIDE = frozenset("nav footer aside form menu dialog button select fieldset he
 AROUND = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|respond|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice\w*|pager|pagination|popup|promo\w*|related|rail|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widgets?|alert|login|signup|search|skip)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 ARTICLE = frozenset(["article", "main"])
+_HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.I | re.S)
@@ -160,6 +163,19 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def threshold(scores: list[float], weights: list[int]) -> float:
+    """The smallest score of the upper class, or 0 if the scores are of one class. ``weights``: unlinked text."""
+    order = sorted(zip(scores, weights))
+    total, text, low, low_text, best, out = sum(scores), sum(weights), 0.0, 0, 0.0, 0.0
+    for i in range(1, len(order)):
+        low, low_text = low + order[i - 1][0], low_text + order[i - 1][1]
+        if order[i][0] - order[i - 1][0] > 1e-9:
+            under, over = low / i, (total - low) / (len(order) - i)
+            if (between := i * (len(order) - i) * (over - under) ** 2) > best:
+                best, out = between, order[i][0] if under < APART * over and 2 * low_text < text else 0.0
+    return out
+
+
 def content_blocks(page: str | None) -> list[Block]:
     found = [b for b in blocks(page or "") if not b.outside]
     if any(b.article for b in found):
@@ -167,13 +183,16 @@ def content_blocks(page: str | None) -> list[Block]:
     if not found:
         return []
     own = path_scores(found)
-    flow = smoothed([own[b.path] for b in found])
-    best: dict[str, float] = {}
-    for b, s in zip(found, flow):
-        best[b.path] = max(best.get(b.path, 0.0), s)
-    mean = sum(flow) / len(flow)
-    limit = SHARE * max(math.sqrt(sum((s - mean) ** 2 for s in flow) / len(flow)), 1e-9)
-    return [b for b in found if best[b.path] >= limit and b.linked < LINK_SHARE * max(len(b.text), 1)]
+    flow: dict[str, list[float]] = {}
+    for b, v in zip(found, smoothed([own[b.path] for b in found])):
+        flow.setdefault(b.path, []).append(v)
+    score = {path: sum(values) / len(values) for path, values in flow.items()}
+    limit = threshold([score[b.path] for b in found], [max(len(b.text) - b.linked, 0) for b in found])
+    free = [b.linked < LINK_SHARE * max(len(b.text), 1) for b in found]
+    kept = [score[b.path] >= limit and f for b, f in zip(found, free)]
+    for i in range(len(found) - 2, -1, -1):
+        kept[i] = kept[i] or (free[i] and kept[i + 1] and _HEADING.search(found[i].path) is not None)
+    return [b for b, k in zip(found, kept) if k]
 
 
 def main_text(page: str | None) -> str:

@@ -231,6 +231,14 @@ def test_main_text(wrap):
     assert op5_html.main_text(PAGE % (wrap % body)) == want
 
 
+def test_paths_part_boilerplate_without_listed_words():
+    text = "It rained all day, and the river rose, slowly at first; by night it had reached the mill. Nobody slept."
+    menu = "<div class=q1>" + "".join(f"<div>{w}</div>" for w in "Start Shop Team Jobs Places Prices".split()) + "</div>"
+    page = f"<html><body>{menu}<div class=q2>Call us any day.</div><div class=z><h1>The flood</h1>{f'<p>{text}</p>' * 4}<h2>After</h2><p>{text}</p></div>{menu}<div class=q4>All rights held</div></body></html>"
+    assert op5_html.main_text(page) == " ".join(["The flood", *[text] * 4, "After", text])
+    assert op5_html.main_text(f"<body><div>{text}</div><p>Short one.</p><p>Short two.</p></body>") == f"{text} Short one. Short two."
+
+
 def test_pages_of_any_kind(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<div>"), (4, "u", "plain <b"), (5, "u", "<p>" * 3000 + "deep, text."), (6, "u", "<nav><p>only menus</p></nav>")]
     rows = {r.page_id: r for r in op5_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
