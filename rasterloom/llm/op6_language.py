@@ -3,11 +3,13 @@
 Texts become hashed byte n-gram counts (2 to 4 bytes, letters and single spaces only), weighted 1 + log(tf) times idf and
 normalised. Document frequencies are counted over all training rows. Each language gets up to ``CENTROIDS`` centroids by
 spherical k-means over a sample of at most ``SAMPLE`` of its training rows, the classifier's documented bound. A text gets
-the language of its nearest centroid by cosine. It is *rejected* if its cosine falls below ``REJECT`` times the smallest
-that the language's own sample reached, which is a distance bound learned per language.
+the language of its nearest centroid by cosine. It is *rejected* if its cosine falls below the language's bound for texts
+of as many distinct n-grams. Bounds are the ``REJECT`` quantiles of the cosines of the sample's rows and of their beginnings
+of several lengths, each against centroids of the other folds, so neither an outlier nor a row's own centroid sets them.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and rejected; without any training row
-everything is ``und``; one training row makes one centroid; ties go to the language first in alphabetical order.
+everything is ``und``; one training row makes one centroid and rejects nothing that has a letter, as do sizes of which the
+sample has fewer than ``ENOUGH`` rows and none below; ties go to the language first in alphabetical order.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from .common import chunks_of, cut
 DIMS = 1 << 13
 SIZES = (2, 3, 4)
 CENTROIDS, SAMPLE, ROUNDS = 4, 1000, 8
-REJECT = 0.25
+#: Quantile that bounds are, folds and lengths of beginnings that they are learned from, rows that a quantile needs.
+REJECT, CROSS, BEGINNINGS, ENOUGH = 0.003, 4, (8, 16, 32, 64, 128, 256, 512, 1024), 8
+#: Classes of texts by the binary logarithm of their distinct n-grams.
+CLASSES = DIMS.bit_length()
 FOLDS, HELD = 4, 2
 MODEL_BYTES = 256 << 20
 CHUNK_BYTES = 1 << 20
@@ -116,8 +121,32 @@ def cluster(vectors: np.ndarray) -> np.ndarray:
     return centre
 
 
+def size_class(tf: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(np.count_nonzero(tf, axis=1), 1)).astype(np.int64)
+
+
+def bounds(texts: list[str], vectors: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rejection bound of each size class from cosines out of fold."""
+    fold = np.arange(len(texts)) % CROSS
+    others = [cluster(vectors[fold != k]) if (fold == k).any() and (fold != k).any() else None for k in range(CROSS)]
+    found: list[list[float]] = [[] for _ in range(CLASSES)]
+    for length in (*BEGINNINGS, None):
+        for k, centre in enumerate(others):
+            if centre is not None:
+                cuts = [t[:length] for t, f in zip(texts, fold) if f == k and (length is None or len(t) > length) and has_letter(t[:length])]
+                if cuts:
+                    tf = counts(cuts)
+                    kind = size_class(tf)
+                    for c, v in zip(kind.tolist(), (weighted(tf, idf) @ centre.T).max(axis=1).tolist()):
+                        found[c].append(v)
+    out = np.zeros(CLASSES)
+    for c, values in enumerate(found):
+        out[c] = np.quantile(values, REJECT) if len(values) >= ENOUGH else out[c - 1] if c else 0.0
+    return out
+
+
 class Model:
-    """Languages, centroids, idf weights and rejection bounds."""
+    """Languages, centroids, idf weights and rejection bounds (language x size class)."""
 
     def __init__(self, languages: list[str], centroids: np.ndarray, owner: np.ndarray, bound: np.ndarray, idf: np.ndarray):
         self.languages, self.centroids, self.owner, self.bound, self.idf = languages, centroids, owner, bound, idf
@@ -128,11 +157,13 @@ class Model:
         names, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         at = np.flatnonzero(real)
         if len(at) and self.languages:
-            cosine = weighted(counts([texts[i] for i in at]), self.idf) @ self.centroids.T
+            tf = counts([texts[i] for i in at])
+            kind = size_class(tf)
+            cosine = weighted(tf, self.idf) @ self.centroids.T
             best = np.argmax(cosine, axis=1)
             own = self.owner[best]
             score[at] = np.clip(cosine[np.arange(len(at)), best], 0, 1)
-            rejected[at] = score[at] < self.bound[own]
+            rejected[at] = score[at] < self.bound[own, kind]
             for i, k in zip(at.tolist(), own.tolist()):
                 names[i] = self.languages[k]
         return names, score, rejected
@@ -152,22 +183,23 @@ def fit(rows: DataFrame) -> Model:
     def learn(key: tuple, t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
         texts = [t.column("text")[int(i)].as_py() for i in order]
-        vectors = weighted(counts([x for x in texts if has_letter(x)]), idf)
+        texts = [x for x in texts if has_letter(x)]
+        vectors = weighted(counts(texts), idf)
         if not len(vectors):
-            return pa.table({"lang": pa.array([], pa.string()), "centroid": pa.array([], pa.binary()), "bound": pa.array([], pa.float64())})
+            return pa.table({"lang": pa.array([], pa.string()), "centroid": pa.array([], pa.binary()), "bound": pa.array([], pa.binary())})
         centre = cluster(vectors)
-        bound = REJECT * float((vectors @ centre.T).max(axis=1).min())
-        return pa.table({"lang": pa.array([key[0].as_py()] * len(centre)), "centroid": pa.array([c.astype(np.float32).tobytes() for c in centre], pa.binary()), "bound": pa.array([bound] * len(centre))})
+        bound = bounds(texts, vectors, idf).tobytes()
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(centre)), "centroid": pa.array([c.astype(np.float32).tobytes() for c in centre], pa.binary()), "bound": pa.array([bound] * len(centre), pa.binary())})
 
-    made = cut(sample.groupBy("lang").applyInArrow(learn, "lang string, centroid binary, bound double"), "centroids")
+    made = cut(sample.groupBy("lang").applyInArrow(learn, "lang string, centroid binary, bound binary"), "centroids")
     if (k := made.count()) * DIMS * 4 > MODEL_BYTES:
         raise ValueError(f"{k} centroids are more than a task can hold")
     found = sorted(made.collect(), key=lambda r: (r.lang, bytes(r.centroid)))
     languages = sorted({r.lang for r in found})
     number = {x: i for i, x in enumerate(languages)}
-    bounds = {r.lang: r.bound for r in found}
+    bound = {r.lang: np.frombuffer(r.bound, np.float64) for r in found}
     centroids = np.array([np.frombuffer(r.centroid, np.float32) for r in found]).reshape(-1, DIMS)
-    return Model(languages, centroids, np.array([number[r.lang] for r in found], np.int64), np.array([bounds[x] for x in languages]), idf)
+    return Model(languages, centroids, np.array([number[r.lang] for r in found], np.int64), np.array([bound[x] for x in languages]).reshape(-1, CLASSES), idf)
 
 
 def held_out(doc_id):

@@ -255,6 +255,19 @@ def test_language_accuracy_on_held_out_rows(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_unlearned_languages_and_random_strings_go_and_short_rows_stay(spark):
+    r = random.Random(4)
+    strange = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(k)) for k in (8, 20, 20, 150, 150)]
+    strange += ["Tämä on suomenkielinen lause, jota malli ei ole nähnyt koskaan aikaisemmin.", "Это предложение на русском языке, которое модель никогда раньше не видела.", "To zdanie jest po polsku i model nigdy wcześniej go nie widział."]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(strange)], docs.schema)
+    short = docs.where(op6_language.held_out(F.col("doc_id"))).select((-1000 - F.col("doc_id")).alias("doc_id"), F.substring("text", 1, 40).alias("text"), F.lit(None).cast("string").alias("lang"))
+    rows = op6_language.identify(docs.unionByName(odd).unionByName(short)).collect()
+    assert all(x.rejected for x in rows if -1000 < x.doc_id < 0)
+    for own in ([x for x in rows if x.doc_id >= 0 and x.held_out], [x for x in rows if x.doc_id <= -1000]):
+        assert len(own) > 200 and sum(x.rejected for x in own) <= 0.05 * len(own)
+
+
 def test_language_of_nothing(spark):
     rows = [(1, "the and of it", "en"), (2, None, "en"), (3, "12 .. !", "en"), (4, "la que de los", None), (None, "the and", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
