@@ -3,13 +3,14 @@
 Overlapping heuristic labellers vote good (1), bad (0) or abstain on whole texts. Expectation-maximisation over the counts
 of vote patterns, of which there are at most 3 to the number of labellers whatever the corpus, estimates how each
 labeller votes given the true class. Its posteriors are soft labels for a hashed linear scorer over words, word stems and
-punctuation shapes, which then scores every document. A second head scores toxicity the same way: its labellers are a
-word list and, where rows of ``labels`` exist, those.
+punctuation shapes, which then scores every document. A second head scores toxicity. It learns from ``labels`` alone, in
+whatever languages they cover, over the features that go with toxic labels beyond chance (all features, if none does).
 
 Fitting takes at most ``SAMPLE`` documents for each head, the classifier's documented bound; pattern counts cover all.
 
 Edge cases: null and empty texts have only votes of length and get the scorer's bias; with a single pattern the posterior
-is the prior; an empty table gives an empty result; without ``labels`` the word list alone teaches the second head.
+is the prior; an empty table gives an empty result; without labels of both classes the second head has no teacher, and its score and
+verdict are null.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ CACHE_WORDS = 200_000
 
 SCHEMA = "doc_id long, votes string, posterior double, score double, keep boolean, toxic_score double, toxic boolean"
 
-#: Words of the toxicity word list.
-TOXIC_WORDS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+#: Standard deviations by which a feature occurs more often than by chance in toxic rows, and rows it needs.
+TELLING, TELLING_ROWS = 4.5, 3
 
 _SENTENCE = re.compile(r"[.!?](?:\s|$)")
 _SYMBOL = re.compile(r"[#%*$&|<>{}\[\]\\^~=+_]")
@@ -158,8 +159,22 @@ def train(rows: list[np.ndarray], target: np.ndarray, mean: bool) -> Scorer:
     return Scorer(weights, float(bias), mean)
 
 
-def word_list_hits(text: str | None) -> int:
-    return len(TOXIC_WORDS.intersection(_WORD.findall((text or "").lower())))
+def telling(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """A flag for each feature: in rows of target 1 more often than independence allows. All, if there is none."""
+    seen = np.bincount(np.concatenate(rows), minlength=DIMS)
+    both = np.bincount(np.concatenate(rows), np.repeat(target, [len(r) for r in rows]), DIMS)
+    share = target.mean()
+    spread = np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / len(rows)), 1e-9))
+    out = (both - seen * share - 0.5 >= TELLING * spread) & (seen >= TELLING_ROWS)
+    return out if out.any() else np.ones(DIMS, bool)
+
+
+def toxicity(rows: list[np.ndarray], target: np.ndarray) -> Scorer | None:
+    """The second head; none without labelled rows of both classes."""
+    if len(set(target.tolist())) < 2:
+        return None
+    flags = telling(rows, target)
+    return train([r[flags[r]] for r in rows], target, False)
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,13 +203,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
         part = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         picked = known.where(part < min(1.0, 0.9 * SAMPLE / max(size, 1)))
         taught = fetched(rows.join(picked, rows["doc_id"] == picked["_id"]).select("doc_id", "text", (F.col("_toxic") > 0).cast("double").alias("toxic")))
-        pairs = [(r.ids, r.toxic) for r in taught]
     else:
-        pairs = []
-    pairs += [(r.ids, 1.0) for r in quality if r.hits >= 2]
-    if not any(y for _, y in pairs) or len(pairs) < 50:
-        pairs += [(r.ids, float(r.hits >= 2)) for r in quality]
-    bad = train([ids for ids, _ in pairs], np.array([y for _, y in pairs]), False)
+        taught = []
+    bad = toxicity([r.ids for r in taught], np.array([r.toxic for r in taught]))
     held = spark.sparkContext.broadcast((posterior, good, bad))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +216,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = t.as_py()
                 v, ids = votes(text), own.of(text)
-                p, s, x = posterior_.get(v, PRIOR), good_.score(ids), bad_.score(ids)
-                made.append((i, v, p, s, (p + s) / 2 >= 0.5, x, x >= 0.5 or word_list_hits(text) >= 2))
+                p, s, x = posterior_.get(v, PRIOR), good_.score(ids), bad_.score(ids) if bad_ else None
+                made.append((i, v, p, s, (p + s) / 2 >= 0.5, x, None if x is None else x >= 0.5))
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made) if made else [()] * 7, kinds)], ["doc_id", "votes", "posterior", "score", "keep", "toxic_score", "toxic"])
 
@@ -217,7 +228,7 @@ class Example:
     """What the fit needs of a sampled document."""
 
     def __init__(self, row):
-        self.ids, self.votes, self.hits, self.toxic = np.array(row.ids, np.int64), row.votes, row.hits, row.toxic
+        self.ids, self.votes, self.toxic = np.array(row.ids, np.int64), row.votes, row.toxic
 
 
 def fetched(rows: DataFrame) -> list[Example]:
@@ -227,7 +238,7 @@ def fetched(rows: DataFrame) -> list[Example]:
         features = Features()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([features.of(t).astype(np.int32) for t in texts], pa.list_(pa.int32())), pa.array([votes(t) for t in texts], pa.string()), pa.array([word_list_hits(t) for t in texts], pa.int64()), batch.column("toxic")], ["doc_id", "ids", "votes", "hits", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([features.of(t).astype(np.int32) for t in texts], pa.list_(pa.int32())), pa.array([votes(t) for t in texts], pa.string()), batch.column("toxic")], ["doc_id", "ids", "votes", "toxic"])
 
-    made = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, ids array<int>, votes string, hits long, toxic double")
+    made = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, ids array<int>, votes string, toxic double")
     return [Example(r) for r in sorted(made.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.ids))]

@@ -335,6 +335,18 @@ def test_quality_and_toxicity(spark, sf):
     assert sum(r.toxic == bool(r.labelled) for r in rows) >= 0.95 * len(rows)
 
 
+def test_toxicity_follows_labels_in_any_language_and_no_list(spark):
+    r = random.Random(8)
+    words = noise(9, 400, "abcdefghinorst", 8)
+    rows = [" ".join(r.choices(words, k=120) + (["réêou", "achlich"][i % 2 :][:1] if i % 8 < 2 else [])) for i in range(400)]
+    extra = ["stupid trash " + " ".join(r.choices(words, k=400)), "one réêou " + " ".join(r.choices(words, k=100)), "my achlich " + " ".join(r.choices(words, k=100))]
+    labels = spark.createDataFrame([(i, int(i % 8 < 2)) for i in range(400)], "doc_id long, toxic int")
+    docs = docs_of(spark, rows + extra)
+    got = {x.doc_id: x for x in op8_quality.classify(docs, labels).where("doc_id >= 400").collect()}
+    assert [got[i].toxic for i in (400, 401, 402)] == [False, True, True]
+    assert {(x.toxic_score, x.toxic) for x in op8_quality.classify(docs).collect()} == {(None, None)}
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.7
