@@ -34,8 +34,10 @@ RAW = frozenset("script style noscript template iframe object svg math textarea
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: Elements that never hold the article.
 OUTSIDE = frozenset("nav footer aside form menu dialog button select fieldset head".split()) | RAW
-#: Class or id words that mark what surrounds an article.
-AROUND = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|respond|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice\w*|pager|pagination|popup|promo\w*|related|rail|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widgets?|alert|login|signup|search|skip)(?:$|[\s_-])", re.I)
+#: Class or id words that mark what surrounds an article, words that may stand beside them, words of readers' own texts.
+AROUND = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|respond|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice\w*|pager|pagination|popup|promo\w*|related|rail|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widgets?|alert|login|signup|search|skip)", re.I)
+BESIDE = frozenset("area bar block box container inner list section site slot unit wrap wrapper".split())
+READERS = frozenset("comment comments commentlist respond disqus replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 ARTICLE = frozenset(["article", "main"])
 _HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?$")
@@ -47,21 +49,34 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
 class Block:
-    __slots__ = ("path", "text", "linked", "outside", "article")
+    __slots__ = ("path", "text", "linked", "outside", "article", "wraps")
 
-    def __init__(self, path: str, text: str, linked: int, outside: bool, article: bool):
-        self.path, self.text, self.linked, self.outside, self.article = path, text, linked, outside, article
+    def __init__(self, path: str, text: str, linked: int, outside: bool, article: bool, wraps: tuple[Node, ...] = ()):
+        self.path, self.text, self.linked, self.outside, self.article, self.wraps = path, text, linked, outside, article, wraps
 
 
 class Node:
-    __slots__ = ("tag", "path", "outside", "article")
+    __slots__ = ("tag", "path", "outside", "article", "wraps", "readers")
 
     def __init__(self, tag: str, path: str, outside: bool, article: bool):
         self.tag, self.path, self.outside, self.article = tag, path, outside, article
+        self.wraps: tuple[Node, ...] = ()  # elements around the node whose class or id marks surroundings
+        self.readers = False
+
+
+def around(value: str) -> set[str]:
+    """The words of whole classes or ids that mark surroundings: has-sidebar or entry-header is none, cookie-notice is."""
+    out: set[str] = set()
+    for name in value.lower().split():
+        parts = [w for w in re.split(r"[_-]+", name) if w and w not in BESIDE]
+        if all(map(AROUND.fullmatch, parts)):
+            out.update(parts)
+    return out
 
 
 def entered(parent: Node, tag: str, attrs: str) -> Node:
     """The node of an opening block tag."""
+    words: set[str] = set()
     outside, name, article = parent.outside or tag in OUTSIDE, tag, parent.article or tag in ARTICLE
     if tag == "header" and not parent.article:
         outside = True
@@ -70,14 +85,33 @@ def entered(parent: Node, tag: str, attrs: str) -> Node:
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
                 name += "." + value
-                if tag not in ("body", "html", "article", "main") and AROUND.search(value):
-                    outside = True
+                if tag not in ("body", "html", "article", "main"):
+                    words |= around(value)
             elif key == "role":
                 outside = outside or value.lower() in ROLES
                 article = article or value.lower() in ARTICLE
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
                 outside = True
-    return Node(tag, f"{parent.path}/{name}", outside, article)
+    node = Node(tag, f"{parent.path}/{name}", outside, article)
+    if parent.article:
+        words.discard("header")
+    node.readers = not words.isdisjoint(READERS)
+    node.wraps = (*parent.wraps, node) if words else parent.wraps
+    return node
+
+
+def unwrapped(found: list[Block]) -> None:
+    """Puts blocks outside that marked elements hold, unless such an element wraps most of the text or of the article."""
+    inside = [b for b in found if not b.outside]
+    marked = [b for b in inside if b.article]
+    total = sum(len(b.text) for b in marked or inside)
+    held: dict[Node, int] = {}
+    for b in marked or inside:
+        for w in b.wraps:
+            if b.path != w.path:
+                held[w] = held.get(w, 0) + len(b.text)
+    for b in inside:
+        b.outside = any(w.readers or 2 * held.get(w, 0) <= total for w in b.wraps)
 
 
 def blocks(page: str) -> list[Block]:
@@ -91,7 +125,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
                 node = stack[-1]
-                out.append(Block(node.path, text, linked, node.outside, node.article))
+                out.append(Block(node.path, text, linked, node.outside, node.article, node.wraps))
             held.clear()
         linked = 0
 
@@ -130,6 +164,7 @@ def blocks(page: str) -> list[Block]:
     if at < len(page):
         held.append(page[at:])
     flush()
+    unwrapped(out)
     return out
 
 

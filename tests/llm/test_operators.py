@@ -239,6 +239,15 @@ def test_paths_part_boilerplate_without_listed_words():
     assert op5_html.main_text(f"<body><div>{text}</div><p>Short one.</p><p>Short two.</p></body>") == f"{text} Short one. Short two."
 
 
+@pytest.mark.parametrize("kind", ["layout has-sidebar", "no-sidebar", "post comments-open", "nav-open", "header-fixed", "sidebar"])
+def test_wrappers_with_listed_words_keep_the_article(kind):
+    text = "It rained all day, and the river rose, slowly at first; by night it had reached the mill."
+    body = f"<div class='entry-header'><h1>The flood</h1></div>{f'<p>{text}</p>' * 3}<div class='cookie-notice'>We use cookies.</div><div class=comments><p>{text}</p></div>"
+    want = " ".join(["The flood", *[text] * 3])
+    assert op5_html.main_text(f"<div class='{kind}'>{body}</div>") == want
+    assert op5_html.main_text(f"<div id='{kind}'><article>{body}</article></div>") == want
+
+
 def test_pages_of_any_kind(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<div>"), (4, "u", "plain <b"), (5, "u", "<p>" * 3000 + "deep, text."), (6, "u", "<nav><p>only menus</p></nav>")]
     rows = {r.page_id: r for r in op5_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
