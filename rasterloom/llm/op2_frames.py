@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,31 +147,44 @@ class ByteBPE:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 0xFFFF else 4
         self.memory: dict[str, bytes] = {}
         self.cut = re.compile(r"(?<=\S) (?=\S)")
+        self.uneven = re.compile(r"\s\s|^\s|\s\Z")
+        #: Whether a token begins with a space, which a word's first token alone does.
+        self.leads = np.zeros(1 << (8 * self.width), bool) if self.width == 2 else np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
     def words(self, text: str) -> list[str]:
-        """The pieces. A plain split at spaces serves unless a piece is empty or has white space at an end."""
-        words = text.split(" ")
-        odd = [w for w in set(words).difference(self.memory) if not w or w[0].isspace() or w[-1].isspace()]
-        return self.cut.split(text) if odd else words
+        """The pieces. A plain split at spaces serves where no white space stands beside other white space or at an end."""
+        return self.cut.split(text) if self.uneven.search(text) else text.split(" ")
+
+    def learn(self, new: list[str]) -> None:
+        """Remembers words as they are after a space. Words without one inside are encoded together, and told apart by it."""
+        memory, plain = self.memory, [w for w in new if " " not in w]
+        for at in range(0, len(plain), 64):
+            part = plain[at : at + 64]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            edges = (np.flatnonzero(self.leads[ids]) * self.width).tolist()
+            if len(edges) != len(part):
+                raise ValueError("a word's first token is expected to begin with its space")
+            data = ids.tobytes()
+            memory.update(zip(part, map(data.__getitem__, map(slice, edges, [*edges[1:], len(data)]))))
+        odd = [w for w in new if " " in w]
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([" " + w for w in odd], add_special_tokens=False) if odd else ()):
+            memory[w] = self.pack(e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         split = [self.words(t) if t else [] for t in texts]
-        memory, tokenizer = self.memory, self.tokenizer
-        if len(memory) > CACHE_WORDS:
-            memory.clear()
-        new = {w for words in split for w in words[1:]}.difference(memory)
-        firsts = [words[0] for words in split if words]
-        wanted = [" " + w for w in new]
-        found = tokenizer.encode_batch_fast(wanted + firsts, add_special_tokens=False) if wanted or firsts else []
-        for w, e in zip(new, found):
-            memory[w] = self.pack(e.ids)
-        heads = iter(found[len(wanted) :])
-        get = memory.__getitem__
-        return [self.pack(next(heads).ids) + b"".join(map(get, words[1:])) if words else b"" for words in split]
+        heads = iter(self.tokenizer.encode_batch_fast([words[0] for words in split if words], add_special_tokens=False))
+        if len(self.memory) > CACHE_WORDS:
+            self.memory.clear()
+        rest = [words[1:] for words in split]
+        if new := set(chain.from_iterable(rest)).difference(self.memory):
+            self.learn(list(new))
+        get = self.memory.__getitem__
+        return [self.pack(next(heads).ids) + b"".join(map(get, words)) if whole else b"" for whole, words in zip(split, rest)]
 
 
 @lru_cache(maxsize=2)
