@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice, pairwise
 
 import pyarrow as pa
 import regex
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 
 #: Words a worker remembers; the memory of what it has encoded is emptied beyond that.
 CACHE_WORDS = 600_000
-#: Characters of a text that are looked at together, and of a word that is encoded in one piece.
-SLICE_CHARS, WORD_CHARS = 1 << 18, 512
+#: Characters of a text that are looked at together.
+SLICE_CHARS = 1 << 18
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -44,8 +45,8 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
-#: Stands for the word-end suffix, and is none of the byte symbols.
-MARK = "\ue000"
+#: What str.split takes for white space and the tokenizer does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 BYTE_OF = {s: b for b, s in byte_symbols().items()}
 
 
@@ -55,96 +56,58 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
         self.tokens = {i: t for t, i in vocab.items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         self.rules: list[tuple[int, int, int]] = []
+        #: By left token: the ranks of its rules by right token. Tokens that begin no rule share one empty dictionary.
+        self.rank: dict[int, dict[int, int]] = dict.fromkeys(self.tokens, {})
         for a, b in merges:
-            joined = vocab.get(a + b)
-            if a in vocab and b in vocab and joined is not None and (vocab[a], vocab[b]) not in self.rank:
-                self.rank[vocab[a], vocab[b]] = (len(self.rules), joined)
-                self.rules.append((vocab[a], vocab[b], joined))
+            x, y, joined = vocab.get(a), vocab.get(b), vocab.get(a + b)
+            if x is not None and y is not None and joined is not None and y not in self.rank[x]:
+                if not self.rank[x]:
+                    self.rank[x] = {}
+                self.rank[x][y] = len(self.rules)
+                self.rules.append((x, y, joined))
+        self.joined = [j for *_, j in self.rules]
         symbols = byte_symbols()
-        self.inner = {b: vocab.get(s) for b, s in symbols.items()}
-        self.last = {b: vocab.get(s + suffix) for b, s in symbols.items()}
-        self.symbols = {b: ord(c) for b, c in symbols.items()}
-        made = {i for *_, i in self.rules} | {i for i in (*self.inner.values(), *self.last.values()) if i is not None}
-        self.strings = {t.removesuffix(suffix) + MARK if suffix and t.endswith(suffix) else t: i for t, i in vocab.items() if i in made}
-        #: The longest token by its first two symbols.
-        self.longest: dict[str, int] = {}
-        for t in self.strings:
-            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 0))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.inner = [vocab.get(symbols[b]) for b in range(256)]
+        self.last = [vocab.get(symbols[b] + suffix) for b in range(256)]
+        self.whole = None not in self.inner and None not in self.last
         self.width = {i: len(t.removesuffix(suffix)) if suffix else len(t) for t, i in vocab.items()}
         self.lookahead = sufficient_lookahead(self.rules, self.width)
 
     def encode(self, ids: list[int]) -> list[int]:
-        """Canonical encoding of a short list of symbol ids: the leftmost pair of lowest rank merges first."""
-        if len(ids) > 48:
+        """Canonical encoding of symbol ids: the leftmost pair of lowest rank merges first."""
+        if len(ids) > 64:
             return self._encode_heap(ids)
-        ids, rank, none = ids[:], self.rank, (1 << 60, 0)
-        ranks = [rank.get(p, none)[0] for p in zip(ids, ids[1:])]
-        while ranks and (low := min(ranks)) != none[0]:
+        ids, rank, joined, none = ids[:], self.rank, self.joined, 1 << 60
+        ranks = [rank[a].get(b, none) for a, b in pairwise(ids)]
+        while ranks and (low := min(ranks)) != none:
             i = ranks.index(low)
-            ids[i : i + 2] = [rank[ids[i], ids[i + 1]][1]]
-            del ranks[i]
+            ids[i] = token = joined[low]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank.get((ids[i - 1], ids[i]), none)[0]
+                ranks[i - 1] = rank[ids[i - 1]].get(token, none)
             if i < len(ranks):
-                ranks[i] = rank.get((ids[i], ids[i + 1]), none)[0]
+                ranks[i] = rank[token].get(ids[i + 1], none)
         return ids
 
-    def encode_word(self, data: bytes) -> list[int]:
-        """The same for a whole word that the buffer holds, from remembered pairs.
-
-        A split into tokens is the canonical one if and only if each two neighbours are the encoding of their own
-        concatenation. Longest tokens are tried first; a dead end goes back one token.
-        """
-        s = data.decode("latin-1").translate(self.symbols) + MARK * bool(self.suffix)
-        find, pairs, out, at, end = self.strings.get, self.pairs, [], 0, len(s)
-        before, most, longest = -1, end, self.longest.get
-        while at < end:
-            for n in range(min(most, end - at, longest(s[at : at + 2], 1)), 0, -1):
-                if (t := find(s[at : at + n])) is not None and (ok if (ok := pairs.get((before, t))) is not None else self._fits(before, t)):
-                    out.append((t, n))
-                    at, before, most = at + n, t, end
-                    break
-            else:
-                if not out:
-                    return self.encode([i for i in [*(self.inner[b] for b in data[:-1]), self.last[data[-1]]] if i is not None])
-                t, n = out.pop()
-                at, before, most = at - n, out[-1][0] if out else -1, n - 1
-        return [t for t, _ in out]
-
-    def _fits(self, a: int, b: int) -> bool:
-        if len(self.pairs) > 4 * CACHE_WORDS:
-            self.pairs.clear()
-        own = [*(self.parts(a) if a >= 0 else []), *self.parts(b)]
-        self.pairs[a, b] = ok = self.encode(own) == ([a, b] if a >= 0 else [b])
-        return ok
-
-    def parts(self, token: int) -> list[int]:
-        """The symbols that a token is made of."""
-        t = self.tokens[token]
-        tail = bool(self.suffix) and t.endswith(self.suffix) and len(t) > len(self.suffix)
-        body = t.removesuffix(self.suffix) if tail else t
-        return [self.vocab[c + self.suffix if tail and i == len(body) - 1 else c] for i, c in enumerate(body)]
-
     def _encode_heap(self, ids: list[int]) -> list[int]:
-        n, rank = len(ids), self.rank
+        """The same, for a buffer so long that looking for the lowest rank each time would be slow."""
+        n, rank, joined = len(ids), self.rank, self.joined
         ids, left, right, dead = ids[:], list(range(-1, n - 1)), list(range(1, n + 1)), [False] * n
-        heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank[ids[i]].get(ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = right[i]
             if dead[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], dead[j] = rank[a, b][1], True
+            ids[i], dead[j] = joined[r], True
             right[i] = right[j]
             if right[j] < n:
                 left[right[j]] = i
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n and (r := rank.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[y]))
+                if x >= 0 and y < n and (r := rank[ids[x]].get(ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [t for t, gone in zip(ids, dead) if not gone]
 
 
@@ -170,35 +133,48 @@ def sufficient_lookahead(rules: list[tuple[int, int, int]], width: dict[int, int
 
 
 class Transducer:
-    """Streams the symbols of one word: ``feed`` yields tokens once they are stable, ``finish`` the rest."""
+    """Streams the bytes of one word after another: ``feed`` returns tokens once they are stable, ``finish`` the rest.
 
-    def __init__(self, merges: Merges, room: int = 256):
-        self.merges, self.buffer, self.room = merges, [], merges.lookahead + 1 + room
+    Bytes come in pieces of any length; the buffer holds at most the lookahead, ``room`` twice and one token. ``taken``
+    counts the bytes that have passed.
+    """
 
-    def feed(self, data: bytes) -> Iterator[int]:
+    def __init__(self, merges: Merges, room: int = 256):
+        self.merges, self.buffer, self.room, self.taken = merges, b"", room, 0
+        self.most = merges.lookahead + 1 + room
+
+    def feed(self, data: bytes) -> list[int]:
+        self.taken += len(data)
+        if len(self.buffer) + len(data) < self.most:
+            self.buffer += data
+            return []
+        out: list[int] = []
         for at in range(0, len(data), self.room):
             self.buffer += data[at : at + self.room]
-            if len(self.buffer) >= self.room:
-                yield from self._stable()
+            if len(self.buffer) >= self.most:
+                out += self._stable()
+        return out
 
-    def _stable(self) -> Iterator[int]:
+    def _stable(self) -> list[int]:
         """The buffer's last symbol may yet get the word-end suffix, so it counts as unseen."""
-        m, limit, at = self.merges, len(self.buffer) - 1 - self.merges.lookahead, 0
-        ids = [i for b in self.buffer if (i := m.inner[b]) is not None]
-        if len(ids) != len(self.buffer):
-            return
-        for token in m.encode(ids):
+        m, at, out = self.merges, 0, []
+        limit = len(self.buffer) - 1 - m.lookahead
+        for token in m.encode([m.inner[b] for b in self.buffer]):
             if at + m.width[token] > limit:
                 break
             at += m.width[token]
-            yield token
-        del self.buffer[:at]
+            out.append(token)
+        self.buffer = self.buffer[at:]
+        return out
 
     def finish(self) -> list[int]:
+        if not (data := self.buffer):
+            return []
+        self.buffer = b""
         m = self.merges
-        ids = [m.inner[b] for b in self.buffer[:-1]] + [m.last[b] for b in self.buffer[-1:]]
-        self.buffer = []
-        return m.encode([i for i in ids if i is not None])
+        ids = [m.inner[b] for b in data]
+        ids[-1] = m.last[data[-1]]
+        return m.encode(ids)
 
 
 class ByteTextMachine:
@@ -228,17 +204,28 @@ class ByteTextMachine:
             return self.utf8.decode(b"", True) + s
         return self.utf8.decode(bytes(self.bytes_of[c] for c in body)) + (" " if tail else "")
 
+    def push_all(self, ids: list[int]) -> str:
+        """What ``push`` returns for one id after another, joined."""
+        if not self.raw:
+            return "".join(map(self.push, ids))
+        out = " ".join([s for i in ids if (s := self.tokens.get(i)) is not None])
+        lead, self.begun = " " if self.begun and out else "", self.begun or bool(out)
+        return lead + out
+
     def end(self) -> str:
         return "" if self.raw else self.utf8.decode(b"", True)
 
 
 class WordBPE:
-    """The tokenizer file's whole way: special tokens, NFC, lower case, splitting, merging."""
+    """The tokenizer file's whole way: special tokens, NFC, lower case, splitting, merging.
+
+    Every word goes through the transducer; words that it has encoded are remembered.
+    """
 
     #: Fixed value: the file's split pattern.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Fixed value: Unicode's White_Space.
-    SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+    SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -246,65 +233,127 @@ class WordBPE:
         model = data["model"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = Merges(model["vocab"], pairs, model.get("end_of_word_suffix") or "")
+        if not self.merges.whole:
+            raise ValueError("the vocabulary is expected to hold all bytes")
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         if not all(t.startswith("<|") for t in self.special):
             raise ValueError("special tokens are expected to begin with <|")
         self.tokens = self.merges.tokens | {i: t for t, i in self.special.items()}
-        self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.find_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         self.pieces = regex.compile(self.PATTERN.replace(r"\s", self.SPACE))
         self.space = re.compile(f"[{self.SPACE}]+")
-        self.memory: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, list[int]] = {}
-
-    def chunks(self, text: str) -> Iterator[list[str]]:
-        """Stretches without white space, a bounded slice of the text at a time. No token or normal form spans white space."""
+        self.machine = Transducer(self.merges)
+        #: By word, and by stretch without white space: its ids in decimal, and what they decode to.
+        self.word_ids: dict[str, str] = {}
+        self.word_texts: dict[str, str] = {}
+        self.ids: dict[str, str] = {}
+        self.texts: dict[str, str] = {}
+
+    def chunks(self, text: str) -> Iterator[list[str] | range]:
+        """Lists of stretches without white space, of a bounded slice of the text; the range of a stretch beyond a slice."""
         at = 0
         while at < len(text):
-            end = at + SLICE_CHARS
-            if end < len(text):
-                found = self.space.search(text, end)
-                end = found.start() if found else len(text)
-            piece = text[at:end]
-            yield [c for c in self.space.split(piece) if c] if re.search("[\x1c-\x1f]", piece) else piece.split()
+            piece = text[at : at + SLICE_CHARS]
+            words = [w for w in self.space.split(piece) if w] if _SEPARATORS.search(piece) else piece.split()
+            end = at + len(piece)
+            if end < len(text) and words and piece.endswith(words[-1]):  # it may go on
+                end -= len(words.pop())
+                if end == at:
+                    found = self.space.search(text, at + len(piece))
+                    end = found.start() if found else len(text)
+                    yield range(at, end)
+            if words:
+                yield words
             at = end
 
-    def ids_of(self, chunk: str) -> list[int]:
-        """Token ids of a short stretch without white space."""
-        if self.split_special and "<|" in chunk:
-            return list(self.stream(chunk))
-        out: list[int] = []
-        for word in self.pieces.findall(lower(chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk))):
-            out += self.word(word)
-        return out
+    def pieces_of(self, chunk: str) -> list[str]:
+        """The words of a short stretch without white space and special tokens."""
+        chunk = lower(chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk))
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pieces.findall(chunk)
 
-    def stream(self, chunk: str) -> Iterator[int]:
-        """Token ids of a stretch without white space."""
-        for part in self.split_special.split(chunk) if self.split_special else [chunk]:
-            if part in self.special:
-                yield self.special[part]
-                continue
-            for word in self.pieces.finditer(lower(unicodedata.normalize("NFC", part))):
-                if word.end() - word.start() <= WORD_CHARS:
-                    yield from self.word(word[0])
+    def word(self, word: str) -> list[int]:
+        return self.machine.feed(word.encode()) + self.machine.finish()
+
+    def _remember(self, chunk: str) -> None:
+        """Strings alone are kept, as containers would cost the garbage collector time."""
+        if "<|" in chunk and self.find_special.search(chunk):
+            found = list(self.stream(chunk, range(len(chunk))))
+            self.ids[chunk], self.texts[chunk] = " ".join(map(str, found)), self._decoded(found)
+            return
+        ids, texts, pieces = self.word_ids, self.word_texts, self.pieces_of(chunk)
+        for word in pieces:
+            if word not in ids:
+                if len(ids) >= CACHE_WORDS // 2:
+                    ids.clear()
+                    texts.clear()
+                    return self._remember(chunk)
+                found = self.word(word)
+                ids[word], texts[word] = " ".join(map(str, found)), self._decoded(found)
+        if len(pieces) == 1:
+            self.ids[chunk], self.texts[chunk] = ids[pieces[0]], texts[pieces[0]]
+        else:
+            self.ids[chunk], self.texts[chunk] = " ".join(map(ids.__getitem__, pieces)), " ".join(map(texts.__getitem__, pieces))
+
+    def _decoded(self, ids: list[int]) -> str:
+        return ByteTextMachine(self.tokens).push_all(ids)
+
+    def stream(self, text: str, where: range) -> Iterator[int]:
+        """Token ids of a stretch of any length, in constant memory beside the text."""
+        at = where.start
+        for found in (*self.find_special.finditer(text, where.start, where.stop), None):
+            yield from self._open(text, at, found.start() if found else where.stop)
+            if found:
+                yield self.special[found[0]]
+                at = found.end()
+
+    def _open(self, text: str, at: int, stop: int) -> Iterator[int]:
+        """Slices are cut where no normal form spans the cut; a word that reaches a slice's end stays in the transducer."""
+        held, running = "", None
+        while at < stop:
+            end = min(at + SLICE_CHARS, stop)
+            while end < stop and (unicodedata.category(text[end])[0] == "M" or "\u1100" <= text[end] <= "\u11ff"):
+                end += 1
+            part, last = held + lower(unicodedata.normalize("NFC", text[at:end])), end == stop
+            held, at = "", end
+            if running:
+                run = running.match(part)
+                yield from self.machine.feed(run[0].encode())
+                part = part[run.end() :]
+                if not part and not last:
+                    continue
+                yield from self.machine.finish()
+                running = None
+            for word in self.pieces.finditer(part):
+                i, j = word.span()
+                if last or (j < len(part) and not (part[i] == "'" and i >= len(part) - 2)):
+                    yield from self.word(word[0]) if j - i < SLICE_CHARS else self.machine.feed(word[0].encode()) + self.machine.finish()
+                elif j - i > 2 and j == len(part) and (run := next((r for r in (self.letters, self.others) if r.fullmatch(part, i)), None)):
+                    running = run
+                    yield from self.machine.feed(word[0].encode())
                 else:
-                    machine = Transducer(self.merges)
-                    for i in range(word.start(), word.end(), WORD_CHARS):
-                        yield from machine.feed(word.string[i : min(i + WORD_CHARS, word.end())].encode())
-                    yield from machine.finish()
+                    held = part[i:]
+                    break
+        if held or running:
+            yield from self.machine.finish()
 
-    def word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.merges.encode_word(word.encode())
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+    letters, others = regex.compile(r"\p{L}*"), regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]*")
 
     def encode(self, text: str | None) -> Iterator[int]:
-        for chunk in self.chunks(text or ""):
-            for c in chunk:
-                yield from self.stream(c)
+        text = text or ""
+        for chunk in self.chunks(text):
+            if isinstance(chunk, range):
+                yield from self.stream(text, chunk)
+            else:
+                for c in chunk:
+                    if "<|" in c:
+                        yield from self.stream(c, range(len(c)))
+                    else:
+                        for word in self.pieces_of(c):
+                            yield from self.word(word)
 
     def decode(self, ids: Iterable[int], raw: bool = True) -> Iterator[str]:
         machine = ByteTextMachine(self.tokens, self.merges.suffix, raw)
@@ -314,37 +363,29 @@ class WordBPE:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, and SHA-256 of the ids and of what they decode to; texts of any length in constant memory."""
-        count, ids_hash, text_hash, first = 0, hashlib.sha256(), hashlib.sha256(), True
-        memory = self.memory
-        for chunk in self.chunks(text or ""):
-            if any(map(WORD_CHARS.__lt__, map(len, chunk))):
-                found = [d for c in chunk for d in self._long(c)]
-            else:
-                for c in set(chunk).difference(memory):
-                    memory[c] = self._described(self.ids_of(c))
-                found = list(map(memory.__getitem__, chunk))
-                if len(memory) >= CACHE_WORDS:
-                    memory.clear()
-            if found := [f for f in found if f[0]]:
-                n, ids, words = zip(*found)
-                count += sum(n)
-                lead = "" if first else " "
-                ids_hash.update((lead + " ".join(ids)).encode())
-                text_hash.update((lead + " ".join(words)).encode())
-                first = False
+        text, count, ids_hash, text_hash, lead = text or "", 0, hashlib.sha256(), hashlib.sha256(), ""
+        for chunk in self.chunks(text):
+            for ids, words in self._described(text, chunk):
+                count += ids.count(" ") + 1
+                ids_hash.update((lead + ids).encode())
+                text_hash.update((lead + words).encode())
+                lead = " "
         return count, ids_hash.hexdigest(), text_hash.hexdigest()
 
-    def _described(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), "".join(self.decode(ids))
-
-    def _long(self, chunk: str) -> Iterator[tuple[int, str, str]]:
-        held: list[int] = []
-        for i in self.stream(chunk):
-            held.append(i)
-            if len(held) >= 4096:
-                yield self._described(held)
-                held = []
-        yield self._described(held)
+    def _described(self, text: str, chunk: list[str] | range) -> Iterator[tuple[str, str]]:
+        """Decimal ids and decoded text of a chunk; every stretch has a token, as the vocabulary holds all bytes."""
+        if isinstance(chunk, range):
+            stream = self.stream(text, chunk)
+            while held := list(islice(stream, 4096)):
+                yield " ".join(map(str, held)), self._decoded(held)
+            return
+        ids, texts = self.ids, self.texts
+        if len(ids) >= CACHE_WORDS:
+            ids.clear()
+            texts.clear()
+        for c in set(chunk).difference(ids):
+            self._remember(c)
+        yield " ".join(map(ids.__getitem__, chunk)), " ".join(map(texts.__getitem__, chunk))
 
 
 def lower(text: str) -> str:

@@ -60,15 +60,51 @@ def test_encoding_and_decoding_equal_the_library():
         assert bpe.digest(t) == (len(ids), sha(" ".join(map(str, ids))), sha(text))
 
 
+def brute_merges(m, word):
+    """The merge list applied rule by rule, each from left to right."""
+    ids = [m.inner[b] for b in word[:-1]] + [m.last[b] for b in word[-1:]]
+    for a, b, joined in m.rules:
+        i = 0
+        while i < len(ids) - 1:
+            if (ids[i], ids[i + 1]) == (a, b):
+                ids[i : i + 2] = [joined]
+            i += 1
+    return ids
+
+
 @pytest.mark.parametrize("room", [1, 7, 256])
 def test_transducer_emits_only_stable_tokens_in_bounded_memory(room):
     m = op1_bpe.word_bpe(WORD).merges
     for word in noise(3, 6, "aehinst", 4000):
-        machine, out = op1_bpe.Transducer(m, room), []
+        machine, out, most = op1_bpe.Transducer(m, room), [], 0
         for i in range(0, len(word), 50):
             out += machine.feed(word[i : i + 50].encode())
-            assert len(machine.buffer) <= m.lookahead + 1 + max(room, *m.width.values())  # one token may wait whole
-        assert out + machine.finish() == m.encode_word(word.encode())
+            most = max(most, len(machine.buffer))
+        assert most <= m.lookahead + 1 + max(room, 50) + max(m.width.values())  # one token may wait whole
+        assert out + machine.finish() == m._encode_heap([*(m.inner[b] for b in word[:-1].encode()), *(m.last[b] for b in word[-1:].encode())])
+        assert machine.taken == len(word)
+    for word in [w for w in noise(4, 4, "aehinst", 90) if w]:
+        machine = op1_bpe.Transducer(m, room)
+        assert machine.feed(word.encode()) + machine.finish() == brute_merges(m, word.encode())
+
+
+def test_every_word_passes_the_transducer():
+    bpe = op1_bpe.WordBPE(WORD)
+    words = {w for w in noise(5, 300, "aehinstré", 40) if w} | {"x" * 5000}
+    bpe.digest(" ".join(words))
+    assert bpe.machine.taken == sum(len(w.encode()) for w in {op1_bpe.lower(op1_bpe.unicodedata.normalize("NFC", w)) for w in words})
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 40])
+def test_stretches_beyond_a_slice_are_encoded_piece_by_piece(size, monkeypatch):
+    """No normal form, word, contraction or special token is cut where a slice ends."""
+    monkeypatch.setattr(op1_bpe, "SLICE_CHARS", size)
+    bpe, lib = op1_bpe.WordBPE(WORD), library(WORD)
+    texts = ["it's'll're!!'s", "e\u0301e\u0301\u0327x", "ab<|endoftext|>'s<|startoftext|>1", "\u1112\u1161\u11abx", "x" * 300, "12!?'re''s" * 9, "a b\x1cc"]
+    for t in [*texts, *noise(6, 150, "abs'tre1!\u0301é<|>", 60), *noise(7, 60, "ab s'tr e1!\u0301é\n", 60)]:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert list(bpe.encode(t)) == ids, t
+        assert bpe.digest(t)[1] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
 def test_incremental_text_of_split_characters():
