@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 __all__ = [
-    "NO_ID", "id_of", "ids_back", "recorded", "removed", "shared_dir", "fresh_path", "cut", "table", "fs_of", "Rolling", "mix64", "concat_texts", "sha256_hex", "chunks_of", "as_bytes",
+    "NO_ID", "id_of", "ids_back", "free_names", "recorded", "removed", "shared_dir", "fresh_path", "cut", "table", "fs_of", "Rolling", "mix64", "concat_texts", "sha256_hex", "chunks_of", "as_bytes",
 ]
 
 
@@ -72,6 +72,17 @@ def ids_back(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in columns})
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, made longer until ``df`` has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: a lineage cut that outlives lost executors."""
     spark = df.sparkSession
@@ -140,9 +151,12 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Position-independent 64-bit hashes of any slice of an array, from one prefix sum.
 
-    P[i] is the sum of v[j]*B**j below i; (P[e]-P[s]) * B**-s depends on the slice alone.
+    P[i] is the sum of v[j]*B**j below i; (P[e]-P[s]) * B**-s depends on the slice alone. Such sums modulo 2**64 are known
+    to collide for long slices of a regular make, whatever the base, so slices beyond ``SOUND`` are digested by BLAKE2b.
     """
 
+    SOUND = 96
+
     BASE = 0x9E3779B97F4A7C15
     _up = np.ones(1, np.uint64)
     _down = np.ones(1, np.uint64)
@@ -161,6 +175,7 @@ class Rolling:
     def __init__(self, values: np.ndarray):
         """``values``: uint8 (bytes) or uint64 codes."""
         up, self.down = self.powers(len(values))
+        self.values = values
         self.prefix = np.empty(len(values) + 1, np.uint64)
         self.prefix[0] = 0
         codes = self._codes[values] if values.dtype == np.uint8 else values
@@ -168,7 +183,10 @@ class Rolling:
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hashes of [start, end); the length takes part."""
-        return mix64((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
+        out = mix64((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
+        for k in np.flatnonzero(end - start > self.SOUND).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(self.values[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
     def grams(self, q: int) -> np.ndarray:
         """Mixed hashes of every slice of length ``q``."""

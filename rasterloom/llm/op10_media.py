@@ -6,7 +6,9 @@ the shared folder. A join on digests resolves references; positions and captions
 because only digests and what is computed from a payload move.
 
 Edge cases: null and empty texts have a payload of padding alone; a reference without a stored payload resolves to
-nulls; equal payloads share one stored form and so equal values; sequences without media keep their text pieces.
+nulls; equal payloads share one stored form and so equal values; sequences without media keep their text pieces; very
+long payloads are one image of as many rows as they need; an empty table gives an empty result; repeated rows and ids keep a
+row each; other columns of the input take no part.
 """
 
 from __future__ import annotations
@@ -191,23 +193,27 @@ def resolve(sequences: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document as a page with a heading, its payload as a figure, and a caption."""
-    rows = docs.select(id_of(docs, id_col, "page_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("payload"))
-    size = F.octet_length("payload")
+    """Each document as a page: a heading, its first line, its payload as a figure with a caption, and its other lines."""
+    rows = docs.select(id_of(docs, id_col, "page_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    size = F.octet_length("text")
     units = F.greatest(F.lit(1), F.ceil(size / F.lit(UNIT))).cast("int")
     fill = F.unhex(F.repeat(F.lit("FF"), units * UNIT - size))
-    digest = F.sha2(F.concat("payload", fill), 256)
-    page = F.concat(F.lit("<article><h1>Document "), F.col("page_id").cast("string"), F.lit("</h1><figure><img src=\"digest:"), digest, F.lit("\"><figcaption>"), size.cast("string"), F.lit(" bytes</figcaption></figure></article>"))
+    digest = F.sha2(F.concat(F.col("text").cast("binary"), fill), 256)
+    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.split(safe, "\n")
+    paragraphs = lambda part: F.concat(F.lit("<p>"), F.array_join(part, "</p><p>"), F.lit("</p>"))
+    figure = F.concat(F.lit("<figure><img src=\"digest:"), digest, F.lit("\"><figcaption>"), size.cast("string"), F.lit(" bytes</figcaption></figure>"))
+    page = F.concat(F.lit("<article><h1>Document "), F.col("page_id").cast("string"), F.lit("</h1>"), paragraphs(F.slice(lines, 1, 1)), figure, paragraphs(F.slice(lines, 2, F.size(lines))), F.lit("</article>"))
     return rows.select("page_id", page.alias("html"))
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: sizes and digests of its payload as read back, of its stored form, and a feature.
+    """Per document: sizes and digests of its payload as read back, of its stored form, a feature, and the reference's
+    position among the document's pieces with the caption that stayed aligned with it.
 
-    The caption, which stays aligned with its reference, tells how many bytes were there before padding.
+    No UTF-8 text holds a byte 255, so what was there before padding is known from the payload that is read back.
     """
     sequences = interleave(document_pages(docs, id_col, text_col))
-    found = resolve(sequences, media_features(store(docs, text_col)).drop("n_bytes"))
-    n_bytes = F.regexp_extract("caption", r"^(\d+)", 1).cast("long")
-    out = found.select(F.col("id").alias("doc_id"), n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    found = resolve(sequences, media_features(store(docs, text_col)))
+    out = found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
     return ids_back(out, "doc_id")

@@ -19,7 +19,8 @@ No cap drops a case: every bucket, hot or not, takes one of the exact ways. With
 64 bits of hash of their own in step 2, and byte by byte in step 3.
 
 Edge cases: null and empty texts keep nothing and lose nothing; texts shorter than ``length`` stay whole; repeats within
-one document alone stay; rows of equal id count as one document and each gets its row; rows without an id count as one document before all others.
+one document alone stay; rows of equal id count as one document and each gets its row; rows without an id count as one
+document before all others; very long texts cross blocks; an empty table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations
@@ -229,18 +230,18 @@ class Lookup:
 # ---- steps ---------------------------------------------------------------------------------------------------------
 
 
-def read_split(path: str) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """The documents of a file, in runs of about CHUNK_BYTES."""
+def read_split(path: str, whole: bool = False) -> Iterator[tuple]:
+    """The documents of a file, in runs of about CHUNK_BYTES; ``whole``: with the batch of their rows."""
     fs, where = fs_of(path)
     with fs.open_input_file(where) as source:
-        for batch in pq.ParquetFile(source).iter_batches(batch_size=2048):
+        for batch in pq.ParquetFile(source).iter_batches(batch_size=2048, columns=None if whole else ["doc_id", "text"]):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), as_bytes(batch.column(1))
             for i, j in chunks_of(map(len, texts), CHUNK_BYTES):
-                yield ids[i:j], texts[i:j]
+                yield (ids[i:j], texts[i:j], batch.slice(i, j - i)) if whole else (ids[i:j], texts[i:j])
 
 
-def split(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
-    """Manifest (path) of files of whole texts, already written."""
+def split(docs: DataFrame, folder: str, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """Manifest (path) of files of whole texts, already written; ``whole``: of whole rows, whose columns go by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, room = [], 0
@@ -254,7 +255,7 @@ def split(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"]})
 
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary())], ["doc_id", "text"])
+            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary()), *batch.columns[2:]], batch.schema.names)
             for i, j in chunks_of([len(v) for v in as_bytes(batch.column(1))], CHUNK_BYTES) if batch.num_rows else ():
                 held.append(batch.slice(i, j - i))
                 room += held[-1].get_total_buffer_size() if j - i == 1 else CHUNK_BYTES
@@ -264,7 +265,8 @@ def split(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame
         if held:
             yield write()
 
-    rows = docs.select(id_of(docs, id_col), docs[text_col].alias("text"))
+    others = [docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col] if whole else []
+    rows = docs.select(id_of(docs, id_col), docs[text_col].alias("text"), *others)
     return cut(rows.mapInArrow(run, "path string"), "splits")
 
 
@@ -467,23 +469,23 @@ class Verdicts:
         return np.cumsum(np.bincount(np.concatenate(low), minlength=n) - np.bincount(np.concatenate(high), minlength=n))[:-1] > 0
 
 
-def duplicate_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """Runs the steps; ``finish(doc_id, text, gone)`` gives a row per document, ``gone`` a flag for each byte."""
+def duplicate_spans(docs: DataFrame, finish, schema, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, whole: bool = False) -> DataFrame:
+    """Runs the steps. ``finish(ids, texts, flags, rows)`` gives a run's batch: ``flags`` says of each byte of a text whether
+    it goes, ``rows`` is the batch of whole rows, if asked for."""
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    files = split(docs, fresh_path(spark, "texts"), id_col, text_col)
+    files = split(docs, fresh_path(spark, "texts"), id_col, text_col, whole)
     found = bucket(files, n, length, hot)
     more = refine(found.where(F.col("kind").isin(SEND, SEND_HOT)), n, length)
-    names, kinds = zip(*((f.name, f.dataType) for f in spark.createDataFrame([], schema).schema))
-    types = pa.schema([(name, arrow_type(kind)) for name, kind in zip(names, kinds)])
+    types = arrow_schema(spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         verdicts_, out = Verdicts(rows, length), []
-        for ids, texts in read_split(key[0].as_py()):
+        for ids, texts, *own in read_split(key[0].as_py(), whole):
             s = Stretches(texts, length)
             gone = verdicts_.cover(ids, s)
-            made = [finish(int(i), t, gone[a:b]) for i, t, a, b in zip(ids, texts, s.offsets, s.offsets[1:])]
-            out.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types.types)], schema=types))
+            made = finish(ids, texts, [gone[a:b] for a, b in zip(s.offsets, s.offsets[1:])], *own)
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(made, types.types)], schema=types))
         return pa.Table.from_batches(out, types)
 
     every = files.select("path", F.lit(FILE).alias("kind"), F.lit(b"").alias("blob"))
@@ -491,10 +493,10 @@ def duplicate_spans(docs: DataFrame, finish, schema: str, length: int = LENGTH,
     return verdict_rows.repartition(n, "path").groupBy("path").applyInArrow(run, schema)
 
 
-def arrow_type(kind):
-    from pyspark.sql.pandas.types import to_arrow_type
+def arrow_schema(schema) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_type(kind)
+    return to_arrow_schema(schema)
 
 
 def runs_of(gone: np.ndarray) -> int:
@@ -509,8 +511,8 @@ def kept_bytes(text: bytes, gone: np.ndarray) -> bytes:
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, SHA-256 of what stays."""
 
-    def finish(doc_id: int, text: bytes, gone: np.ndarray) -> tuple:
-        return doc_id, len(text), int(gone.sum()), runs_of(gone), hashlib.sha256(kept_bytes(text, gone)).hexdigest()
+    def finish(ids: np.ndarray, texts: list[bytes], flags: list[np.ndarray]) -> tuple:
+        return ids.tolist(), [len(t) for t in texts], [int(g.sum()) for g in flags], [runs_of(g) for g in flags], [hashlib.sha256(kept_bytes(t, g)).hexdigest() for t, g in zip(texts, flags)]
 
     return ids_back(duplicate_spans(docs, finish, SCHEMA, length, id_col, text_col, hot), "doc_id")
 
@@ -518,32 +520,35 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The operator's own result: per document the removed byte ranges and the bytes that stay."""
 
-    def finish(doc_id: int, text: bytes, gone: np.ndarray) -> tuple:
-        edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-        return doc_id, [{"start": int(a), "end": int(b)} for a, b in edges], kept_bytes(text, gone)
+    def finish(ids: np.ndarray, texts: list[bytes], flags: list[np.ndarray]) -> tuple:
+        edges = [np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist() for g in flags]
+        return ids.tolist(), [[{"start": a, "end": b} for a, b in e] for e in edges], [kept_bytes(t, g) for t, g in zip(texts, flags)]
 
     found = duplicate_spans(docs, finish, "doc_id long, spans array<struct<start:long,end:long>>, kept binary", length, id_col, text_col)
     return ids_back(found, "doc_id")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages cut from the texts; all columns are kept, null texts stay null.
+    """``docs`` with repeated passages cut from the texts; all columns are kept, whatever their names.
 
-    A cut that would split a character keeps the character's bytes. ``n_chars``, where it is a column, follows the text.
-    Repeated rows stay as many as they were.
+    Null texts stay null, empty ones empty. Of repeated rows and rows of one id, which count as one document, each stays; a
+    null id counts as a document before all others. A cut that would split a character keeps the character's bytes.
+    ``n_chars``, where it is a column, follows the text. An empty table stays empty.
     """
-
-    def finish(doc_id: int, text: bytes, gone: np.ndarray) -> tuple:
-        digest = hashlib.sha256(text).digest()
-        return (doc_id, digest, whole_characters(text, gone).decode("utf-8")) if gone.any() else (doc_id, digest, None)
-
-    cuts = duplicate_spans(docs, finish, "_id long, _digest binary, _kept string", length, id_col, text_col)
-    cuts = cuts.where("_kept IS NOT NULL").dropDuplicates(["_id", "_digest"])
-    own = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)))
-    both = own.join(cuts, (id_of(own, id_col, "_i") == cuts["_id"]) & (own["_own"] == cuts["_digest"]), "left")
-    text = F.coalesce(F.col("_kept"), F.col(text_col))
-    out = [text.alias(c) if c == text_col else F.length(text).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return both.select(*out)
+    names, kinds = docs.columns, dict(docs.dtypes)
+    schema = docs.schema
+    number = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
+    counted = text_col != "n_chars" and kinds.get("n_chars") in number
+
+    def finish(ids: np.ndarray, texts: list[bytes], flags: list[np.ndarray], rows: pa.RecordBatch) -> list:
+        held = rows.column("text").is_valid().to_pylist()
+        kept = [(whole_characters(t, g) if g.any() else t).decode("utf-8") if h else None for t, g, h in zip(texts, flags, held)]
+        made = {text_col: pa.array(kept, pa.string())}
+        if counted:
+            made["n_chars"] = pa.array([None if t is None else len(t) for t in kept], number[kinds["n_chars"]])
+        return [made[c] if c in made else rows.column(f"c{k}") for k, c in enumerate(names)]
+
+    return duplicate_spans(docs, finish, schema, length, id_col, text_col, whole=True)
 
 
 def whole_characters(text: bytes, gone: np.ndarray) -> bytes:

@@ -5,12 +5,13 @@ each path the text length per block, its spread, the punctuation per block and i
 one score, the scores of the block sequence are smoothed by a Gaussian, and a two-class split of the paths' mean smoothed
 scores (largest variance between classes, a path counts once for each block) parts content from the rest. A page whose
 classes lie close to each other, or whose lower class holds most of the text, isn't split. A heading directly before
-content is content. Blocks whose path holds an element that never is the article (menus,
-headers and footers of the page, sidebars, notices, adverts, forms, comments, hidden parts) take no part, and links count
-against a block. If a page marks its article, only that part of it competes.
+content is content. Links count against a block. Elements and classes that never are the article (menus, headers and
+footers of the page, sidebars, notices, adverts, forms, comments, hidden parts), and what lies outside a marked article, are
+a prior against blocks that the score has selected.
 
 Edge cases: null, empty and text-free pages give an empty text; markup that is never closed runs to the end; unknown
-character references stay as they are; blocks come in page order whatever their depth.
+character references stay as they are; blocks come in page order whatever their depth; very long pages are taken whole;
+repeated rows give equal rows; an empty table gives an empty result; other columns of the input take no part.
 """
 
 from __future__ import annotations
@@ -211,23 +212,49 @@ def threshold(scores: list[float], weights: list[int]) -> float:
     return out
 
 
-def content_blocks(page: str | None) -> list[Block]:
-    found = [b for b in blocks(page or "") if not b.outside]
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
-    if not found:
-        return []
+def fused(found: list[Block]) -> list[float]:
+    """Each block's score: the mean, over its path's blocks, of the smoothed scores of paths."""
     own = path_scores(found)
     flow: dict[str, list[float]] = {}
     for b, v in zip(found, smoothed([own[b.path] for b in found])):
         flow.setdefault(b.path, []).append(v)
-    score = {path: sum(values) / len(values) for path, values in flow.items()}
-    limit = threshold([score[b.path] for b in found], [max(len(b.text) - b.linked, 0) for b in found])
-    free = [b.linked < LINK_SHARE * max(len(b.text), 1) for b in found]
-    kept = [score[b.path] >= limit and f for b, f in zip(found, free)]
-    for i in range(len(found) - 2, -1, -1):
-        kept[i] = kept[i] or (free[i] and kept[i + 1] and _HEADING.search(found[i].path) is not None)
-    return [b for b, k in zip(found, kept) if k]
+    return [sum(flow[b.path]) / len(flow[b.path]) for b in found]
+
+
+def selected(found: list[Block]) -> list[bool]:
+    """Which blocks the score selects."""
+    score = fused(found)
+    limit = threshold(score, [max(len(b.text) - b.linked, 0) for b in found])
+    return [v >= limit for v in score]
+
+
+def judged(page: str | None) -> list[tuple[Block, str]]:
+    """Every block of the page with the reason why it goes: "score", "marks" or "links"; "" for content.
+
+    The score selects among all blocks of the page first. Marks (elements, classes and roles that surround articles, and
+    what lies outside a marked article) are a prior against blocks that it has selected, and give the others, which no
+    mark tells apart, a selection among themselves.
+    """
+    found = blocks(page or "")
+    article = any(b.article and not b.outside for b in found)
+    marked = [b.outside or (article and not b.article) for b in found]
+    plain = [b for b, m in zip(found, marked) if not m]
+    reason = ["marks" if m else "" for m in marked]
+    for i, chosen in enumerate(selected(found)):
+        if marked[i] and not chosen:
+            reason[i] = "score"
+    free = [b.linked < LINK_SHARE * max(len(b.text), 1) for b in plain]
+    kept = [chosen and f for chosen, f in zip(selected(plain), free)]
+    for i in range(len(plain) - 2, -1, -1):
+        kept[i] = kept[i] or (free[i] and kept[i + 1] and _HEADING.search(plain[i].path) is not None)
+    places = [i for i, m in enumerate(marked) if not m]
+    for i, k, f in zip(places, kept, free):
+        reason[i] = "" if k else "score" if f else "links"
+    return list(zip(found, reason))
+
+
+def content_blocks(page: str | None) -> list[Block]:
+    return [b for b, reason in judged(page) if not reason]
 
 
 def main_text(page: str | None) -> str:

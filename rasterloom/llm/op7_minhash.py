@@ -16,8 +16,9 @@ verified on their whole shingle sets, and only that decides. ``BANDS`` of ``ROWS
 with probability (1 - 0.8**4)**32, some 5e-8.
 
 Edge cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component; texts of
-fewer words than a shingle have one shingle of all their words; rows of equal text fall into one component; rows of
-equal id keep one row each; a row without an id counts as the smallest.
+fewer words than a shingle have one shingle of all their words; very long texts and words are hashed whole; rows of equal
+text fall into one component; rows of equal id keep one row each and may be of several components; a row without an id
+counts as the smallest; an empty table gives an empty result; other columns of the input take no part.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_bytes, chunks_of, concat_texts, cut, id_of, ids_back, mix64
+from .common import Rolling, as_bytes, chunks_of, concat_texts, cut, free_names, id_of, ids_back, mix64
 
 WIDTH, SHARE = 5, 80
 BANDS, ROWS, BATCH = 32, 4, 16
@@ -117,16 +118,31 @@ def similar(a: np.ndarray, b: np.ndarray, share: int) -> bool:
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig), already written."""
+    """(doc_id, text_key, n_shingles, digest, sig), already written. ``docs``: doc_id, text_key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(2))
             for i, j in chunks_of(map(len, texts), CHUNK_BYTES) if texts else ():
                 sets = shingle_sets(texts[i:j], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "text_key", "n_shingles", "digest", "sig"])
 
-    return cut(docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary"), "signatures")
+    return cut(docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, sig binary"), "signatures")
+
+
+def numbered(feats: DataFrame) -> DataFrame:
+    """(digest, id, doc_id, text_key, sig): the classes, each with a number of its own and its first row, already written.
+
+    A class's number is a hash of its set's digest, so rows of one id may be of several classes. Numbers are checked to
+    be distinct, and drawn anew until they are.
+    """
+    first = feats.where("digest IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("doc_id", "text_key", "sig"), F.struct("doc_id", "text_key")).alias("f"))
+    salt = 0
+    while True:
+        classes = cut(first.select("digest", F.xxhash64("digest", F.lit(salt)).alias("id"), "f.doc_id", "f.text_key", "f.sig"), "classes")
+        if classes.groupBy("id").count().where("count > 1").isEmpty():
+            return classes
+        salt += 1
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -194,11 +210,22 @@ def cell_links(rows: pa.Table, share: int) -> list[tuple[int, int]]:
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: size of its shingle set, smallest id of its component, and whether it is that one."""
-    spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(id_of(docs, id_col), docs[text_col].alias("text"))
+    feats, classes = grouped(keyed(docs, id_col, text_col), width, share)
+    known = feats.select("doc_id", "n_shingles", "digest").join(classes.select("digest", F.col("first.doc_id").alias("least")), "digest", "left")
+    component = F.coalesce("least", "doc_id")
+    return ids_back(known.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), "doc_id", "component_id")
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, text); id and key tell rows apart, but for repeated ones."""
+    return docs.select(id_of(docs, id_col), F.xxhash64(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
+
+
+def grouped(rows: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """Features of the rows, and (digest, first) of the classes: the smallest (doc_id, text_key) of the class's component."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     feats = features(rows, width)
-    classes = cut(feats.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
+    classes = numbered(feats)
 
     bands = band_keys(classes)
     shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -249,9 +276,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE, id_
     more = cut(found, "links")
     part = cut(components(edges.unionByName(more)), "components")
 
-    known = feats.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "id"), "digest", "left").join(part, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
-    return ids_back(known.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), "doc_id", "component_id")
+    placed = classes.join(part, "id", "left").select("digest", "doc_id", "text_key", F.coalesce("component", "id").alias("component"))
+    firsts = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    return feats, placed.select("digest", "component").join(firsts, "component").select("digest", "first")
 
 
 def edge_table(edges: list[tuple[int, int]]) -> pa.Table:
@@ -270,11 +297,23 @@ def code_sets(rows: DataFrame, some: DataFrame, width: int) -> DataFrame:
                 keep = [k for k, s in enumerate(made) if set_digest(s) == digests[i + k]]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(keep, pa.int64())), batch.column("sig").slice(i, j - i).take(pa.array(keep, pa.int64())), pa.array([made[k].tobytes() for k in keep], pa.binary())], ["id", "sig", "codes"])
 
-    joined = rows.join(some.select("id", "digest", "sig"), rows["doc_id"] == F.col("id")).select("id", "digest", "sig", "text")
+    joined = rows.join(some.select("id", "digest", "sig", "doc_id", "text_key"), ["doc_id", "text_key"]).select("id", "digest", "sig", "text")
     return joined.mapInArrow(run, "id long, sig binary, codes binary").dropDuplicates(["id"])
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id; all columns of ``docs`` are kept."""
-    gone = near_duplicates(docs, width, share).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one row of each component: that of the smallest id; all columns of ``docs`` are kept.
+
+    Of rows of that id, that of the smallest text key stays; of repeated rows one does. Rows without a word all stay, as
+    they are like no other. Null ids count as the smallest. An empty table stays empty. Columns may have any names.
+    """
+    feats, classes = grouped(keyed(docs), width, share)
+    firsts = classes.select("digest", "first.*").join(feats.select("digest", "doc_id", "text_key"), ["digest", "doc_id", "text_key"])
+    firsts = firsts.groupBy("doc_id", "text_key").agg((F.count("*") > 1).alias("repeated"))
+    blank = feats.where("digest IS NULL").select("doc_id", "text_key", F.lit(False).alias("repeated")).distinct()
+    i, k, r = free_names(docs, "_i", "_k", "_r")
+    stay = cut(firsts.unionByName(blank), "stay").toDF(i, k, r)
+    own = docs.withColumns({i: id_of(docs, "doc_id", i), k: F.xxhash64(docs["text"])})
+    once = own.join(stay.where(~F.col(r)).drop(r), [i, k], "left_semi")
+    twice = own.join(stay.where(F.col(r)).drop(r), [i, k], "left_semi").dropDuplicates([i, k])
+    return once.unionByName(twice).select(*docs.columns)

@@ -105,8 +105,12 @@ lens AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n)),
 m AS (SELECT dw.doc_id, dw.n, dw.p, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
 hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, n, p FROM m)) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id),
+bq AS (SELECT k, n, q, array_to_string(w[q : q + n - 1], ' ') AS g FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS q FROM (SELECT *, row_number() OVER () AS k FROM bl))),
+runs AS (SELECT doc_id, min(p) AS p, count(*) + n - 1 AS far FROM (SELECT doc_id, dw.n, dw.p, k, dw.p - q AS diagonal, dw.p - row_number() OVER (PARTITION BY doc_id, dw.n, k, dw.p - q ORDER BY dw.p) AS run FROM dw JOIN bq ON dw.n = bq.n AND dw.g = bq.g) GROUP BY doc_id, n, k, diagonal, run),
+top AS (SELECT doc_id, far AS longest, min(p) - 1 AS longest_word FROM runs GROUP BY doc_id, far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far DESC) = 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(longest, 0)::BIGINT AS longest, longest_word::BIGINT AS longest_word
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN top USING (doc_id)
 """

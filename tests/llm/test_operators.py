@@ -275,6 +275,49 @@ def test_paths_part_boilerplate_without_listed_words():
     assert op5_html.main_text(f"<body><div>{text}</div><p>Short one.</p><p>Short two.</p></body>") == f"{text} Short one. Short two."
 
 
+def brute_scores(page):
+    """The fused score of every block, from its definition."""
+    import math
+    from statistics import fmean, pstdev
+
+    found = op5_html.blocks(page)
+    paths = [b.path for b in found]
+    length = [max(len(b.text) - b.linked, 0) for b in found]
+    marks = [sum(b.text.count(c) for c in ".,;:!?…。，；：！？、") for b in found]
+    own = []
+    for p in paths:
+        n, m = ([v for v, q in zip(values, paths) if q == p] for values in (length, marks))
+        own.append(math.log(1 + fmean(n) * (1 + fmean(m))) + 0.5 * math.log(1 + pstdev(n) * (1 + pstdev(m))))
+    smooth = []
+    for i in range(len(own)):
+        near = [(math.exp(-((i - j) ** 2) / 2), own[j]) for j in range(len(own)) if abs(i - j) <= 3]
+        smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+    return [fmean([v for v, q in zip(smooth, paths) if q == p]) for p in paths], length
+
+
+def test_scores_equal_brute_force_and_select_on_supplied_pages(spark, sf):
+    pages = [r.html for r in table(spark, sf, "pages").where("html IS NOT NULL").collect()]
+    reasons: dict = {}
+    for page in pages[:40]:
+        want, weight = brute_scores(page)
+        got = op5_html.fused(op5_html.blocks(page))
+        assert np.allclose(got, want)
+        values = sorted(set(want))
+        split = max(values[1:], key=lambda t: sum(v < t for v in want) * sum(v >= t for v in want) * (np.mean([v for v in want if v >= t]) - np.mean([v for v in want if v < t])) ** 2, default=None)
+        limit = op5_html.threshold(got, weight)
+        assert limit == 0 or abs(limit - split) < 1e-9
+        for b, reason in op5_html.judged(page):
+            reasons[reason] = reasons.get(reason, 0) + 1
+    assert reasons["score"] > 3 * reasons.get("marks", 0) > 0  # the score alone drops most of what goes
+
+
+def test_extraction_of_repeated_and_clashing_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a, b.</p>", "x")] * 2 + [(None, None, None, "x"), (2, "u", "", "x"), (3, "u", "<p>" + "long text, " * 40_000, "x")], "page_id long, url string, html string, text string")
+    rows = op5_html.extract(df).collect()
+    assert sorted(r.n_chars for r in rows) == [0, 0, 5, 5, 439_999]
+    assert op5_html.extract(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["layout has-sidebar", "no-sidebar", "post comments-open", "nav-open", "header-fixed", "sidebar"])
 def test_wrappers_with_listed_words_keep_the_article(kind):
     text = "It rained all day, and the river rose, slowly at first; by night it had reached the mill."
@@ -354,6 +397,36 @@ def test_near_duplicates_equal_brute_force(spark):
     assert op7_minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_links(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    for rows in ([(5, a), (5, b), (7, a + " x"), (8, b + " y")], [(5, b), (5, a), (8, b + " y"), (7, a + " x")]):
+        got = op7_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5), (8, 5)]
+
+
+def test_long_words_are_told_apart():
+    """Thue-Morse words collide under any polynomial hash modulo 2**64."""
+    word = b"a"
+    while len(word) < 4096:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    tail = b" one two three four five"
+    x, y = op7_minhash.shingle_sets([word + tail, other + tail], 5)
+    assert len(np.intersect1d(x, y)) == 1
+    codes, _ = op9_decontaminate.words_of([word, other])
+    assert codes[0] != codes[1]
+
+
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    a, c = " ".join(f"a{k}" for k in range(60)), " ".join(f"c{k}" for k in range(9))
+    rows = [(1, a, 0), (1, a, 1), (None, a, 2), (None, a, 3), (2, a + " x", 4), (None, None, 5), (None, "", 6), (9, "", 7), (3, c, 8), (3, a.upper(), 9), (4, c, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k int").withColumn("_i", F.lit(1))
+    got = op7_minhash.keep_one(docs)
+    kept = sorted(r._k for r in got.collect())
+    assert got.columns == docs.columns and kept in ([2, 5, 6, 7, 8], [3, 5, 6, 7, 8])
+    assert op7_minhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_pruning_bound_is_the_binomial_tail():
     from math import comb
 
@@ -426,7 +499,7 @@ def test_decontamination_equals_brute_force(spark, block, monkeypatch):
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
     want = []
     for i, t in enumerate(texts):
-        w, hit, found = low(t), set(), set()
+        w, hit, found, far = low(t), set(), set(), (0, None)
         for k, it in items:
             b = low(it)
             n = min(13, len(b))
@@ -435,12 +508,30 @@ def test_decontamination_equals_brute_force(spark, block, monkeypatch):
                     if w[q : q + n] == b[p : p + n]:
                         hit.update(range(q, q + n))
                         found.add(str(k))
-        want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                        m = n
+                        while n == 13 and q + m < len(w) and p + m < len(b) and w[q + m] == b[p + m]:
+                            m += 1
+                        far = max(far, (m, q), key=lambda f: (f[0], -(f[1] or 0)))
+        want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), *far))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = op9_decontaminate.decontamination(docs_of(spark, texts, True), bench).collect()
     assert sorted(tuple(x) for x in got) == want
 
 
+@pytest.mark.parametrize("block", [op9_decontaminate.BLOCK_BYTES, 200])
+def test_decontamination_judges_rows_by_their_texts(spark, block, monkeypatch):
+    monkeypatch.setattr(op9_decontaminate, "BLOCK_BYTES", block)
+    w = [f"w{k}" for k in range(40)]
+    bad, good = " ".join(w[3:25]), "nothing of the kind " * 30
+    rows = [(None, bad, 1), (None, good, 2), (5, bad, 3), (5, good, 4), (6, None, 5), (7, "", 6), (5, good, 4), (8, good * 300, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int")
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, "other words " * 12)], "item_id long, text string")
+    got = op9_decontaminate.decontaminate(docs, bench)
+    assert got.columns == docs.columns and sorted(r._key for r in got.collect()) == [2, 4, 4, 5, 6, 7]
+    assert op9_decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+    assert op9_decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
+
+
 def test_longest_matches(spark):
     w = [f"w{k}" for k in range(40)]
     docs, bench = docs_of(spark, ["x " + " ".join(w[5:30]) + " y"]), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
@@ -457,8 +548,28 @@ def test_media_round_trip(spark):
         b = (t or "").encode()
         p = b + b"\xff" * (576 * max(1, -(-len(b) // 576)) - len(b))
         assert (rows[i].n_bytes, rows[i].payload_bytes, rows[i].payload_sha256, rows[i].tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        png = op10_media.png_of(p)
+        assert (rows[i].media_bytes, rows[i].media_sha256, rows[i].feature) == (len(png), hashlib.sha256(png).hexdigest(), brute_feature(p))
+        lines = [" ".join(x.split()) for x in (t or "").split("\n")]
+        assert rows[i].caption == f"{len(b)} bytes" and rows[i].position == 1 + bool(lines[0])
     n = len(ODD)
     assert rows[n][1:] == rows[n + 1][1:]
+    assert op10_media.media_columns(docs_of(spark, [])).count() == 0
+
+
+def brute_feature(payload):
+    """Mean of the samples in sixths of the rows and quarters of the columns; earlier parts are longer by one where it doesn't divide."""
+    lines = [payload[k : k + 24] for k in range(0, len(payload), 24)]
+    size, over = divmod(len(lines), 6)
+    out, at = [], 0
+    for k in range(6):
+        part = b"".join(lines[at : at + size + (k < over)])
+        at += size + (k < over)
+        out.append(sum(part) // len(part) if part else 0)
+    for k in range(4):
+        part = [v for line in lines for v in line[6 * k : 6 * k + 6]]
+        out.append(sum(part) // len(part))
+    return "".join(f"{v:02x}" for v in out)
 
 
 def test_pieces_keep_order_and_captions():
@@ -490,3 +601,74 @@ def test_pipeline_stages_keep_columns_and_decide(spark, sf):
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True) and counts[-1] < counts[0]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == counts[-1]
+
+
+def brute_cut(rows):
+    """Texts without the bytes that 50-byte strings of documents of smaller id cover; whole characters alone go."""
+    out = []
+    first: dict = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            first[b[p : p + 50]] = min(i, first.get(b[p : p + 50], i))
+    for i, t in rows:
+        b, gone = (t or "").encode(), set()
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone.update(range(p, p + 50))
+        kept, at = "", 0
+        for c in t or "":
+            n = len(c.encode())
+            kept += "" if all(k in gone for k in range(at, at + n)) else c
+            at += n
+        out.append(None if t is None else kept)
+    return out
+
+
+def test_pipeline_stages_equal_brute_force_on_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows and ids, empty and long texts, and columns with the names that stages use inside."""
+    import corpus_pipeline
+
+    r = random.Random(20)
+    words = noise(21, 300, "abcdefghinorstuvwy", 7)
+    prose = lambda n: " ".join(r.choices([w for w in words if w], k=n))
+    passage, item = prose(40), prose(30)
+    texts = [prose(80) for _ in range(60)]
+    texts += [texts[0], texts[1] + " more", passage + " " + prose(90), prose(60) + " " + passage, item, prose(30) + " " + item, None, "", "12 .. !", "é" * 70 + prose(20), prose(30) + "é" * 70, prose(3000)]
+    rows = [(None if i % 17 == 3 else i, t, "en", i) for i, t in enumerate(texts)] + [(5, texts[5], "en", 100), (5, prose(50), "en", 101)]
+    names = ["_own", "_digest", "_kept", "_key", "_gone", "_i", "id", "digest", "path"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int").withColumns({n: F.lit("x") for n in names}).withColumn("n_chars", F.length("text"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, d: [x.asDict() for x in cut(stages[name](spark, d, str(tmp_path)), name).orderBy("row").collect()]
+    back = lambda got: spark.createDataFrame([tuple(x[c] for c in docs.columns) for x in got], docs.schema)
+
+    rejected = {x["row"] for x in run("language", docs)} ^ {x[3] for x in rows}
+    verdicts = {(x.doc_id, x.score): x.rejected for x in op6_language.identify(docs).collect()}
+    assert {i for i, t in enumerate(texts) if t in (None, "", "12 .. !")} <= rejected and len(rejected) == sum(x.rejected for x in op6_language.identify(docs).collect()) and verdicts
+
+    got = run("near_duplicates", docs)
+    kept = [x["row"] for x in got]
+    fill = [(-(10**6) if i is None else i, t, k) for i, t, _, k in rows]
+    roots = brute_components([(k, t) for k, (_, t, _) in enumerate(fill)], 5, 80)
+    groups: dict = {}
+    for (_, _, k), (_, _, root, _) in zip(fill, roots):
+        groups.setdefault(root, []).append(k)
+    place = {k: n for n, (_, _, k) in enumerate(fill)}
+    for members in groups.values():
+        own = [k for k in kept if k in members]
+        assert len(own) == 1 and fill[place[own[0]]][0] == min(fill[place[k]][0] for k in members)
+
+    got = run("passages", back(got))
+    left = [(fill[place[k]][0], fill[place[k]][1]) for k in kept]
+    assert [x["text"] for x in got] == brute_cut(left)
+    assert all(x["n_chars"] == (None if x["text"] is None else len(x["text"])) for x in got)
+    assert all(x["_own"] == "x" for x in got)
+
+    hit = {k for k, t in enumerate(texts) if item in (t or "")}
+    assert {x["row"] for x in run("decontamination", docs)} == {x[3] for x in rows} - hit
+    got = stages["encoding"](spark, docs, str(tmp_path)).collect()
+    lib = library(WORD)
+    assert sorted((x.doc_id or -1, x.n_tokens) for x in got) == sorted((i or -1, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
