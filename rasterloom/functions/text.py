@@ -26,7 +26,7 @@ CONTEXTS = (
 )
 #: Accepted uploads.
 UPLOADS = ("image/png", "image/jpeg", "image/jpg", "image/webp", "image/gif", "image/tiff", "image/tif", "image/geotiff")
-SERVER_UPLOADS = ("image/png", "image/jpeg", "image/jpg", "image/tiff", "image/tif", "image/geotiff")
+SERVER_UPLOADS = ("image/png", "image/jpeg", "image/jpg", "image/tiff", "image/tif")
 MAX_UPLOAD = 12 * 1024 * 1024
 
 

@@ -1,19 +1,22 @@
 """Connected components of masks, 4-connected, numbered from 1 in the order of their first pixel.
 
-``grouped`` labels each scene in one Python group and suits many small scenes. ``distributed`` turns rows of the mask
-into runs, links runs of neighbouring rows that overlap, and resolves the links by repeated contraction to the smallest
-run, each turn checkpointed; no scene needs to fit in one task.
+``grouped`` labels whole scenes, many of them in one Arrow batch, and suits scenes that fit in a task. ``distributed`` turns
+rows of the mask into runs, links runs of neighbouring rows that overlap, and resolves the links by repeated contraction to
+the smallest run, each turn checkpointed; no scene needs to fit in one task. Scenes may be named by values of any type.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-#: A row of every scene is this wide at most.
-STRIDE = 1 << 24
+#: Beyond any x, which is a 32-bit integer as y is: no two runs have one name.
+STRIDE = 1 << 31
 
 
 def label_grid(y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -45,16 +48,54 @@ def label_grid(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.unique(roots, return_inverse=True)[1][run] + 1 if n else np.empty(0, np.int64)
 
 
-def grouped(mask: DataFrame) -> DataFrame:
-    """``mask``: scene_id, y, x of the pixels that are set. Adds ``label``."""
+def label_scenes(scene: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Labels of the pixels of several scenes, each from 1; rows are ordered by scene, y and x. ``scene``: numbers from 0."""
+    # lines count on from scene to scene, with a gap that keeps scenes apart
+    n = len(y)
+    step = np.ones(n, np.int64)
+    step[1:] = np.where(scene[1:] != scene[:-1], 2, np.minimum(y[1:].astype(np.int64) - y[:-1], 2))
+    label = label_grid(np.cumsum(step), x)
+    first = np.searchsorted(scene, np.arange(scene[-1] + 1))
+    return label - label[first][scene] + 1  # a scene's first pixel has its smallest label
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        pdf["label"] = label_grid(pdf["y"].to_numpy(), pdf["x"].to_numpy())
-        return pdf
 
-    rows = mask.select(F.col("scene_id").cast("long").alias("scene_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
-    return rows.groupBy("scene_id").applyInPandas(one, "scene_id long, y int, x int, label long")
+def grouped(mask: DataFrame) -> DataFrame:
+    """``mask``: scene_id, y, x of the pixels that are set. Adds ``label``."""
+    kind = mask.schema["scene_id"].dataType
+    schema = StructType([StructField("scene_id", kind), *StructType.fromDDL("y int, x int, label long")])
+
+    def labelled(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        ids = table.column(0).combine_chunks()
+        scene = numbered(ids)
+        y, x = table.column(1).to_numpy(), table.column(2).to_numpy()
+        return pa.RecordBatch.from_arrays([ids, pa.array(y), pa.array(x), pa.array(label_scenes(scene, y, x))], ["scene_id", "y", "x", "label"])
+
+    def numbered(ids: pa.Array) -> np.ndarray:
+        """Numbers from 0 of runs of equal ids, which may be structs; a missing id is a scene of its own."""
+        new = np.zeros(len(ids) - 1, bool)
+        for part in ids.flatten() if pa.types.is_struct(ids.type) else [ids]:
+            codes = part.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new |= codes[1:] != codes[:-1]
+        return np.concatenate([[0], np.cumsum(new)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # begins with a scene that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scene = numbered(batch.column(0))
+            last = int(np.searchsorted(scene, scene[-1]))
+            goes_on = held and batch.column(0)[0] == held[-1].column(0)[-1]
+            if last or (held and not goes_on):
+                yield labelled([*held, batch.slice(0, last)] if last else held)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield labelled(held)
+
+    rows = mask.select("scene_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    return rows.repartition("scene_id").sortWithinPartitions("scene_id", "y", "x").mapInArrow(run, schema)
 
 
 def runs(mask: DataFrame) -> DataFrame:
@@ -71,6 +112,8 @@ def settled(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")

@@ -83,7 +83,8 @@ def composites(m: DataFrame) -> DataFrame:
     stretched = stats.profile(m, ["b02", "b03", "b04", "vv"], (2, 98))
     p = stats.with_scene(m, stretched)
     shown = p.withColumns({"sar_norm": radar.display(C("vv"), C("vv_p2"), C("vv_p98"))} | {f"s{b}": spectral.stretch(C(b), C(f"{b}_p2"), C(f"{b}_p98"), C(b)) for b in ("b02", "b03", "b04")})
-    mean = F.avg("sar_norm").over(Window.partitionBy("scene_id"))
+    shown = stats.with_scene(shown, shown.groupBy("scene_id").agg(F.avg("sar_norm").alias("sar_mean")))
+    mean = C("sar_mean")
     flag = lambda c: C(c).cast("int").cast("double")
     lit = shown.withColumn("ml", colour.clip(C("lum") + 0.35 * (C("sar_norm") - mean)))
     gain = F.least(F.greatest(F.when(C("lum") > 0.01, C("ml") / (C("lum") + 1e-5)).otherwise(F.lit(1.0)), F.lit(0.3)), F.lit(2.0))
@@ -101,7 +102,7 @@ def features(m: DataFrame, s: DataFrame, label=components.grouped, most: int = 1
     kinds = ((1, "water"), (2, "structure"), (3, "flooded"))
     stacked = base.select("scene_id", "y", "x", "ndwi", "ndvi", "vv", "edges", C("consensus").cast("int").cast("double").alias("agree"), F.explode(F.filter(F.array(*[F.when(C(c), F.lit(k)) for k, c in kinds]), lambda k: k.isNotNull())).alias("kind"))
     # one labelling pass: kinds become scenes of their own
-    keyed = stacked.withColumn("_s", C("scene_id") * 4 + C("kind"))
+    keyed = stacked.withColumn("_s", F.struct("scene_id", "kind"))
     labels = label(keyed.select(C("_s").alias("scene_id"), "y", "x")).withColumnRenamed("scene_id", "_s")
     r = regions.summarise(keyed.join(labels, ["_s", "y", "x"]), ["ndwi", "ndvi", "vv", "edges", "agree"], ("scene_id", "kind", "label"))
     r = r.join(s.select("scene_id", "h", "w", "t_ndwi", "t_vv", "t_db"), "scene_id")

@@ -18,7 +18,7 @@ VQA_ANSWER = "Several agricultural fields, roads, built-up structures and a wate
 def classified(requests: DataFrame) -> DataFrame:
     """Adds task and error (null if valid). ``requests``: request_id, query, n_images, content_types array."""
     task = text.intent(F.col("query"))
-    bad = F.filter("content_types", lambda c: ~F.lower(c).isin(*text.SERVER_UPLOADS))
+    bad = F.filter("content_types", lambda c: ~c.isin(*text.SERVER_UPLOADS))
     error = (
         F.when(F.col("n_images") < 1, "at least one image is required")
         .when(F.size(bad) > 0, F.concat(F.lit("unsupported image type: "), F.try_element_at(bad, F.lit(1))))

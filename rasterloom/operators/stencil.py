@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, exp, floor, pi, sin
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import with_scene
+
 
 def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[float]:
     radius = int(truncate * sigma + 0.5)
@@ -14,39 +19,40 @@ def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[float]:
     return [r / sum(raw) for r in raw]
 
 
-def along(pixels: DataFrame, value: str, line: str, place: str, filtered) -> DataFrame:
-    """Applies ``filtered(array)`` to the values of each line of a scene in the order of ``place``."""
-    rows = pixels.groupBy("scene_id", line).agg(F.sort_array(F.collect_list(F.struct(F.col(place), F.col(value)))).alias("a"))
-    rows = rows.select("scene_id", line, F.transform("a", lambda s: s[place]).alias("p"), filtered(F.transform("a", lambda s: s[value])).alias("v"))
-    z = rows.select("scene_id", line, F.explode(F.arrays_zip("p", "v")).alias("z"))
-    return z.select("scene_id", line, F.col("z.p").alias(place), F.col("z.v").alias(value))
-
-
-def convolved(values: Column, taps: list[float]) -> Column:
-    """Half-sample symmetric borders: the index bounces at both ends, however short the line is."""
-    radius = len(taps) // 2
+def convolved(lines: pa.ListArray, taps: list[float]) -> np.ndarray:
+    """The values of all lines, blurred along each. Borders are half-sample symmetric, however short the line is."""
+    size, values = np.diff(lines.offsets.to_numpy()), lines.flatten().to_numpy()
+    start, out, radius = np.concatenate([[0], np.cumsum(size)[:-1]]), np.empty(len(values)), len(taps) // 2
+    for n in np.unique(size[size > 0]).tolist():  # lines of one length together
+        place = start[size == n][:, None] + np.arange(n)
+        wide = np.pad(values[place], ((0, 0), (radius, radius)), mode="symmetric")
+        out[place] = sum(t * wide[:, d : d + n] for d, t in enumerate(taps))
+    return out
 
-    def line(a: Column) -> Column:
-        n = F.size(a)
 
-        def at(v: Column, i: Column) -> Column:
-            total = F.lit(taps[radius]) * v
-            for d in range(1, radius + 1):
-                for turn in (F.pmod(i - d, 2 * n), F.pmod(i + d, 2 * n)):
-                    total = total + F.lit(taps[radius + d]) * F.element_at(a, F.when(turn < n, turn + 1).otherwise(2 * n - turn).cast("int"))
-            return total
+def along(pixels: DataFrame, value: str, line: str, place: str, taps: list[float]) -> DataFrame:
+    """Blurs the values of each line of a scene in the order of ``place``. A task holds some lines at a time, no scene."""
+    rows = pixels.select("scene_id", F.col(line).cast("int").alias(line), F.col(place).cast("int").alias(place), F.col(value).cast("double").alias(value))
+    names = rows.columns
+    lines = rows.groupBy("scene_id", line).agg(F.sort_array(F.collect_list(F.struct(place, value))).alias("a"))
+    lines = lines.select("scene_id", line, F.col(f"a.{place}").alias("p"), F.col(f"a.{value}").alias("v"))
 
-        return F.transform(a, at)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                p, v = part.column(2), part.column(3)
+                row = pa.array(np.repeat(np.arange(len(p)), np.diff(p.offsets.to_numpy())))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), p.flatten(), pa.array(convolved(v, taps))], names)
 
-    # An array of one line binds the line to a variable, so that it is made once and not once per element.
-    return F.transform(F.array(values), line)[0]
+    return lines.mapInArrow(run, rows.schema)
 
 
 def gaussian(pixels: DataFrame, value: str, sigma: float = 2.0) -> DataFrame:
     """(scene_id, y, x, value) blurred along rows, then along columns."""
     taps = gaussian_taps(sigma)
-    once = along(pixels, value, "y", "x", lambda a: convolved(a, taps))
-    return along(once, value, "x", "y", lambda a: convolved(a, taps))
+    once = along(pixels, value, "y", "x", taps)
+    return along(once, value, "x", "y", taps).select("scene_id", "y", "x", value)
 
 
 def median3(pixels: DataFrame, value: str, out: str) -> DataFrame:
@@ -66,8 +72,9 @@ def gradient(pixels: DataFrame, value: str, out: str) -> DataFrame:
     dy = F.coalesce((F.lead(v).over(col) - F.lag(v).over(col)) / 2.0, F.lit(0.0))
     steps = pixels.withColumn("_dx", dx).withColumn("_dy", dy)
     size = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
-    top = F.max("_g").over(Window.partitionBy("scene_id"))
-    return steps.withColumn("_g", size).withColumn("_top", top).withColumn(out, F.when(F.col("_top") > 0, F.try_divide(F.col("_g"), F.col("_top"))).otherwise(F.col("_g"))).drop("_dx", "_dy", "_g", "_top")
+    steps = steps.withColumn("_g", size)
+    top = steps.groupBy("scene_id").agg(F.max("_g").alias("_top"))  # joined back, so that no scene is gathered in a task
+    return with_scene(steps, top).withColumn(out, F.when(F.col("_top") > 0, F.try_divide(F.col("_g"), F.col("_top"))).otherwise(F.col("_g"))).drop("_dx", "_dy", "_g", "_top")
 
 
 def lanczos_taps(source: int, target: int, a: int = 3) -> list[tuple[int, int, float]]:

@@ -71,7 +71,8 @@ def block(k: Column, a: int | Column, h: int, w: int) -> Column:
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scene_id, y, x, bands of BANDS, b02m..b04m: the optical RGB with the radar's water block)."""
-    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    # one small file gives one task; every key becomes SIDE * SIDE rows, so keys are dealt out before that
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).repartition(4 * spark.sparkContext.defaultParallelism, "k")
     grid = keys.select("k", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("i")).select("k", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).cast("int").alias("x"))
     k, x, y = F.col("k"), F.col("x").cast("long"), F.col("y").cast("long")
     shifted = F.when(k % 2 == 0, F.lit(0)).otherwise(F.lit(6)).cast("long")

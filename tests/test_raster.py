@@ -216,3 +216,27 @@ def test_stream_of_scenes(spark, sf, tmp_path):
     analyse = lambda df: stats.change_threshold(df, "v")
     analyse_stream(spark, str(tmp_path / "in"), "scene_id long, y int, x int, v double", analyse, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_scenes_may_be_named_by_text_and_span_batches(spark):
+    rng = np.random.default_rng(5)
+    masks = {f"s{k}" if k else None: rng.random((7, 9)) > 0.5 for k in range(12)}
+    rows = [(name, y, x) for name, m in masks.items() for y, x in zip(*map(np.ndarray.tolist, np.nonzero(m)))]
+    df = spark.createDataFrame(rows, "scene_id string, y int, x int")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("10000", "5"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got: dict = {}
+            for r in components.grouped(df).collect():
+                got.setdefault(r.scene_id, np.zeros((7, 9), int))[r.y, r.x] = r.label
+            assert all((got[k] == flood(m)).all() for k, m in masks.items())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    shown = df.selectExpr("scene_id", "y", "x", "0.5 AS r", "0.5 AS g", "1.0 AS b")
+    assert {r.scene_id for r in png.pictures(shown, ["r", "g", "b"]).collect()} == set(masks)
+
+
+def test_servers_refuse_types_that_are_not_theirs(spark):
+    df = spark.createDataFrame([(1, "what is here?", 1, ["image/tiff"]), (2, "what is here?", 1, ["image/geotiff"]), (3, "what is here?", 1, ["IMAGE/PNG"])], "request_id long, query string, n_images int, content_types array<string>")
+    assert [r.error is None for r in router.classified(df).orderBy("request_id").collect()] == [True, False, False]
