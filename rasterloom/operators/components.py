@@ -1,8 +1,8 @@
 """Connected components of masks, 4-connected, numbered from 1 in the order of their first pixel.
 
 ``grouped`` labels whole scenes, many of them in one Arrow batch, and suits scenes that fit in a task. ``distributed`` turns
-rows of the mask into runs, links runs of neighbouring rows that overlap, and resolves the links by repeated contraction to
-the smallest run, each turn checkpointed; no scene needs to fit in one task. Scenes may be named by values of any type.
+rows of the mask into runs, labels blocks of rows where they are, links what overlaps across their borders, and resolves the
+links by repeated contraction to the smallest run, each turn checkpointed; no scene needs to fit in one task. Scenes may be named by values of any type.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Beyond any x, which is a 32-bit integer as y is: no two runs have one name.
 STRIDE = 1 << 31
+#: Rows of a scene that are labelled together.
+ROWS = 64
 
 
 def label_grid(y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -59,51 +61,69 @@ def label_scenes(scene: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return label - label[first][scene] + 1  # a scene's first pixel has its smallest label
 
 
-def grouped(mask: DataFrame) -> DataFrame:
-    """``mask``: scene_id, y, x of the pixels that are set. Adds ``label``."""
-    kind = mask.schema["scene_id"].dataType
-    schema = StructType([StructField("scene_id", kind), *StructType.fromDDL("y int, x int, label long")])
+def numbered(ids: pa.Array) -> np.ndarray:
+    """Numbers from 0 of runs of equal ids, which may be structs; a missing id is a scene of its own."""
+    new = np.zeros(len(ids) - 1, bool)
+    for part in ids.flatten() if pa.types.is_struct(ids.type) else [ids]:
+        codes = part.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new |= codes[1:] != codes[:-1]
+    return np.concatenate([[0], np.cumsum(new)])
+
 
-    def labelled(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+def whole_scenes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, scene numbers, y, x) of whole scenes, of rows that are ordered by scene; a scene may span batches."""
+    held: list[pa.RecordBatch] = []  # begins with a scene that may go on
+
+    def taken(parts: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         table = pa.Table.from_batches(parts)
         ids = table.column(0).combine_chunks()
-        scene = numbered(ids)
-        y, x = table.column(1).to_numpy(), table.column(2).to_numpy()
-        return pa.RecordBatch.from_arrays([ids, pa.array(y), pa.array(x), pa.array(label_scenes(scene, y, x))], ["scene_id", "y", "x", "label"])
-
-    def numbered(ids: pa.Array) -> np.ndarray:
-        """Numbers from 0 of runs of equal ids, which may be structs; a missing id is a scene of its own."""
-        new = np.zeros(len(ids) - 1, bool)
-        for part in ids.flatten() if pa.types.is_struct(ids.type) else [ids]:
-            codes = part.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            new |= codes[1:] != codes[:-1]
-        return np.concatenate([[0], np.cumsum(new)])
+        return ids, numbered(ids), table.column(1).to_numpy(), table.column(2).to_numpy()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        scene = numbered(batch.column(0))
+        last = int(np.searchsorted(scene, scene[-1]))
+        goes_on = held and batch.column(0)[0] == held[-1].column(0)[-1]
+        if last or (held and not goes_on):
+            yield taken([*held, batch.slice(0, last)] if last else held)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield taken(held)
+
+
+def grouped(mask: DataFrame) -> DataFrame:
+    """``mask``: scene_id, y, x of the pixels that are set. Adds ``label``."""
+    schema = StructType([StructField("scene_id", mask.schema["scene_id"].dataType), *StructType.fromDDL("y int, x int, label long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # begins with a scene that may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scene = numbered(batch.column(0))
-            last = int(np.searchsorted(scene, scene[-1]))
-            goes_on = held and batch.column(0)[0] == held[-1].column(0)[-1]
-            if last or (held and not goes_on):
-                yield labelled([*held, batch.slice(0, last)] if last else held)
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield labelled(held)
+        for ids, scene, y, x in whole_scenes(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(y), pa.array(x), pa.array(label_scenes(scene, y, x))], ["scene_id", "y", "x", "label"])
 
     rows = mask.select("scene_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
     return rows.repartition("scene_id").sortWithinPartitions("scene_id", "y", "x").mapInArrow(run, schema)
 
 
 def runs(mask: DataFrame) -> DataFrame:
-    """(scene_id, y, lo, hi, run): horizontal runs, named by their first pixel's place in row-major order."""
-    w = Window.partitionBy("scene_id", "y").orderBy("x")
-    islands = mask.select("scene_id", "y", "x", (F.col("x") - F.row_number().over(w)).alias("_g"))
-    found = islands.groupBy("scene_id", "y", "_g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return found.select("scene_id", "y", "lo", "hi", (F.col("y").cast("long") * STRIDE + F.col("lo")).alias("run"))
+    """(scene_id, y, lo, hi, run): horizontal runs, each with the first run that it hangs together with within its block of ROWS rows.
+
+    Runs are named by their first pixel's place in row-major order.
+    """
+    schema = StructType([StructField("scene_id", mask.schema["scene_id"].dataType), *StructType.fromDDL("y int, lo int, hi int, run long")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, scene, y, x in whole_scenes(batches):
+            _, head, own = np.unique(np.stack([scene, label_scenes(scene, y, x)]), axis=1, return_index=True, return_inverse=True)
+            name = (y.astype(np.int64) * STRIDE + x)[head[own.ravel()]]
+            new = np.ones(len(y), bool)
+            new[1:] = (scene[1:] != scene[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(y)) - 1
+            yield pa.RecordBatch.from_arrays([ids.field("scene_id").take(pa.array(first)), pa.array(y[first]), pa.array(x[first]), pa.array(x[last]), pa.array(name[first])], ["scene_id", "y", "lo", "hi", "run"])
+
+    rows = mask.select(F.struct("scene_id", F.floor(F.col("y") / ROWS).cast("int").alias("block")).alias("s"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    return rows.repartition("s").sortWithinPartitions("s", "y", "x").mapInArrow(run, schema)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -122,10 +142,11 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def distributed(mask: DataFrame) -> DataFrame:
-    """As ``grouped``, for scenes of any size."""
+    """As ``grouped``, for scenes of any size. Blocks of rows are labelled where they are; only their borders are linked."""
     r = settled(runs(mask))
-    up = r.select("scene_id", (F.col("y") + 1).alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("run").alias("b"))
-    links = r.join(up, ["scene_id", "y"]).where("lo <= hi2 AND lo2 <= hi").select("scene_id", F.col("run").alias("a"), "b")
+    place = F.pmod("y", F.lit(ROWS))
+    up = r.where(place == ROWS - 1).select("scene_id", (F.col("y") + 1).alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("run").alias("b"))
+    links = r.where(place == 0).join(up, ["scene_id", "y"]).where("lo <= hi2 AND lo2 <= hi").select("scene_id", F.col("run").alias("a"), "b")
     edges, mark = settled(links.where("a > b").distinct()), None
     while True:
         both = edges.unionByName(edges.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b")))

@@ -225,6 +225,7 @@ def test_scenes_may_be_named_by_text_and_span_batches(spark):
     df = spark.createDataFrame(rows, "scene_id string, y int, x int")
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
+        assert components.STRIDE > 2**31 - 1
         for n in ("10000", "5"):
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
             got: dict = {}
@@ -240,3 +241,14 @@ def test_scenes_may_be_named_by_text_and_span_batches(spark):
 def test_servers_refuse_types_that_are_not_theirs(spark):
     df = spark.createDataFrame([(1, "what is here?", 1, ["image/tiff"]), (2, "what is here?", 1, ["image/geotiff"]), (3, "what is here?", 1, ["IMAGE/PNG"])], "request_id long, query string, n_images int, content_types array<string>")
     assert [r.error is None for r in router.classified(df).orderBy("request_id").collect()] == [True, False, False]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 64])
+def test_blocks_of_rows_join_across_borders(spark, rows, monkeypatch):
+    monkeypatch.setattr(components, "ROWS", rows)
+    masks = [np.random.default_rng(k).random((11, 8)) > 0.4 for k in range(3)]
+    data = [(k, y, x) for k, m in enumerate(masks) for y, x in zip(*map(np.ndarray.tolist, np.nonzero(m)))]
+    got = np.zeros((3, 11, 8), int)
+    for r in components.distributed(spark.createDataFrame(data, "scene_id long, y int, x int")).collect():
+        got[r.scene_id, r.y, r.x] = r.label
+    assert all((g == flood(m)).all() for g, m in zip(got, masks))
