@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour, radar, scores, spectral, text
-from . import components, regions, stats, stencil
+from . import align, components, regions, stats, stencil
 
 WATER, STRUCTURE, FLOODED = "Surface Water / Inundation Candidate", "Built-up Infrastructure / Settlement", "Flooded Agricultural Canopy / Wetland"
 C = F.col
@@ -83,6 +83,7 @@ def composites(m: DataFrame) -> DataFrame:
     stretched = stats.profile(m, ["b02", "b03", "b04", "vv"], (2, 98))
     p = stats.with_scene(m, stretched)
     shown = p.withColumns({"sar_norm": radar.display(C("vv"), C("vv_p2"), C("vv_p98"))} | {f"s{b}": spectral.stretch(C(b), C(f"{b}_p2"), C(f"{b}_p98"), C(b)) for b in ("b02", "b03", "b04")})
+    shown = components.settled(shown)  # two branches read it
     shown = stats.with_scene(shown, shown.groupBy("scene_id").agg(F.avg("sar_norm").alias("sar_mean")))
     mean = C("sar_mean")
     flag = lambda c: C(c).cast("int").cast("double")
@@ -122,6 +123,27 @@ def features(m: DataFrame, s: DataFrame, label=components.grouped, most: int = 1
     return regions.ranked(r, [F.desc(C("bw") * C("bh")), F.asc("feature_id")], most)
 
 
+def aligned(optical: DataFrame, radar: DataFrame, optical_geo: DataFrame, radar_geo: DataFrame, optical_bands: list[str], radar_bands: list[str]) -> DataFrame:
+    """Optical and radar pixels side by side on the common grid of their extents, for scenes of equal coordinate systems.
+
+    Pixels: scene_id, y, x and bands; ``*_geo``: scene_id, crs, left, bottom, right, top, res_x, res_y. The grid has the
+    finer of both resolutions. Pixels of the grid that one of the two doesn't cover are absent.
+    """
+    sides = [g.select(C("scene_id").alias("id"), "crs", "left", "bottom", "right", "top") for g in (optical_geo, radar_geo)]
+    own = align.extents(*sides).where("id1 = id2").withColumnRenamed("id1", "scene_id").drop("id2", "crs")
+    finest = optical_geo.select("scene_id", "res_x", "res_y").unionByName(radar_geo.select("scene_id", "res_x", "res_y")).groupBy("scene_id").agg(F.min("res_x").alias("res_x"), F.min("res_y").alias("res_y"))
+    target = align.grid(own.join(finest, "scene_id"))
+    one = align.resample(optical, optical_geo, target, optical_bands).drop("coverage")
+    two = align.resample(radar, radar_geo, target, radar_bands).drop("coverage")
+    return one.join(two, ["scene_id", "y", "x"])
+
+
+def fused_picture(m: DataFrame, method: str = "composite") -> DataFrame:
+    """(scene_id, y, x, r, g, b) of the chosen method: "ihs" is the intensity substitution, any other name the composite."""
+    kind = "ihs" if method == "ihs" else "fc"
+    return composites(m).select("scene_id", "y", "x", *[C(f"{kind}_{c}").alias(c) for c in "rgb"])
+
+
 def prepared(pixels: DataFrame) -> DataFrame:
     """Reflectance, decibels and indices."""
     p = scaled(pixels, ["b02", "b03", "b04", "b08"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geo
 from rasterloom.operators import change, components, fusion, router, stats, stencil
-from rasterloom.sources import geotiff, png, synth
+from rasterloom.sources import geotiff, images, png, synth
 
 
 def frame(spark, image, name="v", scene=0):
@@ -252,3 +252,27 @@ def test_blocks_of_rows_join_across_borders(spark, rows, monkeypatch):
     for r in components.distributed(spark.createDataFrame(data, "scene_id long, y int, x int")).collect():
         got[r.scene_id, r.y, r.x] = r.label
     assert all((g == flood(m)).all() for g, m in zip(got, masks))
+
+
+def test_optical_and_radar_meet_on_the_common_grid(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.random((8, 8)), rng.random((8, 8))
+    geo = "scene_id string, crs string, left double, bottom double, right double, top double, res_x double, res_y double"
+    one = spark.createDataFrame([("s", "EPSG:32643", 0.0, 0.0, 80.0, 80.0, 10.0, 10.0)], geo)
+    two = spark.createDataFrame([("s", "EPSG:32643", 20.0, 0.0, 100.0, 80.0, 10.0, 10.0)], geo)
+    got = fusion.aligned(frame(spark, a, "b04").withColumn("scene_id", F.lit("s")), frame(spark, b, "vv_raw").withColumn("scene_id", F.lit("s")), one, two, ["b04"], ["vv_raw"])
+    assert np.allclose(back(got, "b04", (8, 6)), a[:, 2:]) and np.allclose(back(got, "vv_raw", (8, 6)), b[:, :6])
+    apart = two.withColumns({"left": F.lit(500.0), "right": F.lit(580.0)})
+    assert fusion.aligned(frame(spark, a, "b04").withColumn("scene_id", F.lit("s")), frame(spark, b, "vv_raw").withColumn("scene_id", F.lit("s")), one, apart, ["b04"], ["vv_raw"]).count() == 0
+
+
+def test_radar_bands_methods_and_empty_payloads(spark):
+    df = spark.createDataFrame([(1, 0.5, 0.1), (2, 0.5, 0.1), (3, 0.5, 0.1)], "n int, v1 double, v2 double")
+    assert [tuple(r) for r in df.select(*images.radar_bands(*map(F.col, ("n", "v1", "v2")))).collect()] == [(0.5, None), (0.5, 0.1), (0.5, 0.1)]
+    files = spark.createDataFrame([(b"x",), (b"",), (None,)], "content binary")
+    assert [(r.status, r.error is None) for r in images.checked(files).collect()] == [(200, True), (400, False), (400, False)]
+    p = fusion.prepared(synth.scenes(spark, "/root/testdata/sf0.001").where("scene_id = 1").select("scene_id", "y", "x", "b02", "b03", "b04", "b08", "vv_raw", "vh_raw"))
+    p = components.settled(p)
+    m = components.settled(fusion.masks(p, components.settled(fusion.scene_scalars(p))))
+    rows = lambda name: [tuple(r) for r in fusion.fused_picture(m, name).orderBy("y", "x").limit(50).collect()]
+    assert rows("composite") == rows("anything") != rows("ihs")
