@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,6 +84,40 @@ def magnitude_band(m: Column) -> Column:
     return F.when(m > 0.6, "high").when(m > 0.3, "moderate").otherwise("low")
 
 
+def fixed(v: Column, digits: int, plus: bool = False) -> Column:
+    """A double with so many decimals (at most 4), its exact binary value rounded, exact ties to even.
+
+    ``format_string`` rounds the shortest decimal that names the double, half up: 12.35, which lies below 12.35, would
+    become 12.4. Here every product and difference that decides is exact: the fraction is taken in two parts of 26 bits.
+    """
+    unit = 10**digits
+    let = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def parts(x: Column) -> Column:
+        size = F.abs(x)
+        rest = size - F.floor(size)
+        high = F.floor(rest * float(2**26)) / float(2**26)
+        return F.struct((F.floor(size) * unit).alias("n"), (high * float(unit)).alias("a"), ((rest - high) * float(unit)).alias("b"))
+
+    def total(p: Column) -> Column:
+        q = F.floor(p["a"] + p["b"])
+        over = (p["a"] - q - 0.5) + p["b"]
+        return p["n"] + q + F.when((over > 0) | ((over == 0) & ((p["n"] + q) % 2 == 1)), 1).otherwise(0)
+
+    def written(t: Column) -> Column:
+        return F.concat(((t - t % unit) / unit).cast("long").cast("string"), F.lit("."), F.lpad((t % unit).cast("string"), digits, "0")) if digits else t.cast("string")
+
+    sign = F.when(v < 0, "-").otherwise("+" if plus else "")
+    return F.concat(sign, let(let(let(v.cast("double"), parts), total), written))
+
+
+def worded(pattern: str, *values: Column) -> Column:
+    """``format_string`` whose %.Nf and %+.Nf are written by ``fixed``."""
+    marks = [m for m in re.finditer(r"%(?:%|[ds]|(\+?)\.(\d)f)", pattern) if m.group() != "%%"]
+    args = [fixed(v, int(m[2]), bool(m[1])) if m[2] else v for m, v in zip(marks, values, strict=True)]
+    return F.format_string(re.sub(r"%\+?\.\df", "%s", pattern), *args)
+
+
 #: Sentences of the change narrative.
 NO_CHANGE_EVIDENCE = "No significant changes were detected between the two images. The scenes appear largely identical within the detection threshold."
 NO_CHANGE = "No significant changes were detected between the before and after images. The two scenes appear largely consistent."
@@ -106,14 +142,14 @@ def by_name(name: Column, texts: dict[str, str]) -> Column:
 
 def change_evidence(regions: Column, percent: Column) -> Column:
     """``regions``: ranked array of structs with region_id, location, area_fraction, magnitude, confidence."""
-    head = F.format_string("Detected %d significant change region(s) covering approximately %.1f%% of the total scene area.", F.size(regions), percent)
-    line = F.transform(F.slice(regions, 1, 5), lambda r: F.format_string("  • Region %d: %s, area %.2f%%, magnitude %.2f, confidence %.0f%%", r["region_id"], r["location"], r["area_fraction"] * 100.0, r["magnitude"], r["confidence"] * 100.0))
+    head = worded("Detected %d significant change region(s) covering approximately %.1f%% of the total scene area.", F.size(regions), percent)
+    line = F.transform(F.slice(regions, 1, 5), lambda r: worded("  • Region %d: %s, area %.2f%%, magnitude %.2f, confidence %.0f%%", r["region_id"], r["location"], r["area_fraction"] * 100.0, r["magnitude"], r["confidence"] * 100.0))
     return F.when(F.size(regions) == 0, NO_CHANGE_EVIDENCE).otherwise(F.array_join(F.concat(F.array(head), line), "\n"))
 
 
 def change_narrative(regions: Column, percent: Column, query: Column) -> Column:
     """Locations of the three largest regions are named once each, in rank order."""
-    lead = F.format_string("Significant changes were detected between the two temporal observations. %d distinct change region(s) were identified, covering approximately %.1f%% of the scene.", F.size(regions), percent)
+    lead = worded("Significant changes were detected between the two temporal observations. %d distinct change region(s) were identified, covering approximately %.1f%% of the scene.", F.size(regions), percent)
     where = F.array_join(F.array_distinct(F.transform(F.slice(regions, 1, 3), lambda r: r["location"])), ", ")
     band = by_name(magnitude_band(F.try_element_at(regions, F.lit(1))["magnitude"]), BAND_TEXT)
     return F.when(F.size(regions) == 0, NO_CHANGE).otherwise(F.concat_ws(" ", lead, F.concat(F.lit("The most prominent changes are located in the "), where, F.lit(".")), band, by_name(context(query), CONTEXT_TEXT)))

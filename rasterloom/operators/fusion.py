@@ -117,8 +117,8 @@ def features(m: DataFrame, s: DataFrame, label=components.grouped, most: int = 1
     r = r.withColumns({"optical": optical, "sar": sar, "agreement": agree})
     if exact:
         return regions.ranked(r, [F.desc(C("bw") * C("bh")), F.asc("feature_id")], most)
-    by_optical = F.when(is_(1), F.format_string("Mean NDWI %+.3f with NIR absorption", C("ndwi"))).when(is_(2), F.format_string("High spatial edge density (%.2f)", C("edges"))).otherwise(F.format_string("Active vegetation response (NDVI %.2f)", C("ndvi")))
-    by_sar = F.when(is_(1), F.format_string("Low radar backscatter %.1f dB (specular reflection)", C("vv"))).when(is_(2), F.format_string("Double-bounce backscatter (%.1f dB)", C("vv"))).otherwise(F.format_string("Sub-canopy radar attenuation (%.1f dB)", C("vv")))
+    by_optical = F.when(is_(1), text.worded("Mean NDWI %+.3f with NIR absorption", C("ndwi"))).when(is_(2), text.worded("High spatial edge density (%.2f)", C("edges"))).otherwise(text.worded("Active vegetation response (NDVI %.2f)", C("ndvi")))
+    by_sar = F.when(is_(1), text.worded("Low radar backscatter %.1f dB (specular reflection)", C("vv"))).when(is_(2), text.worded("Double-bounce backscatter (%.1f dB)", C("vv"))).otherwise(text.worded("Sub-canopy radar attenuation (%.1f dB)", C("vv")))
     r = r.select("scene_id", "feature_id", "kind", F.when(is_(1), WATER).when(is_(2), STRUCTURE).otherwise(FLOODED).alias("category"), "bx", "by", "bw", "bh", "area", F.round(C("area") * 100.0 / total, 3).alias("area_pct"), text.fusion_location(C("mx") / C("w"), C("my") / C("h")).alias("location"), F.round("optical", 2).alias("optical_score"), F.round("sar", 2).alias("sar_score"), F.round("agreement", 2).alias("agreement_score"), scores.blend(C("optical"), C("sar"), C("agreement")).alias("confidence"), by_optical.alias("optical_characteristics"), by_sar.alias("sar_characteristics"))
     return regions.ranked(r, [F.desc(C("bw") * C("bh")), F.asc("feature_id")], most)
 
@@ -154,7 +154,7 @@ def prepared(pixels: DataFrame) -> DataFrame:
 def texts(scenes: DataFrame, query: str) -> DataFrame:
     """Adds optical_evidence, sar_evidence, interpretation and summary; the theme comes from the query."""
     t = text.theme(F.lit(query))
-    fmt, line = F.format_string, lambda *parts: F.concat_ws(" ", *parts)
+    fmt, line = text.worded, lambda *parts: F.concat_ws(" ", *parts)
     feats = C("features")
     of = lambda k: F.filter(feats, lambda f: f["kind"] == k)
     place = lambda k: F.try_element_at(of(k), F.lit(1))["location"]

@@ -276,3 +276,21 @@ def test_radar_bands_methods_and_empty_payloads(spark):
     m = components.settled(fusion.masks(p, components.settled(fusion.scene_scalars(p))))
     rows = lambda name: [tuple(r) for r in fusion.fused_picture(m, name).orderBy("y", "x").limit(50).collect()]
     assert rows("composite") == rows("anything") != rows("ihs")
+
+
+def test_decimals_of_texts_are_those_of_the_exact_value(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rasterloom.functions import text
+
+    draw = random.Random(5)
+    some = [round(draw.uniform(-60, 120), draw.choice((1, 2, 3, 4))) for _ in range(3000)] + [n / 64 for n in range(-64, 640)] + [0.0, -0.04, 12.35, 6.25, 1e-9, 999999.9999, 0.5, 1.5, 2.5]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(some)], "i int, v double").select("i", *[text.fixed(F.col("v"), n).alias(f"d{n}") for n in range(5)], text.worded("%d: %+.3f%%, %s", F.col("i"), F.col("v"), F.lit("x")).alias("w"))
+    for r in rows.collect():
+        v = some[r["i"]]
+        assert [r[f"d{n}"] for n in range(5)] == [f"{v:.{n}f}" for n in range(5)]
+        assert r["w"] == f"{r['i']}: {v:+.3f}%, x"
+    empty = spark.createDataFrame([(None,)], "v double").select(text.fixed(F.col("v"), 2).alias("t")).first()["t"]
+    assert empty is None
