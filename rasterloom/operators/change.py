@@ -57,7 +57,7 @@ def analyse(pairs: DataFrame, query: str = "", detector: str = "lab", label=comp
     out = regions.collected(scenes, found, regions.region_struct())
     percent = F.round(F.col("fraction") * 100.0, 2)
     mean = F.aggregate("regions", F.lit(0.0), lambda a, r: a + r["confidence"]) / F.size("regions")
-    out = out.withColumn("changed_percent", percent).withColumn("overall_confidence", F.when(F.size("regions") == 0, 0.9).otherwise(F.round(mean, 3)))
+    out = out.withColumn("changed_percent", percent).withColumn("overall_confidence", F.when(F.size("regions") == 0, 0.9).otherwise(text.fixed(mean, 3).cast("double")))
     q = F.lit(query)
     trace = F.array(F.lit("inputs validated"), F.concat(F.lit("difference detected: "), F.col("changed_percent").cast("string"), F.lit("%")), F.concat(F.lit("regions: "), F.size("regions").cast("string")), F.lit("rule-based interpretation"))
     summary = F.concat(F.lit("DETECTED CHANGE\n"), F.col("evidence"), F.lit("\n\nAI INTERPRETATION\n"), F.col("narrative"))

@@ -27,7 +27,7 @@ LOCATION = "CASE WHEN v = 'central' AND w = 'central' THEN 'center of the scene'
 rg AS (SELECT scene_id, region_id, count(*) AS area, avg(x) / 8 AS cx, avg(y) / 8 AS cy, avg(g) AS m FROM lb JOIN ch USING (scene_id, y, x) GROUP BY ALL),
 nm AS (SELECT *, {_thirds('cy', 'upper', 'lower')} AS v, {_thirds('cx', 'left', 'right')} AS w, row_number() OVER (PARTITION BY scene_id ORDER BY area DESC, region_id) AS rank, round(least(1.0, 0.5 + 0.3 * m + 2.0 * area / 64), 3) AS confidence FROM rg),
 lo AS (SELECT *, {LOCATION} AS location FROM nm WHERE rank <= 20),
-ag AS (SELECT scene_id, count(*) AS n, round(sum(confidence ORDER BY rank) / count(*), 3) AS conf, max(m) FILTER (rank = 1) AS m, max(location) FILTER (rank = 1) AS l1, max(location) FILTER (rank = 2) AS l2, max(location) FILTER (rank = 3) AS l3,
+ag AS (SELECT scene_id, count(*) AS n, printf('%.3f', sum(confidence ORDER BY rank) / count(*))::DOUBLE AS conf, max(m) FILTER (rank = 1) AS m, max(location) FILTER (rank = 1) AS l1, max(location) FILTER (rank = 2) AS l2, max(location) FILTER (rank = 3) AS l3,
  string_agg(printf('  • Region %d: %s, area %.2f%%, magnitude %.2f, confidence %.0f%%', region_id, location, area / 64.0::DOUBLE * 100, m, confidence * 100), chr(10) ORDER BY rank) FILTER (rank <= 5) AS lines FROM lo GROUP BY 1),
 pc AS (SELECT scene_id, round(avg(c::INT) * 100, 2) AS percent FROM ch GROUP BY 1)
 SELECT scene_id, percent AS changed_percent, coalesce(n, 0)::INT AS n_regions, CASE WHEN n IS NULL THEN 0.9 ELSE conf END::DOUBLE AS overall_confidence,
