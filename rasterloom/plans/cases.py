@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import radar, scores, spectral, text
 from ..operators import align, change, fusion, router, stencil
 from ..sources import images, png, synth
+from . import pixel, words
 from .registry import SIX, TILES, r6, register
 from .scene import CHANGE, COMPONENTS, _thirds
 from .words import case
@@ -107,11 +108,7 @@ def j2_aligned(spark, d):
     return fusion.aligned(optical, sar, extent(0.0, 8.0), extent(0.5, 8.25), ["b02"], ["vv"]).select("scene_id", "y", "x", r6("b02"), r6("vv"))
 
 
-@register("s5_resample_grid", f"WITH {TILES} SELECT scene_id, y, x, round(v, 6) AS v, round(coverage, 6) AS coverage FROM ({_bilinear('tiles', 'v', 'x - 0.25', 'y - 0.25', 7, 7)})")
-def s5_resample_grid(spark, d):
-    from .words import s5_resample
-
-    return s5_resample(spark, d)
+register("s5_resample", f"WITH {TILES} SELECT scene_id, y, x, round(v, 6) AS v, round(coverage, 6) AS coverage FROM ({_bilinear('tiles', 'v', 'x - 0.25', 'y - 0.25', 7, 7)})")(words.s5_resample)
 
 
 def _pass(source: str, place: str, other: str, n: int, m: int) -> str:
@@ -134,14 +131,10 @@ def g7_matched(spark, d):
     return align.matched(one, two).select("scene_id", C("out_h").cast("long").alias("out_h"), C("out_w").cast("long").alias("out_w"))
 
 
-@register("f14_coordinate_texts", """WITH c AS (SELECT c_custkey AS k, (c_custkey * 37 % 18000) / 100.0 - 90 AS lat, (c_custkey * 91 % 36000) / 100.0 - 180 AS lon FROM customer),
+register("f14_formats", """WITH c AS (SELECT c_custkey AS k, (c_custkey * 37 % 18000) / 100.0 - 90 AS lat, (c_custkey * 91 % 36000) / 100.0 - 180 AS lon FROM customer),
 p AS (SELECT *, (abs(lat) - floor(abs(lat))) * 60 AS my, (abs(lon) - floor(abs(lon))) * 60 AS mx FROM c)
 SELECT k, printf('%d° %d′ %.1f″ ', floor(abs(lat))::BIGINT, floor(my)::BIGINT, (my - floor(my)) * 60) || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END AS lat_dms, printf('%d° %d′ %.1f″ ', floor(abs(lon))::BIGINT, floor(mx)::BIGINT, (mx - floor(mx)) * 60) || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END AS lon_dms,
- printf('%.4f° ', abs(lat)) || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END AS lat_dd, printf('%.4f° ', abs(lon)) || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END AS lon_dd FROM p""")
-def f14_coordinate_texts(spark, d):
-    from .words import f14_formats
-
-    return f14_formats(spark, d)
+ printf('%.4f° ', abs(lat)) || CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END AS lat_dd, printf('%.4f° ', abs(lon)) || CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END AS lon_dd FROM p""")(words.f14_formats)
 
 
 @register("p4_rgb_masks", f"WITH {TILES}, {SIX}, i AS (SELECT scene_id, y, x, v0, v1, v2, 0.299 * v2 + 0.587 * v1 + 0.114 * v0 AS grey, (v0 + v1 - 2 * v2) / (v0 + v1 + 2 * v2 + 1e-6) AS wp, (2 * v1 - v2 - v0) / (2 * v1 + v2 + v0 + 1e-6) AS vp FROM six) SELECT scene_id, y, x, wp >= 0.15 AND grey <= 0.35 AS water, vp >= 0.20 AND v1 >= v2 AS vegetation FROM i")
@@ -263,12 +256,8 @@ def src9_random_numbers(spark, d):
     return synth.mulberry(seeds, "seed", 8).select("seed", C("i").cast("int").alias("i"), r6("value"))
 
 
-@register("s6_components_orders", """WITH RECURSIVE mask AS (SELECT (o_orderkey // 500)::INT AS y, (o_orderkey % 500)::INT AS x FROM orders WHERE o_totalprice / 500000.0 > 0.6),
+register("s6_components_large", """WITH RECURSIVE mask AS (SELECT (o_orderkey // 500)::INT AS y, (o_orderkey % 500)::INT AS x FROM orders WHERE o_totalprice / 500000.0 > 0.6),
 runs AS (SELECT y, min(x) AS lo, max(x) AS hi, y::BIGINT * 500 + min(x) AS r FROM (SELECT *, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM mask) GROUP BY y, g),
 links AS (SELECT a.r AS a, b.r AS b FROM runs a JOIN runs b ON b.y = a.y + 1 AND a.lo <= b.hi AND b.lo <= a.hi UNION ALL SELECT b.r, a.r FROM runs a JOIN runs b ON b.y = a.y + 1 AND a.lo <= b.hi AND b.lo <= a.hi),
 reach(a, b) AS (SELECT r, r FROM runs UNION SELECT reach.a, l.b FROM reach JOIN links l ON l.a = reach.b),
-roots AS (SELECT a AS r, min(b) AS root FROM reach GROUP BY 1), areas AS (SELECT root, sum(hi - lo + 1)::BIGINT AS area FROM runs JOIN roots USING (r) GROUP BY 1) SELECT area, count(*)::BIGINT AS n FROM areas GROUP BY 1""")
-def s6_components_orders(spark, d):
-    from .pixel import s6_components_large
-
-    return s6_components_large(spark, d)
+roots AS (SELECT a AS r, min(b) AS root FROM reach GROUP BY 1), areas AS (SELECT root, sum(hi - lo + 1)::BIGINT AS area FROM runs JOIN roots USING (r) GROUP BY 1) SELECT area, count(*)::BIGINT AS n FROM areas GROUP BY 1""")(pixel.s6_components_large)
