@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_bpe, op10_media, op2_frames, op3_warc, op4_suffix, op5_html, op6_language, op7_minhash, op8_quality, op9_decontaminate
+from . import op1_bpe, op2_frames, op3_warc, op4_suffix, op5_html, op6_language, op7_minhash, op8_quality, op9_decontaminate, op10_media, op11_audit, op12_whiten, op13_rules
 from .common import table
 
 
@@ -51,12 +51,30 @@ def op10_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_rules.quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_bpe_transducer, op2_token_frames, op3_warc_archive, op4_suffix_dedup, op5_tag_paths, op6_language_centroids, op7_near_duplicates,
+    op8_weak_quality, op9_decontamination, op10_media_sequences, op11_filter_audit, op12_whitening, op13_rule_cascade,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_transducer, op2_token_frames, op3_warc_archive, op4_suffix_dedup, op5_tag_paths, op6_language_centroids, op7_near_duplicates, op8_weak_quality, op9_decontamination, op10_media_sequences)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": OP3, "op4_suffix_dedup": OP4, "op7_near_duplicates": OP7, "op9_decontamination": OP9}
+    return {"op3_warc_archive": OP3, "op4_suffix_dedup": OP4, "op7_near_duplicates": OP7, "op9_decontamination": OP9, "op11_filter_audit": OP11, "op13_rule_cascade": OP13}
 
 
 OP3 = """
@@ -114,3 +132,36 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(longest, 0)::BIGINT AS longest, longest_word::BIGINT AS longest_word
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN top USING (doc_id)
 """
+
+
+OP11 = r"""
+WITH l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS f FROM documents),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(f < doc_id, false)::INT AS mask FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+s AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(x, b)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM s a, s b, s c, s d, s e WHERE a.b | b.b | c.b | d.b | e.b = 31),
+k AS (SELECT filter_order, i::INT AS step, bits[i] AS bit, coalesce(list_sum(bits[1 : i - 1]), 0)::INT AS before FROM o, range(1, 6) r(i)),
+a AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, k GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM a
+"""
+
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x : regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT k, p, count(*) OVER (PARTITION BY k, g) AS c FROM (SELECT k, p, array_to_string(w[p : p + 7], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS p FROM w WHERE len(w) >= 8))),
+r AS (SELECT k, count(DISTINCT q) AS n FROM (SELECT k, unnest(range(p, p + 8)) AS q FROM g WHERE c > 1) GROUP BY 1),
+f AS (SELECT doc_id, t, w, l, len(w) AS n, length(array_to_string(w, '')) AS chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS symbols, len(l) AS lines, len(l) - len(list_distinct(l)) AS dup, coalesce(r.n, 0) AS repeats FROM w LEFT JOIN r USING (k)),
+b AS (SELECT *, n < 20 OR 100 * repeats > 30 * n AS base_failed FROM f)
+SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, repeats::BIGINT AS n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * symbols > n OR chars < 2 * n OR chars > 15 * n OR 100 * dup > 40 * lines OR 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 40 * length(t)
+    OR 100 * length(regexp_replace(t, '[^0-9]', '', 'g')) > 50 * length(t) OR 100 * length(regexp_replace(t, '[^!?]', '', 'g')) > 50 * n
+    OR 100 * len(list_filter(range(2, n + 1), lambda i : w[i] = w[i - 1])) > 30 * n
+    OR 100 * len(list_filter(l, lambda x : regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) > 30 * lines
+    OR 100 * len(list_filter(l, lambda x : regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) > 90 * lines) AS kept
+FROM b
+"""
