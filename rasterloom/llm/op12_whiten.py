@@ -3,8 +3,8 @@
 An entry c becomes the whole number x = floor(64 c) + 1000000. Sums S of each dimension and the number n of vectors are whole
 numbers too, so n x - S is exact, and one division centres a row without cancellation. ``RowMatrix.computeGramianMatrix`` of
 the centred rows, divided by n, is the covariance; it comes to the driver as a matrix of dimension by dimension, whatever the
-number of rows. There ``eigh`` finds the components, which go out as a broadcast of dimension by ``TOP`` numbers, and Arrow
-batches are projected on them. The whitened rows are written to the shared folder once; their means, their own Gramian
+number of rows. There ``eigh`` finds the components, which go out as a broadcast of dimension by ``TOP`` numbers, and batches
+of rows are projected on them. The whitened rows are written to the shared folder once; their means, their own Gramian
 and the result are read from there.
 
 Edge cases. Null vectors, and vectors with null or non-finite entries, are dropped; so are vectors of a length that isn't
@@ -21,12 +21,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import cut
 
@@ -44,24 +45,25 @@ def levels(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     rows = df.select(df[id_col].alias("vec_id"), v.alias("v"))
     good = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LARGEST))
     rows = rows.where(C("v").isNotNull() & (F.size("v") > 0) & good)
-    return rows.select("vec_id", F.transform("v", lambda c: F.floor(c * SCALE) + OFFSET).alias("x"))
+    # guarded, as the optimizer may evaluate it for rows that the filter drops
+    return rows.select("vec_id", F.transform("v", lambda c: F.when(F.abs(c) < LARGEST, F.floor(c * SCALE) + OFFSET)).alias("x"))
 
 
 class Fit:
     """What all vectors have in common: number, sums, components and their variances."""
 
-    def __init__(self, n: int, sums: list[int], spread: int):
-        self.n, self.sums, self.d = n, sums, len(sums)
-        #: n x - S stays below this in size
-        self.spread = spread
+    def __init__(self, n: int, sums: list[int], low: list[int], high: list[int]):
+        self.n, self.sums = n, sums
+        #: Bounds of the size of n x - S, and of n x.
+        self.spread = max(max(abs(n * a - s), abs(n * b - s)) for a, b, s in zip(low, high, sums))
+        self.product = n * max(max(map(abs, low)), max(map(abs, high)))
 
     def centred(self, x: Column) -> Column:
         """(n x - S) / n: the numerator is exact, in decimals where a long is too narrow."""
-        kind = "long" if self.n * (1 << 52) < 1 << 62 or self.spread < 1 << 53 and self.n * self.top < 1 << 62 else "decimal(38,0)"
+        kind = "long" if self.product + self.spread < 1 << 63 else "decimal(38,0)"
         sums = F.array(*[F.lit(str(s)).cast(kind) for s in self.sums])
-        return F.zip_with(x, sums, lambda a, s: (F.lit(self.n).cast(kind) * a.cast(kind) - s).cast("double") / float(self.n))
-
-    top = 1 << 52
+        n = F.lit(self.n).cast("long" if kind == "long" else "decimal(18,0)")
+        return F.zip_with(x, sums, lambda a, s: (n * a.cast("long" if kind == "long" else "decimal(19,0)") - s).cast("double") / float(self.n))
 
 
 def gramian(rows: DataFrame, column: str) -> np.ndarray:
@@ -76,10 +78,7 @@ def fitted(x: DataFrame) -> Fit | None:
     found = sorted(one.collect(), key=lambda r: r.i)  # as many rows as dimensions
     if not found:
         return None
-    n = found[0].n
-    fit = Fit(n, [int(r.s) for r in found], max(max(abs(n * r.lo - int(r.s)), abs(n * r.hi - int(r.s))) for r in found))
-    fit.top = max(max(abs(r.lo), abs(r.hi)) for r in found)
-    return fit
+    return Fit(found[0].n, [int(r.s) for r in found], [r.lo for r in found], [r.hi for r in found])
 
 
 def components(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,26 +91,21 @@ def components(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def whitened(x: DataFrame, fit: Fit, scaled: np.ndarray) -> DataFrame:
     """(vec_id, deviation, w): rows projected on the columns of ``scaled``, unit eigenvectors over deviations."""
-    held = x.sparkSession.sparkContext.broadcast((fit.n, fit.sums, fit.spread, scaled))
+    narrow = fit.spread**2 * len(fit.sums) < 1 << 63 and fit.product + fit.spread < 1 << 63
+    held = x.sparkSession.sparkContext.broadcast((fit.n, fit.sums, scaled))
+    schema = StructType([StructField("vec_id", x.schema["vec_id"].dataType), *StructType.fromDDL("deviation long, w array<double>")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, sums, spread, matrix = held.value
-        d, wide = len(sums), spread * spread * len(sums) >= 1 << 63
-        exact = object if wide or n * (1 << 52) >= 1 << 63 else np.int64
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums, matrix = held.value
+        exact = np.int64 if narrow else object  # whole numbers of any size where 64 bits would not do
         s = np.array(sums, exact)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(1).flatten().to_numpy().reshape(-1, d).astype(exact) * n - s
-            size = (v * v).sum(axis=1).tolist()
-            out = (v.astype(np.float64) / n) @ matrix
-            offsets = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k if k < 1 << 63 else None for k in size], pa.int64()), pa.ListArray.from_arrays(offsets, out.ravel())], ["vec_id", "deviation", "w"])
+            if len(batch):
+                v = np.stack(batch.x.to_numpy()).astype(exact) * n - s
+                size = [k if k < 1 << 63 else None for k in (v * v).sum(axis=1).tolist()]
+                yield pd.DataFrame({"vec_id": batch.vec_id, "deviation": pd.array(size, "Int64"), "w": list((v.astype(np.float64) / n) @ matrix)})
 
-    from pyspark.sql.types import StructField, StructType
-
-    schema = StructType([StructField("vec_id", x.schema["vec_id"].dataType), *StructType.fromDDL("deviation long, w array<double>")])
-    return x.mapInArrow(run, schema)
+    return x.mapInPandas(run, schema)
 
 
 SCHEMA = "component int, n long, deviation long, whitened double, explained double, identity_error double"
@@ -124,8 +118,7 @@ def whiten(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     length = x.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     fit = fitted(x.where(F.size("x") == length.d)) if length else None
     if fit is None:
-        named = spark.createDataFrame([], f"vec_id {x.schema['vec_id'].dataType.simpleString()}, {SCHEMA}")
-        return named
+        return spark.createDataFrame([], f"vec_id {x.schema['vec_id'].dataType.simpleString()}, {SCHEMA}")
     x = x.where(F.size("x") == length.d)
     v = gramian(x.select(fit.centred(C("x")).alias("c")), "c") / fit.n
     e, u = components(v)
