@@ -27,8 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words a worker remembers; the memory of what it has encoded is emptied beyond that.
-CACHE_WORDS = 200_000
+#: Words that a worker remembers, and characters of all that it remembers of them; beyond either the memory is emptied.
+CACHE_WORDS, CACHE_CHARS = 200_000, 1 << 25
 #: Characters of a text that are looked at together.
 SLICE_CHARS = 1 << 18
 
@@ -246,6 +246,8 @@ class WordBPE:
         #: By word, and by stretch without white space: its ids in decimal, and what they decode to.
         self.word_ids: dict[str, str] = {}
         self.word_texts: dict[str, str] = {}
+        #: Characters put into these four since they were last emptied together.
+        self.remembered = 0
         self.ids: dict[str, str] = {}
         self.texts: dict[str, str] = {}
 
@@ -293,6 +295,7 @@ class WordBPE:
                     return self._remember(chunk)
                 found = self.word(word)
                 ids[word], texts[word] = " ".join(map(str, found)), self._decoded(found)
+                self.remembered += len(word) + len(ids[word]) + len(texts[word])
         if len(pieces) == 1:
             self.ids[chunk], self.texts[chunk] = ids[pieces[0]], texts[pieces[0]]
         else:
@@ -380,11 +383,16 @@ class WordBPE:
                 yield " ".join(map(str, held)), self._decoded(held)
             return
         ids, texts = self.ids, self.texts
-        if len(ids) >= CACHE_WORDS:
+        if len(ids) >= CACHE_WORDS or self.remembered >= CACHE_CHARS:
             ids.clear()
             texts.clear()
+        if self.remembered >= CACHE_CHARS:  # what has been forgotten since counts too, so it is never less than what is held
+            self.word_ids.clear()
+            self.word_texts.clear()
+            self.remembered = 0
         for c in set(chunk).difference(ids):
             self._remember(c)
+            self.remembered += len(c) + len(ids[c]) + len(texts[c])
         yield " ".join(map(ids.__getitem__, chunk)), " ".join(map(texts.__getitem__, chunk))
 
 

@@ -34,8 +34,8 @@ from .common import cut, fresh_path, fs_of, id_of, ids_back
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Bytes of ids in a frame, about; compression level.
 FRAME_BYTES, LEVEL = 1 << 18, 1
-#: Words a worker remembers.
-CACHE_WORDS = 700_000
+#: Words a worker remembers, and their characters; beyond either the memory is emptied.
+CACHE_WORDS, CACHE_CHARS = 700_000, 1 << 25
 
 MANIFEST = "path string, first_doc long, n_docs long, n_ids long, n_bytes long"
 
@@ -146,6 +146,8 @@ class ByteBPE:
         self.tokenizer.no_truncation()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 0xFFFF else 4
         self.memory: dict[str, bytes] = {}
+        #: Characters of the words in memory.
+        self.remembered = 0
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.uneven = re.compile(r"\s\s|^\s|\s\Z")
         #: Whether a token begins with a space, which a word's first token alone does.
@@ -178,11 +180,13 @@ class ByteBPE:
         """Packed ids of each text."""
         split = [self.words(t) if t else [] for t in texts]
         heads = iter(self.tokenizer.encode_batch_fast([words[0] for words in split if words], add_special_tokens=False))
-        if len(self.memory) > CACHE_WORDS:
+        if len(self.memory) > CACHE_WORDS or self.remembered > CACHE_CHARS:
             self.memory.clear()
+            self.remembered = 0
         rest = [words[1:] for words in split]
         if new := set(chain.from_iterable(rest)).difference(self.memory):
             self.learn(list(new))
+            self.remembered += sum(map(len, new))
         get = self.memory.__getitem__
         return [self.pack(next(heads).ids) + b"".join(map(get, words)) if whole else b"" for whole, words in zip(split, rest)]
 
