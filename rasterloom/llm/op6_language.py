@@ -16,12 +16,12 @@ holds four centroids of 32 kB a language in every task, so some 2,000 languages
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,8 @@ CHUNK_BYTES = 1 << 20
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters alone: neither digits of any script nor numbers such as fractions and circled digits.
+_LETTER = regex.compile(r"\p{L}")
 _CLEAN = np.full(256, 0x20, np.uint8)
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
 _CLEAN[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -179,8 +180,11 @@ def fit(rows: DataFrame) -> Model:
     size = cut(train.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     if (k := size.count()) * DIMS * 4 > MODEL_BYTES:
         raise ValueError(f"{k} languages are more than a task can hold")
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = train.join(F.broadcast(size), "lang").where((F.col("n") <= SAMPLE) | (share < F.lit(0.9 * SAMPLE) / F.col("n"))).select("lang", "doc_id", "text")
+    # a row that is repeated has one hash, so its copies would enter together: each text of an id enters once
+    rows_hash = F.xxhash64("doc_id", "text")
+    share = F.pmod(rows_hash, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = train.join(F.broadcast(size), "lang").where((F.col("n") <= SAMPLE) | (share < F.lit(0.9 * SAMPLE) / F.col("n"))).select("lang", "doc_id", "text", rows_hash.alias("h"))
+    sample = sample.dropDuplicates(["lang", "h"]).drop("h")
 
     def learn(key: tuple, t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
