@@ -6,9 +6,11 @@ labeller votes given the true class. Its posteriors are soft labels for a hashed
 punctuation shapes, which then scores every document. A second head scores toxicity. It learns from ``labels`` alone, in
 whatever languages they cover, over the features that go with toxic labels beyond chance (all features, if none does).
 
-Fitting takes at most ``SAMPLE`` documents for each head, the classifier's documented bound; pattern counts cover all.
+Fitting takes at most ``SAMPLE`` documents for each head, the classifier's documented bound; pattern counts cover all. Rows
+enter by a hash of id and text, and rows that are equal in both enter once, so that no id, missing or repeated, brings more.
 
-Edge cases: null and empty texts have only votes of length and get the scorer's bias; with a single pattern the posterior
+Edge cases: rows without an id, repeated rows and ties are scored each for itself; texts are read whole, however long; other
+columns are not read, whatever they are called; null and empty texts have only votes of length and get the scorer's bias; with a single pattern the posterior
 is the prior; an empty table gives an empty result; without labels of both classes the second head has no teacher, and its score and
 verdict are null.
 """
@@ -193,8 +195,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     total = sum(patterns.values())
     posterior, _ = em(patterns)
 
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    quality = fetched(rows.where(share < min(1.0, 0.9 * SAMPLE / max(total, 1))).withColumn("toxic", F.lit(None).cast("double")))
+    quality = fetched(bounded(rows.withColumn("toxic", F.lit(None).cast("double")), total))
     good = train([r.ids for r in quality], np.array([posterior.get(r.votes, PRIOR) for r in quality]), True)
 
     if labels is not None:
@@ -202,7 +203,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
         size = known.count()
         part = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         picked = known.where(part < min(1.0, 0.9 * SAMPLE / max(size, 1)))
-        taught = fetched(rows.join(picked, rows["doc_id"] == picked["_id"]).select("doc_id", "text", (F.col("_toxic") > 0).cast("double").alias("toxic")))
+        joined = rows.join(picked, rows["doc_id"] == picked["_id"]).select("doc_id", "text", (F.col("_toxic") > 0).cast("double").alias("toxic"))
+        taught = fetched(bounded(joined, 0))
     else:
         taught = []
     bad = toxicity([r.ids for r in taught], np.array([r.toxic for r in taught]))
@@ -224,6 +226,14 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     return rows.mapInArrow(run, SCHEMA)
 
 
+def bounded(rows: DataFrame, total: int) -> DataFrame:
+    """At most SAMPLE of ``rows`` (doc_id, text, toxic), of which there are ``total``, by the order of a hash of id and text."""
+    some = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    share = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = some.where(share < min(1.0, 0.9 * SAMPLE / max(total, 1)))
+    return some.dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).drop("h")
+
+
 class Example:
     """What the fit needs of a sampled document."""
 
