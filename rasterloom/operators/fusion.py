@@ -138,6 +138,19 @@ def aligned(optical: DataFrame, radar: DataFrame, optical_geo: DataFrame, radar_
     return one.join(two, ["scene_id", "y", "x"])
 
 
+def warped(optical: DataFrame, radar: DataFrame, optical_geo: DataFrame, radar_geo: DataFrame, optical_bands: list[str], radar_bands: list[str]) -> DataFrame:
+    """Optical and radar pixels side by side on the common grid of their extents, which may be in different coordinate systems.
+
+    Pixels: scene_id, y, x and bands; ``*_geo``: scene_id, crs, left, bottom, right, top, res_x, res_y. The grid is in the
+    optical system at the optical resolution; pixels of it that a raster doesn't cover are 0 in its bands. Scenes that
+    don't meet, or whose systems are not supported, are absent: ``align.matched`` sizes those.
+    """
+    target = align.common(optical_geo, radar_geo)
+    one = align.warp(optical, optical_geo, target, optical_bands).drop("coverage")
+    two = align.warp(radar, radar_geo, target, radar_bands).drop("coverage")
+    return one.join(two, ["scene_id", "y", "x"])
+
+
 def fused_picture(m: DataFrame, method: str = "composite") -> DataFrame:
     """(scene_id, y, x, r, g, b) of the chosen method: "ihs" is the intensity substitution, any other name the composite."""
     kind = "ihs" if method == "ihs" else "fc"

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import radar, scores, spectral, text
+from ..functions import projection, radar, scores, spectral, text
 from ..operators import align, change, fusion, router, stencil
 from ..sources import images, png, synth
 from . import pixel, words
@@ -108,6 +108,41 @@ def j2_aligned(spark, d):
     return fusion.aligned(optical, sar, extent(0.0, 8.0), extent(0.5, 8.25), ["b02"], ["vv"]).select("scene_id", "y", "x", r6("b02"), r6("vv"))
 
 
+def _warp_sql() -> str:
+    """Kind 0: zone 43 to zone 44; 1: zone 43 to degrees; 2: degrees to zone 43."""
+    to_deg, to_zone = projection.zone_to_degrees_sql, projection.degrees_to_zone_sql
+    return f"""WITH {TILES}, s AS (SELECT DISTINCT scene_id, scene_id % 3 AS kind, CASE WHEN scene_id % 3 < 2 THEN 600000.0::DOUBLE + scene_id % 50 * 1000 ELSE 77.0::DOUBLE + (scene_id % 50) / 100.0::DOUBLE END AS l,
+ CASE WHEN scene_id % 3 < 2 THEN 2200000.0::DOUBLE + scene_id % 70 * 10000 ELSE 20.0::DOUBLE + (scene_id % 70) / 10.0::DOUBLE END AS t FROM tiles),
+c01 AS ({to_deg('(SELECT * FROM s WHERE kind < 2)', 'l', 't', '43')}), c2 AS (SELECT *, l AS lon, t AS lat FROM s WHERE kind = 2),
+corner AS (SELECT *, east - 300 AS tl, north + 300 AS tt, 1000.0::DOUBLE AS r FROM ({to_zone('(SELECT * FROM c01 WHERE kind = 0)', '44')}) UNION ALL SELECT *, 0::DOUBLE AS east, 0::DOUBLE AS north, lon - 0.003 AS tl, lat + 0.003 AS tt, 0.01::DOUBLE AS r FROM c01 WHERE kind = 1 UNION ALL SELECT *, east - 300 AS tl, north + 300 AS tt, 1000.0::DOUBLE AS r FROM ({to_zone('c2', '43')})),
+target AS (SELECT scene_id, kind, l, t, y::INT AS y, x::INT AS x, tl + (x + 0.5::DOUBLE) * r AS px, tt - (y + 0.5::DOUBLE) * r AS py FROM corner, range(9) a(y), range(9) b(x)),
+back0 AS (SELECT scene_id, kind, l, t, y, x, east AS sx, north AS sy FROM ({to_zone('(' + to_deg('(SELECT * FROM target WHERE kind = 0)', 'px', 'py', '44') + ')', '43')})),
+back1 AS (SELECT scene_id, kind, l, t, y, x, east AS sx, north AS sy FROM ({to_zone('(SELECT *, px AS lon, py AS lat FROM target WHERE kind = 1)', '43')})),
+back2 AS (SELECT scene_id, kind, l, t, y, x, lon AS sx, lat AS sy FROM ({to_deg('(SELECT * FROM target WHERE kind = 2)', 'px', 'py', '43')})),
+back AS (SELECT *, CASE WHEN kind < 2 THEN 1000.0::DOUBLE ELSE 0.01::DOUBLE END AS r FROM (SELECT * FROM back0 UNION ALL SELECT * FROM back1 UNION ALL SELECT * FROM back2)),
+place AS (SELECT scene_id, y, x, CASE WHEN sx >= l AND sx < l + 8 * r AND sy <= t AND sy > t - 8 * r THEN (sx - l) / r - 0.5 END AS u, (t - sy) / r - 0.5 AS v FROM back),
+sums AS (SELECT a.scene_id, a.y, a.x, sum(p.v * (1 - abs(p.x - u)) * (1 - abs(p.y - a.v))) AS total, sum((1 - abs(p.x - u)) * (1 - abs(p.y - a.v))) AS weight FROM place a JOIN tiles p ON p.scene_id = a.scene_id AND abs(p.x - u) < 1 AND abs(p.y - a.v) < 1 GROUP BY ALL)
+SELECT scene_id, y, x, round(coalesce(total / weight, 0), 5) AS v, round(coalesce(weight, 0), 5) AS coverage FROM place LEFT JOIN sums USING (scene_id, y, x)"""
+
+
+@register("s5_warp", _warp_sql())
+def s5_warp(spark, d):
+    """Tiles of a kilometre or a hundredth of a degree a pixel, warped between zones and degrees; the grid hangs over their edges."""
+    t = synth.tiles(spark, d)
+    k = C("scene_id")
+    zone, kind = k % 3 < 2, k % 3
+    step = lambda c: F.when(c, 1000.0).otherwise(0.01)
+    g = t.select("scene_id").distinct().select(
+        "scene_id", F.when(zone, "EPSG:32643").otherwise("EPSG:4326").alias("crs"), F.when(kind == 0, "EPSG:32644").when(kind == 1, "EPSG:4326").otherwise("EPSG:32643").alias("to_crs"),
+        F.when(zone, 600000.0 + k % 50 * 1000).otherwise(77.0 + k % 50 / 100.0).alias("left"), F.when(zone, 2200000.0 + k % 70 * 10000).otherwise(20.0 + k % 70 / 10.0).alias("top"), step(zone).alias("res_x"), step(zone).alias("res_y"),
+    )
+    g = g.withColumns({"right": C("left") + 8 * C("res_x"), "bottom": C("top") - 8 * C("res_y")})
+    r = step(kind != 1)
+    to = projection.converted(g, "left", "top", C("crs"), C("to_crs"), "u", "v")
+    to = to.select("scene_id", C("to_crs").alias("crs"), (C("u") - 0.3 * r).alias("left"), (C("v") + 0.3 * r).alias("top"), r.alias("res_x"), r.alias("res_y"), F.lit(9).alias("out_w"), F.lit(9).alias("out_h"))
+    return align.warp(t, g, to, ["v"]).select("scene_id", "y", "x", F.round("v", 5).alias("v"), F.round("coverage", 5).alias("coverage"))
+
+
 register("s5_resample", f"WITH {TILES} SELECT scene_id, y, x, round(v, 6) AS v, round(coverage, 6) AS coverage FROM ({_bilinear('tiles', 'v', 'x - 0.25', 'y - 0.25', 7, 7)})")(words.s5_resample)
 
 

@@ -294,3 +294,77 @@ def test_decimals_of_texts_are_those_of_the_exact_value(spark):
         assert r["w"] == f"{r['i']}: {v:+.3f}%, x"
     empty = spark.createDataFrame([(None,)], "v double").select(text.fixed(F.col("v"), 2).alias("t")).first()["t"]
     assert empty is None
+
+
+def geo_frame(spark, *rows):
+    return spark.createDataFrame(list(rows), "scene_id long, crs string, left double, bottom double, right double, top double, res_x double, res_y double")
+
+
+def test_projection_of_known_points_and_back(spark):
+    from rasterloom.functions import projection
+
+    # metres of the meridian from the equator to 45 degrees are known to the millimetre; on it the easting is the false one
+    rows = [(3.0, 45.0, "EPSG:32631"), (3.0, 0.0, "EPSG:32631"), (2.2945, 48.8582, "EPSG:32631"), (-70.5, -33.4, "EPSG:32719"), (100.0, 13.75, "EPSG:3857"), (72.6, 23.0, "EPSG:32643"), (1.0, 1.0, "EPSG:2154"), (1.0, 1.0, None)]
+    d = spark.createDataFrame(rows, "lon double, lat double, crs string")
+    there = projection.from_degrees(d, "lon", "lat", F.col("crs"), "x", "y")
+    back = projection.to_degrees(there, "x", "y", F.col("crs"), "lon2", "lat2").collect()
+    assert abs(back[0].x - 500000) < 1e-6 and abs(back[0].y - 0.9996 * 4984944.378) < 1e-3
+    assert abs(back[1].x - 500000) < 1e-6 and abs(back[1].y) < 1e-6
+    assert abs(back[2].x - 448251.8) < 0.1 and abs(back[2].y - 5411932.7) < 0.1
+    assert back[3].y > 6_000_000 and abs(back[4].x - 11131949.08) < 0.01
+    for r in back[:6]:
+        assert abs(r.lon2 - r.lon) < 1e-11 and abs(r.lat2 - r.lat) < 1e-11
+    assert all(r.x is None and r.lon2 is None for r in back[6:])
+
+
+def test_projection_is_conformal(spark):
+    from rasterloom.functions import projection
+
+    h = 1e-4
+    rows = [(lon + dx * h, lat + dy * h, lon, lat, dx, dy) for lon, lat in ((4.5, 10.0), (0.3, 70.0), (6.0, -50.0)) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]
+    d = spark.createDataFrame(rows, "lon double, lat double, a double, b double, dx int, dy int")
+    got = {(r.a, r.b, r.dx, r.dy): np.array([r.x, r.y]) for r in projection.from_degrees(d, "lon", "lat", F.lit("EPSG:32631"), "x", "y").collect()}
+    for a, b in {k[:2] for k in got}:
+        east, north = got[a, b, 1, 0] - got[a, b, -1, 0], got[a, b, 0, 1] - got[a, b, 0, -1]
+        e2, phi = 2 / 298.257223563 - 298.257223563**-2, np.radians(b)
+        # a degree of longitude and of latitude on the ellipsoid keep their ratio and their right angle
+        ratio = (1 - e2) / (1 - e2 * np.sin(phi) ** 2) / np.cos(phi)
+        assert abs(east @ north) / (np.linalg.norm(east) * np.linalg.norm(north)) < 1e-7
+        assert abs(np.linalg.norm(north) / np.linalg.norm(east) - ratio) < 1e-6
+
+
+@pytest.mark.parametrize("block", [64, 3, 1])
+def test_warp_equals_bilinear_of_every_target_pixel(spark, block):
+    from rasterloom.operators import align
+
+    image = np.random.default_rng(5).random((7, 9))
+    source = geo_frame(spark, (0, "EPSG:32643", 500.0, 930.0, 590.0, 1000.0, 10.0, 10.0))
+    target = spark.createDataFrame([(0, "EPSG:32643", 493.0, 1004.0, 4.0, 5.0, 27, 16)], "scene_id long, crs string, left double, top double, res_x double, res_y double, out_w int, out_h int")
+    pixels = frame(spark, image).where("NOT (y = 3 AND x IN (4, 5))")
+    got = {(r.y, r.x): (r.v, r.coverage) for r in align.warp(pixels, source, target, ["v"], block=block).collect()}
+    assert len(got) == 27 * 16
+    for y in range(16):
+        for x in range(27):
+            mx, my = 493 + 4 * (x + 0.5), 1004 - 5 * (y + 0.5)
+            u, v = (mx - 500) / 10 - 0.5, (1000 - my) / 10 - 0.5
+            w = {(j, i): (1 - abs(i - u)) * (1 - abs(j - v)) for j in range(7) for i in range(9) if abs(i - u) < 1 and abs(j - v) < 1 and not (j == 3 and i in (4, 5))}
+            inside = 500 <= mx < 590 and 930 < my <= 1000 and sum(w.values()) > 1e-9
+            want = (sum(image[k] * f for k, f in w.items()) / sum(w.values()), sum(w.values())) if inside else (0.0, 0.0)
+            assert np.allclose(got[y, x], want), (y, x)
+
+
+def test_scenes_in_two_systems_share_the_optical_grid(spark):
+    from rasterloom.functions import projection
+
+    # the radar scene is a plane over longitude and latitude, so its warped values are known wherever the grid lies
+    one = geo_frame(spark, (1, "EPSG:32643", 600000.0, 2199200.0, 600800.0, 2200000.0, 100.0, 100.0), (2, "EPSG:32643", 600000.0, 2199200.0, 600800.0, 2200000.0, 100.0, 100.0), (3, None, 0.0, 0.0, 8.0, 8.0, 1.0, 1.0))
+    two = geo_frame(spark, (1, "EPSG:4326", 75.9, 19.8, 76.0, 19.9, 0.001, 0.001), (2, "EPSG:4326", 10.0, 10.0, 10.1, 10.1, 0.001, 0.001), (3, "EPSG:4326", 75.9, 19.8, 76.0, 19.9, 0.001, 0.001))
+    optical = spark.createDataFrame([(s, y, x, float(10 * y + x)) for s in (1, 2, 3) for y in range(8) for x in range(8)], "scene_id long, y int, x int, b04 double")
+    radar = spark.createDataFrame([(1, y, x, (75.9 + (x + 0.5) * 0.001) * 10 + 19.9 - (y + 0.5) * 0.001) for y in range(100) for x in range(100)], "scene_id long, y int, x int, vv double")
+    rows = fusion.warped(optical, radar, one, two, ["b04"], ["vv"]).collect()
+    assert {r.scene_id for r in rows} == {1} and len(rows) == 64
+    d = spark.createDataFrame([(r.y, r.x, 600000 + 100 * (r.x + 0.5), 2200000 - 100 * (r.y + 0.5)) for r in rows], "y int, x int, e double, n double")
+    where = {(r.y, r.x): (r.lon, r.lat) for r in projection.to_degrees(d, "e", "n", F.lit("EPSG:32643"), "lon", "lat").collect()}
+    for r in rows:
+        lon, lat = where[r.y, r.x]
+        assert r.b04 == 10 * r.y + r.x and abs(r.vv - (10 * lon + lat)) < 1e-9
