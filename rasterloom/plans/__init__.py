@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, pixel, scene, words  # noqa: F401 - importing registers
+from . import cases, files, pixel, scene, words  # noqa: F401 - importing registers
 from .registry import QUERIES, SQL, Query
 
 

@@ -368,3 +368,51 @@ def test_scenes_in_two_systems_share_the_optical_grid(spark):
     for r in rows:
         lon, lat = where[r.y, r.x]
         assert r.b04 == 10 * r.y + r.x and abs(r.vv - (10 * lon + lat)) < 1e-9
+
+
+def test_a_file_of_64_tiles_gives_64_tasks_and_a_window_skips_tiles(spark, tmp_path):
+    bands = (np.random.default_rng(6).random((128, 125, 3)) * 60000).astype(np.uint16)
+    (tmp_path / "a.tif").write_bytes(geotiff.encode(bands, 0.0, 0.0, 10.0, 32642, tile=16, deflate=True))
+    (tmp_path / "b.tif").write_bytes(geotiff.encode(bands[:5, :6].astype(np.float32), 0.0, 0.0, 10.0, 32642))
+    path = str(tmp_path / "a.tif")
+    px = geotiff.load(spark, str(tmp_path), split_bytes=500)
+    assert geotiff.load(spark, path, split_bytes=500).rdd.getNumPartitions() == 64
+    got = np.zeros(bands.shape)
+    for r in px.where(F.col("scene_id") == path).collect():
+        got[r.y, r.x] = (r.v1, r.v2, r.v3)
+        assert (r.h, r.w, r.n_bands, r.v4) == (128, 125, 3, None)
+    assert (got == bands).all()
+    # of the rows from 20 to 40 and the columns from 33 to 47, two rows of tiles and one column of them are read
+    few = geotiff.load(spark, path, split_bytes=500, rows=(20, 40), columns=(33, 47))
+    assert few.rdd.getNumPartitions() == 2
+    assert sorted((r.y, r.x, r.v2) for r in few.collect()) == [(y, x, float(bands[y, x, 1])) for y in range(20, 41) for x in range(33, 48)]
+    assert px.where("y = 3 OR x = 1").count() == 125 + 128 - 1 + 6 + 5 - 1 and px.count() == 128 * 125 + 30
+    assert geotiff.load(spark, path, split_bytes=500, rows=(500, 600)).count() == 0
+
+
+def test_headers_are_read_without_the_samples(tmp_path):
+    bands = np.zeros((400, 500, 4), np.float64)
+    (tmp_path / "a.tif").write_bytes(geotiff.encode(bands, 1.0, 2.0, 0.5, 4326, tile=64))
+    asked = []
+    with geotiff.Opened(str(tmp_path / "a.tif")) as fetch:
+        t = geotiff.Tiff(lambda at, n: asked.append(n) or fetch(at, n))
+        assert t.geo()["crs"] == "EPSG:4326" and t.geo()["bottom"] == 2.0 - 200 and (t.blocks, t.bands) == (56, 4)
+    assert sum(asked) < 3 * geotiff.HEAD < bands.nbytes / 100
+
+
+def test_big_and_planar_tiff(tmp_path):
+    import struct
+
+    image = np.arange(6, dtype=np.uint16).reshape(2, 3)
+    body = image.tobytes() + (image + 100).astype(np.uint16).tobytes()
+    entries = [(256, 3, 1, 3), (257, 3, 1, 2), (258, 3, 2, 16 | 16 << 16), (259, 3, 1, 1), (273, 3, 2, 16 | 28 << 16), (277, 3, 1, 2), (278, 3, 1, 2), (279, 3, 2, 12 | 12 << 16), (284, 3, 1, 2)]
+    data = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16 + len(body)) + body + struct.pack("<Q", len(entries)) + b"".join(struct.pack("<HHQQ", *e) for e in entries) + struct.pack("<Q", 0)
+    t = geotiff.Tiff(data)
+    assert (t.array()[:, :, 0] == image).all() and (t.array()[:, :, 1] == image + 100).all()
+
+
+def test_a_file_that_ends_early_has_no_header(tmp_path, spark):
+    whole = geotiff.encode(np.zeros((9, 9, 1), np.uint8), 1.0, 2.0, 0.5, 4326)
+    (tmp_path / "a.tif").write_bytes(whole[:-30])
+    (tmp_path / "empty.tif").write_bytes(b"")
+    assert [r.crs for r in geotiff.load(spark, str(tmp_path), what="geo").collect()] == [None, None]
