@@ -416,3 +416,43 @@ def test_a_file_that_ends_early_has_no_header(tmp_path, spark):
     (tmp_path / "a.tif").write_bytes(whole[:-30])
     (tmp_path / "empty.tif").write_bytes(b"")
     assert [r.crs for r in geotiff.load(spark, str(tmp_path), what="geo").collect()] == [None, None]
+
+
+def test_pictures_of_many_strips_are_read_by_another_decoder(spark, tmp_path):
+    import base64
+
+    image = (np.random.default_rng(8).integers(0, 256, (50, 9, 3))).astype(np.uint8)
+    rows = [(7, y, x, *(float(c) / 255 + 1e-9 for c in image[y, x])) for y in range(50) for x in range(9) if (y, x) != (20, 3)]
+    df = spark.createDataFrame(rows, "scene_id long, y int, x int, r double, g double, b double")
+    image[20, 3] = 0
+    data = base64.b64decode(png.pictures(df, ["r", "g", "b"], rows=7).first().png)
+    assert data.count(b"IDAT") == 10 and (png.decode(data) == image).all()
+    (tmp_path / "many.png").write_bytes(data)
+    (tmp_path / "one.png").write_bytes(png.encode(image))
+    read = images.rgb(spark, str(tmp_path)).collect()
+    assert len(read) == 2 * 450 and all(np.allclose([r.r * 255, r.g * 255, r.b * 255], image[r.y, r.x]) for r in read)
+
+
+def test_strips_without_pixels_and_scenes_without_names(spark):
+    import base64
+
+    df = spark.createDataFrame([(None, 0, 0, 1.0, 0.5, 0.0), (None, 29, 2, 0.0, 0.0, 1.0), ("a", 0, 0, 1.0, 1.0, 1.0)], "scene_id string, y int, x int, r double, g double, b double")
+    got = {r.scene_id: png.decode(base64.b64decode(r.png)) for r in png.pictures(df, ["r", "g", "b"], rows=8).collect()}
+    assert got[None].shape == (30, 3, 3) and got["a"].shape == (1, 1, 3)
+    assert got[None][0, 0].tolist() == [255, 127, 0] and got[None][29, 2].tolist() == [0, 0, 255] and got[None].sum() == 637
+    assert png.pictures(df.limit(0), ["r", "g", "b"]).count() == 0
+
+
+def test_marks_are_boxes_grounds_and_letters_in_order(spark):
+    import base64
+
+    flat = spark.createDataFrame([(1, y, x, 0.0, 0.0, 0.0) for y in range(40) for x in range(60)], "scene_id long, y int, x int, r double, g double, b double")
+    f = spark.createDataFrame([(1, 1, 2, 5, 20, 10, "Surface Water / Inundation Candidate", 0.579), (1, 2, 4, 30, 6, 5, "Built-up", 1.0)], "scene_id long, feature_id int, bx int, by int, bw int, bh int, category string, agreement double")
+    image = png.decode(base64.b64decode(png.pictures(flat, ["r", "g", "b"], png.feature_boxes(f), rows=16).first().png))
+    wet, other, ground = list(png.WATER_BOX), list(png.OTHER_BOX), list(png.FEATURE_GROUND)
+    # the first box reaches from (5, 2) to (15, 22); its label "F1: Water (57%)" lies over its top
+    assert image[15, 2].tolist() == image[14, 10].tolist() == image[12, 22].tolist() == wet and image[13, 10].tolist() == [0, 0, 0] and image[12, 23].tolist() == [0, 0, 0]
+    assert image[0, 2].tolist() == ground and image[8, 2].tolist() == ground and image[9, 2].tolist() == wet
+    letter = image[1:8, 2 + 1 : 2 + 6]
+    assert ["".join("1" if p.tolist() == wet else "0" for p in row) for row in letter] == png.FONT["F"].split()
+    assert image[30, 4].tolist() == other and image[35, 10].tolist() == other and image[36, 4].tolist() == [0, 0, 0]
