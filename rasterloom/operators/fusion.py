@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour, radar, scores, spectral, text
-from . import align, components, regions, stats, stencil
+from . import align, components, regions, selection, stats, stencil
 
 WATER, STRUCTURE, FLOODED = "Surface Water / Inundation Candidate", "Built-up Infrastructure / Settlement", "Flooded Agricultural Canopy / Wetland"
 C = F.col
@@ -36,9 +36,9 @@ def optical_indices(pixels: DataFrame) -> DataFrame:
     })
 
 
-def scene_scalars(pixels: DataFrame) -> DataFrame:
+def scene_scalars(pixels: DataFrame, large: bool = False) -> DataFrame:
     """All per-scene scalars of both sensors: one aggregation, and one histogram for the radar threshold."""
-    s = stats.profile(pixels, ["ndwi", "vv", "vh", "lum"], (5, 10, 25, 35, 50, 75, 90, 95)).join(stats.radar_threshold(pixels, "vv").withColumnRenamed("threshold", "otsu"), "scene_id")
+    s = stats.profile(pixels, ["ndwi", "vv", "vh", "lum"], (5, 10, 25, 35, 50, 75, 90, 95), large=large).join(stats.radar_threshold(pixels, "vv").withColumnRenamed("threshold", "otsu"), "scene_id")
     more = pixels.groupBy("scene_id").agg(F.avg("b02").alias("b02_mean"), F.avg("b03").alias("b03_mean"), F.avg("b04").alias("b04_mean"), F.avg("b08").alias("b08_mean"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.max(C("b08").isNotNull()).alias("four"), F.max(C("vh").isNotNull()).alias("dual"))
     s = s.join(more, "scene_id").join(stats.pooled_std(pixels, ["b02", "b03", "b04"]), "scene_id")
     return s.withColumns({
@@ -210,7 +210,7 @@ def texts(scenes: DataFrame, query: str) -> DataFrame:
 def analyse(pixels: DataFrame, query: str = "", label=components.grouped) -> DataFrame:
     """One row per scene: metrics, confidence, ranked features and texts."""
     p = components.settled(prepared(pixels))  # three branches read it
-    s = components.settled(scene_scalars(p))
+    s = components.settled(scene_scalars(p, selection.large(p)))
     m = components.settled(masks(p, s))
     found = features(m, s, label)
     item = F.struct("rank", *[c for c in found.columns if c not in ("rank", "scene_id")])

@@ -10,11 +10,19 @@ from ..functions.colour import clip
 PERCENTS = (2, 5, 10, 25, 35, 50, 75, 90, 95, 98)
 
 
-def profile(pixels: DataFrame, bands: list[str], percents: tuple[int, ...] = PERCENTS, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
+def profile(pixels: DataFrame, bands: list[str], percents: tuple[int, ...] = PERCENTS, keys: tuple[str, ...] = ("scene_id",), large: bool = False) -> DataFrame:
     """Per scene and band: {band}_mean, _std (population), _min, _max, _p2 ... with linear interpolation.
 
-    ``percentile`` is exact and keeps counts of distinct values per scene; partial aggregation runs before the shuffle.
+    ``percentile`` is exact and keeps counts of distinct values per scene; partial aggregation runs before the shuffle. For
+    scenes too ``large`` for that, ranks are selected by refinement of buckets, with a state that is independent of their size.
     """
+    if large:
+        from . import selection
+
+        few = [F.avg(b).alias(f"{b}_mean") for b in bands] + [F.stddev_pop(b).alias(f"{b}_std") for b in bands] + [f(b).alias(f"{b}_{n}") for b in bands for f, n in ((F.min, "min"), (F.max, "max"))]
+        one, two = pixels.groupBy("scene_id").agg(*few), selection.percentiles(pixels, bands, percents)
+        both = one.alias("a").join(two.alias("b"), F.expr("a.scene_id <=> b.scene_id"), "left")
+        return both.select("a.scene_id", *[c for b in bands for c in (*[f"{b}_{s}" for s in ("mean", "std", "min", "max")], *[f"{b}_p{p}" for p in percents])])
     shares = F.array(*[F.lit(p / 100.0) for p in percents])
     aggs = []
     for b in bands:

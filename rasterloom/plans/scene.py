@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import radar, spectral
-from ..operators import change, components, fusion, regions, stats
+from ..operators import change, components, fusion, regions, selection, stats
 from ..sources import synth
 from .pixel import COMPONENTS, DB, DELTA, GAUSS, GRAD, INDEX
 from .registry import SCENES, SIX, TILES, r6, register
@@ -31,6 +31,18 @@ def a3_profile(spark, d):
     return s.select("scene_id", r6("v_mean", "mean"), r6("v_std", "std"), r6("v_min", "lo"), r6("v_max", "hi"), *[r6(f"v_p{p}", f"p{p}") for p in stats.PERCENTS])
 
 
+ALL_SCENES = f"{TILES}, p AS (SELECT scene_id, v, v * v * 1e-3 - 0.25 AS w FROM tiles UNION ALL SELECT -1 AS scene_id, o_totalprice / 500000.0 AS v, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice / 1000) * -1.0 END AS w FROM orders)"
+
+
+@register("a3_selection", f"WITH {ALL_SCENES} SELECT scene_id, " + ", ".join(f"round(quantile_cont({b}, {p / 100}::DOUBLE), 6) AS {b}_p{p}" for b in "vw" for p in stats.PERCENTS) + " FROM p GROUP BY 1")
+def a3_selection(spark, d):
+    """Percentiles by refinement: all tiles, and all orders as one scene with a band of few values and of nulls."""
+    o = synth.table(spark, d, "orders").select(F.lit(-1).cast("long").alias("scene_id"), (C("o_totalprice") / 500000.0).alias("v"), F.when(C("o_orderkey") % 5 > 0, F.round(C("o_totalprice") / 1000) * -1.0).alias("w"))
+    t = synth.tiles(spark, d).select("scene_id", "v", (C("v") * C("v") * 1e-3 - 0.25).alias("w"))
+    found = selection.percentiles(t.unionByName(o), ["v", "w"], stats.PERCENTS)
+    return found.select("scene_id", *[r6(f"{b}_p{p}") for b in "vw" for p in stats.PERCENTS])
+
+
 @register("a8_histogram", f"WITH {TILES} SELECT scene_id, least(floor(v / (1.0 / 256)), 255)::INT AS bin, count(*)::BIGINT AS n FROM tiles GROUP BY ALL")
 def a8_histogram(spark, d):
     return stats.histogram(synth.tiles(spark, d), "v", 0.0, 1.0, 256)

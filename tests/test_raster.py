@@ -456,3 +456,34 @@ def test_marks_are_boxes_grounds_and_letters_in_order(spark):
     letter = image[1:8, 2 + 1 : 2 + 6]
     assert ["".join("1" if p.tolist() == wet else "0" for p in row) for row in letter] == png.FONT["F"].split()
     assert image[30, 4].tolist() == other and image[35, 10].tolist() == other and image[36, 4].tolist() == [0, 0, 0]
+
+
+def test_selected_percentiles_equal_percentile(spark):
+    from rasterloom.operators import selection
+
+    g = np.random.default_rng(9)
+    scenes = {
+        0: g.normal(size=700) * 10.0 ** g.integers(-200, 200, 700), 1: np.repeat([-0.0, 0.0, 5.0], 30), 2: np.array([3.5]), 3: np.array([]),
+        None: np.nextafter(1.0, 2.0, dtype=float) + np.arange(40) * 2.0**-52, 5: -np.arange(100.0), 6: np.array([1.0, np.nan, 2.0, np.inf, -np.inf]), 7: g.integers(0, 256, 900) / 255,
+    }
+    rows = [(s, float(v), float(-v) if k % 3 else None) for s, a in scenes.items() for k, v in enumerate(a)] + [(3, None, None), (0, None, 1.0)]
+    g.shuffle(rows := np.array(rows, object))
+    df = spark.createDataFrame([tuple(r) for r in rows], "scene_id long, v double, w double").repartition(3)
+    percents = (0, 2, 5, 10, 25, 35, 50, 75, 90, 95, 98, 100)
+    got = {r[0]: list(r)[1:] for r in selection.percentiles(df, ["v", "w"], percents).collect()}
+    shares = F.array(*[F.lit(p / 100.0) for p in percents])
+    want = {r[0]: [*(r.v or [None] * 12), *(r.w or [None] * 12)] for r in df.groupBy("scene_id").agg(F.percentile("v", shares).alias("v"), F.percentile("w", shares).alias("w")).collect()}
+    assert set(got) == set(want) - {3} and all(np.array_equal(np.array(got[s], float), np.array(want[s], float), equal_nan=True) for s in got)
+    large = {r.scene_id: r for r in stats.profile(df, ["v", "w"], percents, large=True).collect()}
+    assert large[3].v_p50 is None and large[2].v_mean == 3.5 and set(large) == set(want)
+    assert selection.percentiles(df.limit(0), ["v"], percents).count() == 0
+
+
+def test_what_a_turn_keeps_is_independent_of_pixels(spark):
+    from rasterloom.operators import selection
+
+    sizes = []
+    for n in (2_000, 20_000):
+        df = spark.range(n).select(F.lit(1).cast("long").alias("scene_id"), F.rand(3).alias("v"))
+        sizes.append(selection.counted(selection.packed(df, ["v"]), 0).count())
+    assert sizes[1] < 1.5 * sizes[0] < 500
