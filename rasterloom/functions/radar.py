@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text
 from .colour import clip
 
 
@@ -17,16 +18,16 @@ def decibels(raw: Column, despeckled: Column, low: Column, high: Column) -> Colu
 
 
 def water_threshold(median: Column, p35: Column, std: Column, otsu: Column) -> Column:
-    dark = F.round(F.least(F.lit(-16.0), F.greatest(F.lit(-38.0), p35 - 0.2 * std)), 2)
-    return F.when(median <= -22.0, dark).otherwise(F.round(F.least(F.lit(-14.0), F.greatest(F.lit(-26.0), otsu)), 2))
+    dark = text.rounded(F.least(F.lit(-16.0), F.greatest(F.lit(-38.0), p35 - 0.2 * std)), 2)
+    return F.when(median <= -22.0, dark).otherwise(text.rounded(F.least(F.lit(-14.0), F.greatest(F.lit(-26.0), otsu)), 2))
 
 
 def cross_threshold(p35: Column, std: Column) -> Column:
-    return F.round(F.least(F.lit(-20.0), F.greatest(F.lit(-45.0), p35 - 0.2 * std)), 2)
+    return text.rounded(F.least(F.lit(-20.0), F.greatest(F.lit(-45.0), p35 - 0.2 * std)), 2)
 
 
 def bounce_threshold(median: Column, std: Column) -> Column:
-    return F.round(F.greatest(F.lit(-8.0), median + 1.5 * std), 2)
+    return text.rounded(F.greatest(F.lit(-8.0), median + 1.5 * std), 2)
 
 
 def water_mask(vv: Column, t_vv: Column, vh: Column, t_vh: Column) -> Column:

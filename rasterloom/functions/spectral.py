@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text
 from .colour import clip
 
 EPS = 1e-6
@@ -36,7 +37,7 @@ def vegetation_proxy(b02: Column, b03: Column, b04: Column) -> Column:
 
 
 def water_threshold(median_ndwi: Column) -> Column:
-    return F.round(clip(median_ndwi + 0.05, 0.05, 0.30), 3)
+    return text.rounded(clip(median_ndwi + 0.05, 0.05, 0.30), 3)
 
 
 def water_mask(index: Column, threshold: Column, b03: Column, b04: Column, b08: Column) -> Column:

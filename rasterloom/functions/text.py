@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keyword lists, in order of precedence.
@@ -153,3 +153,20 @@ def change_narrative(regions: Column, percent: Column, query: Column) -> Column:
     where = F.array_join(F.array_distinct(F.transform(F.slice(regions, 1, 3), lambda r: r["location"])), ", ")
     band = by_name(magnitude_band(F.try_element_at(regions, F.lit(1))["magnitude"]), BAND_TEXT)
     return F.when(F.size(regions) == 0, NO_CHANGE).otherwise(F.concat_ws(" ", lead, F.concat(F.lit("The most prominent changes are located in the "), where, F.lit(".")), band, by_name(context(query), CONTEXT_TEXT)))
+
+
+def rounded(v: Column, digits: int) -> Column:
+    """A double rounded as ``fixed`` does, so that no tie of its shortest decimal decides. At most 4 digits."""
+    return fixed(v, digits).cast("double")
+
+
+def shortest(v: Column, digits: int) -> Column:
+    """``rounded`` as text without needless zeros, but one; small numbers have no exponent."""
+    return F.regexp_replace(F.regexp_replace(fixed(v, digits), "0+$", ""), r"\.$", ".0")
+
+
+def asked(scenes: DataFrame, query: str | DataFrame) -> tuple[DataFrame, Column]:
+    """Scenes, and the query of each: one text for all, or that of (scene_id, query), empty where there is none."""
+    if isinstance(query, str):
+        return scenes, F.lit(query)
+    return scenes.join(query.select("scene_id", F.col("query").alias("_query")), "scene_id", "left"), F.coalesce("_query", F.lit(""))

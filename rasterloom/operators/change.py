@@ -50,15 +50,18 @@ def find_regions(pixels: DataFrame, scenes: DataFrame, label=components.grouped)
     return regions.change_regions(labels.join(mask.select("scene_id", "y", "x", "magnitude"), ["scene_id", "y", "x"]), scenes.select("scene_id", "h", "w"))
 
 
-def analyse(pairs: DataFrame, query: str = "", detector: str = "lab", label=components.grouped) -> DataFrame:
-    """One row per scene pair: percentage, ranked regions, confidence, evidence, narrative and trace."""
+def analyse(pairs: DataFrame, query: str | DataFrame = "", detector: str = "lab", label=components.grouped) -> DataFrame:
+    """One row per scene pair: percentage, ranked regions, confidence, evidence, narrative and trace.
+
+    ``query``: of all scenes, or (scene_id, query) of each.
+    """
     pixels, scenes = (components.settled(x) for x in DETECTORS[detector](pairs))
     found = find_regions(pixels, scenes, label)
     out = regions.collected(scenes, found, regions.region_struct())
-    percent = F.round(F.col("fraction") * 100.0, 2)
+    percent = text.rounded(F.col("fraction") * 100.0, 2)
     mean = F.aggregate("regions", F.lit(0.0), lambda a, r: a + r["confidence"]) / F.size("regions")
     out = out.withColumn("changed_percent", percent).withColumn("overall_confidence", F.when(F.size("regions") == 0, 0.9).otherwise(text.fixed(mean, 3).cast("double")))
-    q = F.lit(query)
+    out, q = text.asked(out, query)
     trace = F.array(F.lit("inputs validated"), F.concat(F.lit("difference detected: "), F.col("changed_percent").cast("string"), F.lit("%")), F.concat(F.lit("regions: "), F.size("regions").cast("string")), F.lit("rule-based interpretation"))
     summary = F.concat(F.lit("DETECTED CHANGE\n"), F.col("evidence"), F.lit("\n\nAI INTERPRETATION\n"), F.col("narrative"))
     out = out.withColumn("evidence", text.change_evidence(F.col("regions"), F.col("changed_percent"))).withColumn("narrative", text.change_narrative(F.col("regions"), F.col("changed_percent"), q))

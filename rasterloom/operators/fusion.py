@@ -75,7 +75,7 @@ def metrics(m: DataFrame) -> DataFrame:
         stats.share(C("structure"), 2).alias("structure_pct"), stats.share(C("bounce"), 2).alias("bounce_pct"), stats.share(C("veg"), 2).alias("vegetation_pct"), stats.share(a | b, 2).alias("candidate_pct"),
         F.sum((a & b).cast("int")).alias("n_both"), F.sum((a | b).cast("int")).alias("n_either"), F.avg("edges").alias("edge_mean"),
     )
-    return out.withColumns({"agreement_pct": F.round(C("consensus_pct") + C("dry_pct"), 2), "disagreement_pct": F.round(C("optical_only_pct") + C("sar_only_pct"), 2), "iou_pct": scores.overlap(C("n_both"), C("n_either"))})
+    return out.withColumns({"agreement_pct": text.rounded(C("consensus_pct") + C("dry_pct"), 2), "disagreement_pct": text.rounded(C("optical_only_pct") + C("sar_only_pct"), 2), "iou_pct": scores.overlap(C("n_both"), C("n_either"))})
 
 
 def composites(m: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def features(m: DataFrame, s: DataFrame, label=components.grouped, most: int = 1
         return regions.ranked(r, [F.desc(C("bw") * C("bh")), F.asc("feature_id")], most)
     by_optical = F.when(is_(1), text.worded("Mean NDWI %+.3f with NIR absorption", C("ndwi"))).when(is_(2), text.worded("High spatial edge density (%.2f)", C("edges"))).otherwise(text.worded("Active vegetation response (NDVI %.2f)", C("ndvi")))
     by_sar = F.when(is_(1), text.worded("Low radar backscatter %.1f dB (specular reflection)", C("vv"))).when(is_(2), text.worded("Double-bounce backscatter (%.1f dB)", C("vv"))).otherwise(text.worded("Sub-canopy radar attenuation (%.1f dB)", C("vv")))
-    r = r.select("scene_id", "feature_id", "kind", F.when(is_(1), WATER).when(is_(2), STRUCTURE).otherwise(FLOODED).alias("category"), "bx", "by", "bw", "bh", "area", F.round(C("area") * 100.0 / total, 3).alias("area_pct"), text.fusion_location(C("mx") / C("w"), C("my") / C("h")).alias("location"), F.round("optical", 2).alias("optical_score"), F.round("sar", 2).alias("sar_score"), F.round("agreement", 2).alias("agreement_score"), scores.blend(C("optical"), C("sar"), C("agreement")).alias("confidence"), by_optical.alias("optical_characteristics"), by_sar.alias("sar_characteristics"))
+    r = r.select("scene_id", "feature_id", "kind", F.when(is_(1), WATER).when(is_(2), STRUCTURE).otherwise(FLOODED).alias("category"), "bx", "by", "bw", "bh", "area", text.rounded(C("area") * 100.0 / total, 3).alias("area_pct"), text.fusion_location(C("mx") / C("w"), C("my") / C("h")).alias("location"), text.rounded(C("optical"), 2).alias("optical_score"), text.rounded(C("sar"), 2).alias("sar_score"), text.rounded(C("agreement"), 2).alias("agreement_score"), scores.blend(C("optical"), C("sar"), C("agreement")).alias("confidence"), by_optical.alias("optical_characteristics"), by_sar.alias("sar_characteristics"))
     return regions.ranked(r, [F.desc(C("bw") * C("bh")), F.asc("feature_id")], most)
 
 
@@ -164,15 +164,16 @@ def prepared(pixels: DataFrame) -> DataFrame:
     return optical_indices(p)
 
 
-def texts(scenes: DataFrame, query: str) -> DataFrame:
-    """Adds optical_evidence, sar_evidence, interpretation and summary; the theme comes from the query."""
-    t = text.theme(F.lit(query))
+def texts(scenes: DataFrame, query: str | DataFrame) -> DataFrame:
+    """Adds optical_evidence, sar_evidence, interpretation and summary; the theme comes from the query, or that of each scene."""
+    scenes, asked = text.asked(scenes, query)
+    t = text.theme(asked)
     fmt, line = text.worded, lambda *parts: F.concat_ws(" ", *parts)
     feats = C("features")
     of = lambda k: F.filter(feats, lambda f: f["kind"] == k)
     place = lambda k: F.try_element_at(of(k), F.lit(1))["location"]
     any_ = lambda k: F.size(of(k)) > 0
-    nir = F.when(C("four"), F.concat(F.lit(", B08 NIR: "), F.round("b08_mean", 4).cast("string"))).otherwise(F.lit(""))
+    nir = F.when(C("four"), F.concat(F.lit(", B08 NIR: "), text.shortest(C("b08_mean"), 4))).otherwise(F.lit(""))
     bands = F.when(C("four"), F.lit(4)).otherwise(F.lit(3))
     lead = F.concat(fmt("Optical multispectral imagery (%d bands: B02 Blue=%.3f, B03 Green=%.3f, B04 Red=%.3f", bands, C("b02_mean"), C("b03_mean"), C("b04_mean")), nir, fmt(") shows mean NDWI of %+.3f (median: %+.3f, std: %.3f).", C("ndwi_mean"), C("ndwi_p50"), C("ndwi_std")))
     veg = F.when(C("four"), C("vegetation_pct")).otherwise(F.lit(0.0))
@@ -185,8 +186,8 @@ def texts(scenes: DataFrame, query: str) -> DataFrame:
         .otherwise(fmt("Surface classification reveals %.2f%% optical water candidate signature, %.1f%% vegetative canopy, and mean scene luminance of %.1f%%.", C("optical_water_pct"), veg, C("lum_mean") * 100.0))
     )
     pol = F.when(C("dual"), "dual_pol").otherwise("single_pol")
-    cross = F.when(C("dual"), F.concat(F.lit(", VH cross-pol mean: "), F.round("vh_mean", 2).cast("string"), F.lit(" dB (median: "), F.round("vh_p50", 2).cast("string"), F.lit(" dB)"))).otherwise(F.lit(""))
-    radar_lead = F.concat(fmt("Calibrated SAR radar backscatter (%s) records mean VV intensity of %.1f dB [median: ", pol, C("vv_mean")), F.round("vv_p50", 2).cast("string"), F.lit(" dB, p10: "), F.round("vv_p10", 2).cast("string"), F.lit(" dB, p90: "), F.round("vv_p90", 2).cast("string"), fmt(" dB, std: %.1f dB]", C("vv_std")), cross, F.lit("."))
+    cross = F.when(C("dual"), F.concat(F.lit(", VH cross-pol mean: "), text.shortest(C("vh_mean"), 2), F.lit(" dB (median: "), text.shortest(C("vh_p50"), 2), F.lit(" dB)"))).otherwise(F.lit(""))
+    radar_lead = F.concat(fmt("Calibrated SAR radar backscatter (%s) records mean VV intensity of %.1f dB [median: ", pol, C("vv_mean")), text.shortest(C("vv_p50"), 2), F.lit(" dB, p10: "), text.shortest(C("vv_p10"), 2), F.lit(" dB, p90: "), text.shortest(C("vv_p90"), 2), fmt(" dB, std: %.1f dB]", C("vv_std")), cross, F.lit("."))
     sar = (
         F.when(t == "water", fmt("Adaptive low-backscatter thresholding (VV <= %.1f dB) identifies %.2f%% of the radar scene as specular reflection candidates where microwave pulses reflect away from the sensor.", C("t_vv"), C("sar_water_pct")))
         .when(t == "urban", fmt("High-intensity double-bounce returns (VV >= %.1f dB) occupy %.2f%% of the scene, characteristic of dihedral corner reflections between vertical walls/structures and the ground plane.", C("t_db"), C("bounce_pct")))
@@ -207,7 +208,7 @@ def texts(scenes: DataFrame, query: str) -> DataFrame:
     return scenes.withColumns({"theme": t, "optical_evidence": line(lead, optical), "sar_evidence": line(radar_lead, sar), "interpretation": fused, "summary": summary})
 
 
-def analyse(pixels: DataFrame, query: str = "", label=components.grouped) -> DataFrame:
+def analyse(pixels: DataFrame, query: str | DataFrame = "", label=components.grouped) -> DataFrame:
     """One row per scene: metrics, confidence, ranked features and texts."""
     p = components.settled(prepared(pixels))  # three branches read it
     s = components.settled(scene_scalars(p, selection.large(p)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.colour import clip
 
 PERCENTS = (2, 5, 10, 25, 35, 50, 75, 90, 95, 98)
@@ -69,7 +70,8 @@ def radar_threshold(pixels: DataFrame, value: str) -> DataFrame:
 
 
 def share(mask: Column, digits: int, scale: float = 100.0) -> Column:
-    return F.round(F.avg(F.coalesce(mask, F.lit(False)).cast("int")) * scale, digits)
+    part = F.avg(F.coalesce(mask, F.lit(False)).cast("int")) * scale
+    return text.rounded(part, digits) if digits <= 4 else F.round(part, digits)
 
 
 def with_scene(pixels: DataFrame, stats: DataFrame) -> DataFrame:

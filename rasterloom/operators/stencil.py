@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, exp, floor, pi, sin
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .stats import with_scene
 
@@ -111,3 +113,77 @@ def resize(pixels: DataFrame, bands: list[str], height: int, width: int, new_hei
         level = [F.least(F.greatest(F.floor(F.sum(F.col(b) * F.col("_w")) + 0.5), F.lit(0)), F.lit(255)).cast("double").alias(b) for b in bands]
         now = now.join(taps, place).groupBy("scene_id", other, "_to").agg(*level).withColumnRenamed("_to", place)
     return now.select("scene_id", "y", "x", *[(F.col(b) / 255.0).alias(b) for b in bands])
+
+
+#: Lobes of the kernel, bits of the weights.
+LOBES, WEIGHT_BITS = 3, 22
+
+
+@lru_cache(maxsize=256)
+def fixed_taps(source: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, weights) of shape (target, taps): Lanczos weights that sum to about one, in units of 2**-WEIGHT_BITS."""
+    scale = source / target
+    wide = max(scale, 1.0)
+    centre = (np.arange(target) + 0.5) * scale
+    low = np.maximum((centre - LOBES * wide + 0.5).astype(np.int64), 0)
+    high = np.minimum((centre + LOBES * wide + 0.5).astype(np.int64), source)
+    place = low[:, None] + np.arange(int((high - low).max()))
+    u = (place - centre[:, None] + 0.5) / wide
+    raw = np.where((u >= -LOBES) & (u < LOBES) & (place < high[:, None]), np.sinc(u) * np.sinc(u / LOBES), 0.0)
+    share = raw / raw.sum(axis=1, keepdims=True) * (1 << WEIGHT_BITS)
+    return np.minimum(place, source - 1), np.trunc(share + np.where(share < 0, -0.5, 0.5)).astype(np.int64)
+
+
+def resized_lines(pixels: DataFrame, bands: list[str], line: str, place: str, source: str, target: str) -> DataFrame:
+    """One pass over 8-bit levels: each line from ``source`` to ``target`` pixels, which are columns. Lines are whole in a task, scenes aren't."""
+    names = ["scene_id", "h", "w", "out_h", "out_w"]
+    lines = pixels.groupBy(*names, line).agg(F.sort_array(F.collect_list(F.struct(place, *bands))).alias("a"))
+    lines = lines.select(*names, line, F.col(f"a.{place}").alias("_p"), *[F.col(f"a.{b}").alias(b) for b in bands])
+    at, n, m = len(names) + 1, names.index(source), names.index(target)
+    schema = StructType([pixels.schema["scene_id"], *StructType.fromDDL(f"h int, w int, out_h int, out_w int, {line} int, {place} int"), *StructType.fromDDL(", ".join(f"`{b}` int" for b in bands))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, out = [], [], [[] for _ in bands]
+            sizes = list(zip(batch.column(n).to_pylist(), batch.column(m).to_pylist()))
+            for k, (have, want) in enumerate(sizes):
+                own = batch.column(at)[k].values.to_numpy()
+                taps, weights = fixed_taps(have, want) if have != want else (None, None)
+                rows.append(np.full(want, k))
+                places.append(np.arange(want, dtype=np.int32))
+                for b in range(len(bands)):
+                    level = np.zeros(have, np.int64)
+                    level[own] = batch.column(at + 1 + b)[k].values.to_numpy()
+                    if taps is not None:
+                        level = np.clip(((level[taps] * weights).sum(axis=1) + (1 << (WEIGHT_BITS - 1))) >> WEIGHT_BITS, 0, 255)
+                    out[b].append(level.astype(np.int32))
+            if rows:
+                row = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(row) for i in range(at)], pa.array(np.concatenate(places)), *[pa.array(np.concatenate(o)) for o in out]], [f.name for f in schema])
+
+    return lines.mapInArrow(run, schema)
+
+
+def resize_scenes(pixels: DataFrame, bands: list[str], sizes: DataFrame, ranged: bool = True) -> DataFrame:
+    """Lanczos with a size for every scene; (scene_id, y, x, bands).
+
+    ``sizes``: scene_id, h, w, out_h, out_w; scenes without a row are absent. Bands become 8-bit levels, cut off, of their
+    range in the scene (``ranged``), or of 0 to 1; rows are resized, then columns, in whole numbers with fixed-point
+    weights, rounded and clamped after each; levels become values again. Scenes of the size that they should have keep their
+    values. Missing pixels are level 0, missing values too.
+    """
+    size = sizes.select("scene_id", *[F.col(c).cast("int").alias(c) for c in ("h", "w", "out_h", "out_w")])
+    p = with_scene(pixels.select("scene_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(b).cast("double").alias(b) for b in bands]), size)
+    same = (F.col("h") == F.col("out_h")) & (F.col("w") == F.col("out_w"))
+    asis, other = p.where(same).select("scene_id", "y", "x", *bands), p.where(~same)
+    if ranged:
+        ends = other.groupBy("scene_id").agg(*[f(b).alias(f"_{n}_{b}") for b in bands for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    else:
+        ends = size.select("scene_id", *[F.lit(v).alias(f"_{n}_{b}") for b in bands for v, n in ((0.0, "lo"), (1.0, "hi"))])
+    span = lambda b: F.when(F.col(f"_hi_{b}") > F.col(f"_lo_{b}"), F.col(f"_hi_{b}") - F.col(f"_lo_{b}")).otherwise(1.0)
+    level = lambda b: F.coalesce(F.floor(F.least(F.greatest((F.col(b) - F.col(f"_lo_{b}")) / span(b), F.lit(0.0)), F.lit(1.0)) * 255.0), F.lit(0)).cast("int").alias(b)
+    levels = with_scene(other, ends).select("scene_id", "h", "w", "out_h", "out_w", "y", "x", *[level(b) for b in bands])
+    once = resized_lines(levels, bands, "y", "x", "w", "out_w")
+    twice = with_scene(resized_lines(once, bands, "x", "y", "h", "out_h"), ends)
+    back = twice.select("scene_id", "y", "x", *[(F.col(b) / 255.0 * span(b) + F.col(f"_lo_{b}")).alias(b) for b in bands])
+    return asis.unionByName(back)

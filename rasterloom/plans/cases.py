@@ -14,7 +14,7 @@ from ..functions import projection, radar, scores, spectral, text
 from ..operators import align, change, fusion, router, stencil
 from ..sources import images, png, synth
 from . import pixel, words
-from .registry import SIX, TILES, r6, register
+from .registry import SIX, TILES, exact, r6, register, shortest
 from .scene import CHANGE, COMPONENTS, _thirds
 from .words import case
 
@@ -26,11 +26,11 @@ LOCATION = "CASE WHEN v = 'central' AND w = 'central' THEN 'center of the scene'
 @register("t3_change_texts", f"""WITH RECURSIVE {CHANGE}, mask AS (SELECT scene_id, y, x, y * 8 + x AS p FROM ch WHERE c),
 {COMPONENTS.split('),', 1)[1].strip()}, lb AS (SELECT scene_id, y, x, dense_rank() OVER (PARTITION BY scene_id ORDER BY root)::BIGINT AS region_id FROM roots JOIN mask USING (scene_id, p)),
 rg AS (SELECT scene_id, region_id, count(*) AS area, avg(x) / 8 AS cx, avg(y) / 8 AS cy, avg(g) AS m FROM lb JOIN ch USING (scene_id, y, x) GROUP BY ALL),
-nm AS (SELECT *, {_thirds('cy', 'upper', 'lower')} AS v, {_thirds('cx', 'left', 'right')} AS w, row_number() OVER (PARTITION BY scene_id ORDER BY area DESC, region_id) AS rank, round(least(1.0, 0.5 + 0.3 * m + 2.0 * area / 64), 3) AS confidence FROM rg),
+nm AS (SELECT *, {_thirds('cy', 'upper', 'lower')} AS v, {_thirds('cx', 'left', 'right')} AS w, row_number() OVER (PARTITION BY scene_id ORDER BY area DESC, region_id) AS rank, {exact('least(1.0::DOUBLE, 0.5 + 0.3 * m + 2.0 * area / 64.0::DOUBLE)', 3)} AS confidence FROM rg),
 lo AS (SELECT *, {LOCATION} AS location FROM nm WHERE rank <= 20),
 ag AS (SELECT scene_id, count(*) AS n, printf('%.3f', sum(confidence ORDER BY rank) / count(*))::DOUBLE AS conf, max(m) FILTER (rank = 1) AS m, max(location) FILTER (rank = 1) AS l1, max(location) FILTER (rank = 2) AS l2, max(location) FILTER (rank = 3) AS l3,
  string_agg(printf('  • Region %d: %s, area %.2f%%, magnitude %.2f, confidence %.0f%%', region_id, location, area / 64.0::DOUBLE * 100, m, confidence * 100), chr(10) ORDER BY rank) FILTER (rank <= 5) AS lines FROM lo GROUP BY 1),
-pc AS (SELECT scene_id, round(avg(c::INT) * 100, 2) AS percent FROM ch GROUP BY 1)
+pc AS (SELECT scene_id, {exact('avg(c::INT) * 100', 2)} AS percent FROM ch GROUP BY 1)
 SELECT scene_id, percent AS changed_percent, coalesce(n, 0)::INT AS n_regions, CASE WHEN n IS NULL THEN 0.9 ELSE conf END::DOUBLE AS overall_confidence,
  CASE WHEN n IS NULL THEN '{text.NO_CHANGE_EVIDENCE}' ELSE printf('Detected %d significant change region(s) covering approximately %.1f%% of the total scene area.', n, percent) || chr(10) || lines END AS evidence,
  CASE WHEN n IS NULL THEN '{text.NO_CHANGE}' ELSE printf('Significant changes were detected between the two temporal observations. %d distinct change region(s) were identified, covering approximately %.1f%% of the scene.', n, percent) || ' The most prominent changes are located in the ' || l1 || CASE WHEN l2 <> l1 THEN ', ' || l2 ELSE '' END || CASE WHEN l3 NOT IN (l1, l2) THEN ', ' || l3 ELSE '' END || '. ' || CASE WHEN m > 0.6 THEN '{text.BAND_TEXT['high']}' WHEN m > 0.3 THEN '{text.BAND_TEXT['moderate']}' ELSE '{text.BAND_TEXT['low']}' END || ' {text.CONTEXT_TEXT['water']}' END AS narrative
@@ -61,12 +61,12 @@ NOTE = "[Note: Since this analysis evaluates single-date acquisitions without a
 @register("f9_fusion_texts", f"""WITH s0 AS (SELECT s_suppkey AS k FROM supplier), s1 AS (SELECT k, k % 3 <> 0 AS four, k % 4 <> 1 AS dual, 45 + k % 52 AS confidence, {SCALARS}, {BITS} FROM s0), s2 AS (SELECT *, {FOUND}, CASE WHEN four THEN vegetation_pct ELSE 0.0::DOUBLE END AS veg, CASE WHEN dual THEN 'dual_pol' ELSE 'single_pol' END AS pol FROM s1),
 s AS (SELECT s2.*, theme FROM s2, (VALUES ('water'), ('urban'), ('vegetation'), ('clouds'), ('general')) t(theme))
 SELECT k, theme,
- printf('Optical multispectral imagery (%d bands: B02 Blue=%.3f, B03 Green=%.3f, B04 Red=%.3f', CASE WHEN four THEN 4 ELSE 3 END, b02_mean, b03_mean, b04_mean) || CASE WHEN four THEN ', B08 NIR: ' || round(b08_mean, 4)::VARCHAR ELSE '' END || printf(') shows mean NDWI of %+.3f (median: %+.3f, std: %.3f). ', ndwi_mean, ndwi_p50, ndwi_std)
+ printf('Optical multispectral imagery (%d bands: B02 Blue=%.3f, B03 Green=%.3f, B04 Red=%.3f', CASE WHEN four THEN 4 ELSE 3 END, b02_mean, b03_mean, b04_mean) || CASE WHEN four THEN ', B08 NIR: ' || {shortest('b08_mean', 4)} ELSE '' END || printf(') shows mean NDWI of %+.3f (median: %+.3f, std: %.3f). ', ndwi_mean, ndwi_p50, ndwi_std)
  || CASE theme WHEN 'water' THEN printf('Applying NDWI threshold >= %.2f combined with NIR absorption criteria (B08 <= 0.28) isolates %.2f%% of the scene as optical water / inundation candidate pixels. ', t_ndwi, optical_water_pct) || CASE WHEN n1 > 0 THEN printf('Detected %d distinct contiguous candidate water zone(s), prominently in the %s.', n1, p1) ELSE 'No dominant isolated open water clusters detected.' END
   WHEN 'urban' THEN printf('Spatial edge analysis indicates mean gradient of %.2f. ', edge_mean) || CASE WHEN n2 > 0 THEN printf('Detected %d dense structural cluster(s) in the %s.', n2, p2) ELSE 'Terrain exhibits predominantly uniform radiometric texture.' END
   WHEN 'vegetation' THEN printf('Vegetation index response indicates active photosynthetic biomass across approximately %.1f%% of the scene.', veg)
   ELSE printf('Surface classification reveals %.2f%% optical water candidate signature, %.1f%% vegetative canopy, and mean scene luminance of %.1f%%.', optical_water_pct, veg, lum_mean * 100.0) END AS optical_evidence,
- printf('Calibrated SAR radar backscatter (%s) records mean VV intensity of %.1f dB [median: ', pol, vv_mean) || round(vv_p50, 2)::VARCHAR || ' dB, p10: ' || round(vv_p10, 2)::VARCHAR || ' dB, p90: ' || round(vv_p90, 2)::VARCHAR || printf(' dB, std: %.1f dB]', vv_std) || CASE WHEN dual THEN ', VH cross-pol mean: ' || round(vh_mean, 2)::VARCHAR || ' dB (median: ' || round(vh_p50, 2)::VARCHAR || ' dB)' ELSE '' END || '. '
+ printf('Calibrated SAR radar backscatter (%s) records mean VV intensity of %.1f dB [median: ', pol, vv_mean) || {shortest('vv_p50', 2)} || ' dB, p10: ' || {shortest('vv_p10', 2)} || ' dB, p90: ' || {shortest('vv_p90', 2)} || printf(' dB, std: %.1f dB]', vv_std) || CASE WHEN dual THEN ', VH cross-pol mean: ' || {shortest('vh_mean', 2)} || ' dB (median: ' || {shortest('vh_p50', 2)} || ' dB)' ELSE '' END || '. '
  || CASE theme WHEN 'water' THEN printf('Adaptive low-backscatter thresholding (VV <= %.1f dB) identifies %.2f%% of the radar scene as specular reflection candidates where microwave pulses reflect away from the sensor.', t_vv, sar_water_pct)
   WHEN 'urban' THEN printf('High-intensity double-bounce returns (VV >= %.1f dB) occupy %.2f%% of the scene, characteristic of dihedral corner reflections between vertical walls/structures and the ground plane.', t_db, bounce_pct)
   WHEN 'vegetation' THEN CASE WHEN dual THEN 'Cross-polarization volume scattering indicates canopy interaction across vegetated ground.' ELSE printf('Moderate VV backscatter (%.1f dB) corresponds to surface roughness across agricultural terrain.', vv_mean) END
@@ -157,6 +157,25 @@ def s4_resize_levels(spark, d):
     return s.select("scene_id", C("y").cast("int").alias("y"), C("x").cast("int").alias("x"), F.round(C("v") * 255.0).cast("int").alias("level"))
 
 
+def _fixed_pass(source: str, place: str, other: str, n: str, m: str) -> str:
+    return f"SELECT scene_id, oh, ow, lo, hi, {other}, t AS {place}, least(greatest((sum(v * w) + 2097152) >> 22, 0), 255) AS v FROM {source} JOIN taps ON taps.n = {n} AND taps.m = {m} AND f = {place} GROUP BY ALL"
+
+
+@register("s4_resize_scenes", f"""WITH {TILES}, z AS (SELECT scene_id, y, x, v, CASE scene_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 2 THEN 11 ELSE 8 END AS oh, CASE scene_id % 4 WHEN 0 THEN 6 WHEN 1 THEN 8 WHEN 2 THEN 3 ELSE 13 END AS ow, min(v) OVER (PARTITION BY scene_id) AS lo, max(v) OVER (PARTITION BY scene_id) AS hi FROM tiles),
+sizes AS (SELECT 8 AS n, m FROM (VALUES (3), (5), (6), (8), (11), (13)) s(m)), u AS (SELECT n, m, t, f, greatest(n::DOUBLE / m, 1) AS wide, (t + 0.5::DOUBLE) * n / m AS c FROM sizes, range(13) a(t), range(8) b(f) WHERE t < m AND f < n),
+k AS (SELECT *, (f - c + 0.5) / wide AS d FROM u WHERE f >= greatest(trunc(c - 3 * wide + 0.5), 0) AND f < least(trunc(c + 3 * wide + 0.5), n)), l AS (SELECT *, CASE WHEN d = 0 THEN 1.0::DOUBLE WHEN abs(d) < 3 THEN 3 * sin(pi() * d) * sin(pi() * d / 3) / (pi() * pi() * d * d) ELSE 0 END AS r FROM k),
+taps AS (SELECT n, m, t, f, CASE WHEN n = m THEN 4194304 * (t = f)::INT ELSE trunc(s + CASE WHEN s < 0 THEN -0.5 ELSE 0.5 END) END::BIGINT AS w FROM (SELECT *, r / sum(r) OVER (PARTITION BY n, m, t) * 4194304 AS s FROM l)),
+q AS (SELECT scene_id, y, x, oh, ow, lo, hi, floor((v - lo) / (hi - lo) * 255)::BIGINT AS v FROM z WHERE scene_id % 4 <> 1), one AS ({_fixed_pass('q', 'x', 'y', '8', 'ow')}), two AS ({_fixed_pass('one', 'y', 'x', '8', 'oh')})
+SELECT scene_id, y::INT AS y, x::INT AS x, round(v / 255.0::DOUBLE * (hi - lo) + lo, 6) AS v FROM two UNION ALL SELECT scene_id, y, x, round(v, 6) FROM z WHERE scene_id % 4 = 1""")
+def s4_resize_scenes(spark, d):
+    """Tiles of four target sizes in one DataFrame: smaller, as they are, taller and narrower, wider."""
+    t = synth.tiles(spark, d)
+    k = C("scene_id") % 4
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k + 1).cast("int"))
+    sizes = t.select("scene_id").distinct().select("scene_id", F.lit(8).alias("h"), F.lit(8).alias("w"), pick(5, 8, 11, 8).alias("out_h"), pick(6, 8, 3, 13).alias("out_w"))
+    return stencil.resize_scenes(t, ["v"], sizes).select("scene_id", "y", "x", r6("v"))
+
+
 @register("g7_matched", "SELECT s_suppkey AS scene_id, least(100 + s_suppkey % 37, 90 + s_suppkey % 53)::BIGINT AS out_h, least(200 - s_suppkey % 41, 180 + s_suppkey % 29)::BIGINT AS out_w FROM supplier")
 def g7_matched(spark, d):
     k = C("s_suppkey")
@@ -231,27 +250,54 @@ def j1_joined(spark, d):
 
 TYPES = ("image/png", "image/gif", "image/tiff", "image/geotiff")
 _names = lambda names: "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+#: The texts of requests as they are fixed; a stub's answer names no files.
+REQUEST_ERROR = f"""CASE WHEN n < 1 THEN '{router.NO_IMAGE}' WHEN kind NOT IN {text.SERVER_UPLOADS} THEN 'Unsupported format ''' || kind || ''' for f' || (n - 1) || '.' WHEN t IN ('change', 'fusion') AND n < 2 THEN 'Task ''' || t || ''' requires two co-registered images (received ' || n || ').' END"""
+STUBBED = """' > Specialist model ''' || m || ''' not yet integrated -- returning simulated output'"""
 
 
 @register("r1_requests", f"""WITH a AS (SELECT doc_id, doc_id % 3 AS n, list_extract({list(TYPES)}, (doc_id // 3 % 4 + 1)::INT) AS kind, lower(coalesce(text, '')) AS q FROM documents), b AS (SELECT doc_id, n, kind, {case('t', text.INTENTS, 'vqa')} FROM a),
-e AS (SELECT *, {_names(router.TASKS)} AS name, {_names(router.MODELS)} AS m, CASE WHEN n < 1 THEN 'at least one image is required' WHEN kind NOT IN {text.SERVER_UPLOADS} THEN 'unsupported image type: ' || kind WHEN t IN ('change', 'fusion') AND n < 2 THEN 'this task needs two images' END AS error, t = 'change' AND doc_id % 2 = 0 AS done FROM b)
+e AS (SELECT *, {_names(router.TASKS)} AS name, {_names(router.MODELS)} AS m, {REQUEST_ERROR} AS error, t = 'change' AND doc_id % 2 = 0 AS done FROM b)
 SELECT doc_id AS request_id, CASE WHEN error IS NOT NULL THEN 'Validation Error' ELSE name END AS task,
- CASE WHEN error IS NOT NULL THEN '-' WHEN done THEN 'Rule-based pipeline' WHEN t = 'vqa' THEN 'Simulated (no model loaded)' ELSE 'Simulated (' || m || ')' END AS model,
- CASE WHEN error IS NOT NULL THEN error WHEN done THEN 'answer ' || doc_id WHEN t = 'vqa' THEN '{router.VQA_ANSWER}' ELSE 'This is a placeholder response for ''' || name || '''. No ' || m || ' is connected.' END AS answer,
+ CASE WHEN error IS NOT NULL THEN '-' WHEN done THEN 'Change Detection Pipeline (rule-based)' WHEN t = 'vqa' THEN 'Simulated (no model loaded)' ELSE 'Simulated (' || m || ' not yet trained/integrated)' END AS model,
+ CASE WHEN error IS NOT NULL THEN error WHEN done THEN 'answer ' || doc_id WHEN t = 'vqa' THEN '{router.VQA_ANSWER}' ELSE 'This is a placeholder response for ''' || name || '''. Train and wire in the ' || m || '.' END AS answer,
  CASE WHEN error IS NOT NULL THEN 0 WHEN done THEN round_even(doc_id % 101 / 100.0 * 100, 0) WHEN t = 'vqa' THEN 60 ELSE 50 END::INT AS confidence,
- 'Query received > Query classified > ' || CASE WHEN error IS NOT NULL THEN 'Input validation FAILED: ' || error ELSE 'Input validated: ' || n || ' image(s) > Task identified: ' || name || CASE WHEN done THEN ' > compared > told' ELSE '' END END AS trace FROM e""")
+ 'Query received > Query classified > ' || CASE WHEN error IS NOT NULL THEN 'Input validation FAILED: ' || error ELSE 'Input validated: ' || n || ' image(s) > Task identified: ' || CASE WHEN t = 'vqa' THEN 'Single-Image Visual Question Answering > Real VQA model unavailable ({router.NO_MODEL}) -- using simulated fallback' WHEN done THEN name || ' > compared > told' ELSE name || {STUBBED} END END AS trace FROM e""")
 def r1_requests(spark, d):
     """Every document as a request; a third has no image, and even ones have a result of the change analysis."""
     k = C("doc_id")
     docs = synth.table(spark, d, "documents")
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.floor(k / 3) % 4 + 1).cast("int"))
     types = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(kind)).otherwise(F.array(F.lit("image/png"), kind))
-    requests = docs.select(k.alias("request_id"), C("text").alias("query"), (k % 3).cast("int").alias("n_images"), types.alias("content_types"))
+    names = F.array(F.lit("f0"), F.lit("f1"))
+    requests = docs.select(k.alias("request_id"), C("text").alias("query"), (k % 3).cast("int").alias("n_images"), types.alias("content_types"), names.alias("filenames"))
     done = docs.where(k % 2 == 0).select(k.alias("request_id"), F.concat(F.lit("answer "), k.cast("string")).alias("answer"), scores.to_percent(F.lit("change"), k % 101 / 100.0).alias("confidence"), F.array(F.lit("compared"), F.lit("told")).alias("trace"))
     out = router.answered(requests, {"change": done})
     return out.select("request_id", "task", "model", "answer", "confidence", F.array_join("trace", " > ").alias("trace"))
 
 
+ASKED = ("what changed between these two?", "fuse the radar and optical scenes", "describe the scene", "what is here?")
+
+
+@register("r1_isolation", """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS t, s_suppkey % 5 = 0 AS broken, CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 2 END AS n FROM supplier),
+f AS (SELECT *, CASE WHEN t < 2 AND n < 2 THEN 'invalid' WHEN t < 2 AND broken THEN 'failed' WHEN t < 2 THEN 'done' ELSE 'stub' END AS state FROM s)
+SELECT k AS request_id, CASE WHEN state = 'invalid' THEN 'Validation Error' ELSE list_extract(['Bi-Temporal Change Analysis', 'Optical + SAR Fusion', 'Scene Captioning', 'Single-Image VQA'], (t + 1)::INT) END AS task,
+ CASE WHEN state = 'invalid' THEN '-' WHEN state = 'done' THEN CASE t WHEN 0 THEN 'Change Detection Pipeline (rule-based)' ELSE 'Multimodal Fusion Pipeline (rule-based)' END ELSE CASE t WHEN 3 THEN 'Simulated (no model loaded)' WHEN 2 THEN 'Simulated (RS Captioning Model not yet trained/integrated)' WHEN 1 THEN 'Simulated (Optical + SAR Fusion Model not yet trained/integrated)' ELSE 'Simulated (Change Understanding Model not yet trained/integrated)' END END AS model,
+ CASE WHEN state = 'failed' THEN CASE t WHEN 0 THEN 'Change' ELSE 'Fusion' END || ' pipeline error: cannot identify image: the PNG''s samples are broken — falling back to stub' END AS fault, state = 'done' AS answered FROM f""")
+def r1_isolation(spark, d):
+    """A request for every supplier, with pictures of its scene; each fifth request's second picture is cut off, each seventh has one picture."""
+    s = synth.scenes(spark, d).where("y < 24 AND x < 24")
+    k = C("scene_id")
+    shown = [png.pictures(s.select("scene_id", "y", "x", *[C(c).alias(n) for c, n in zip(b, "rgb")]), list("rgb")) for b in (("b04", "b03", "b02"), ("b04m", "b03m", "b02m"))]
+    data = F.unbase64("png")
+    cut = F.when(k % 5 == 0, F.substring(data, 1, 200)).otherwise(data)
+    files = shown[0].select(k.alias("request_id"), F.lit(0).alias("position"), data.alias("content")).unionByName(shown[1].where(k % 7 != 0).select(k.alias("request_id"), F.lit(1).alias("position"), cut.alias("content")))
+    files = files.select("*", F.lit("image/png").alias("content_type"), F.concat(F.lit("f"), C("position").cast("string")).alias("filename"))
+    requests = synth.table(spark, d, "supplier").select(C("s_suppkey").alias("request_id"), F.element_at(F.array(*map(F.lit, ASKED)), (C("s_suppkey") % 4 + 1).cast("int")).alias("query"))
+    out = router.run(requests, files)
+    fault = F.get(F.filter("trace", lambda line: F.contains(line, F.lit("pipeline error"))), F.lit(0))
+    return out.select("request_id", "task", "model", fault.alias("fault"), F.exists("trace", lambda line: F.endswith(line, F.lit("complete"))).alias("answered"))
+
+
 @register("p14_payloads", "SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 OR doc_id % 7 = 0 THEN 400 ELSE 200 END::INT AS status, CASE WHEN coalesce(length(text), 0) = 0 OR doc_id % 7 = 0 THEN 'the image is empty' END AS error FROM documents")
 def p14_payloads(spark, d):
     f = synth.table(spark, d, "documents").select("doc_id", F.when(C("doc_id") % 7 != 0, C("text").cast("binary")).alias("content"))

@@ -47,6 +47,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def exact(e: str, digits: int) -> str:
+    """SQL that rounds a double's exact binary value, ties to even, where ``round`` may see a tie of its shortest decimal."""
+    return f"printf('%.{digits}f', {e})::DOUBLE"
+
+
+def shortest(e: str, digits: int) -> str:
+    """SQL of the same as text without needless zeros."""
+    return rf"regexp_replace(regexp_replace(printf('%.{digits}f', {e}), '0+$', ''), '\.$', '.0')"
+
+
 def r6(c: str | Column, name: str | None = None) -> Column:
     """Doubles leave as six decimals."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import radar, spectral
+from ..functions import radar, spectral, text
 from ..operators import change, components, fusion, regions, selection, stats
 from ..sources import synth
 from .pixel import COMPONENTS, DB, DELTA, GAUSS, GRAD, INDEX
-from .registry import SCENES, SIX, TILES, r6, register
+from .registry import SCENES, SIX, TILES, exact, r6, register
 
 C = F.col
 
 
 @register("entry_water", f"""WITH {TILES}, {SIX}, n AS (SELECT scene_id, v1 AS b03, v2 AS b04, v3 AS b08, (v1 - v3) / (v1 + v3 + 1e-6) AS ndwi, (v3 - v2) / (v3 + v2 + 1e-6) AS ndvi FROM six),
-t AS (SELECT scene_id, round(least(greatest(median(ndwi) + 0.05, 0.05), 0.30), 3) AS t FROM n GROUP BY 1)
+t AS (SELECT scene_id, {exact('least(greatest(median(ndwi) + 0.05, 0.05), 0.30)', 3)} AS t FROM n GROUP BY 1)
 SELECT scene_id, round(any_value(t), 3) AS threshold, round(avg(ndwi), 6) AS ndwi_mean, round(avg(ndvi), 6) AS ndvi_mean, round(avg(CASE WHEN ndwi >= t AND b08 <= 0.28 AND b03 >= 0.7 * b04 THEN 100.0 ELSE 0 END), 6) AS water_pct FROM n JOIN t USING (scene_id) GROUP BY scene_id""")
 def entry_water(spark, d):
     p = synth.six_bands(spark, d).select("scene_id", C("v1").alias("b03"), C("v2").alias("b04"), C("v3").alias("b08"))
@@ -78,7 +78,7 @@ def a11_pooled_std(spark, d):
 
 FUSED = f"""{SCENES}, {DB}, {{h}}, idx AS (SELECT *, {INDEX} FROM db),
 st AS (SELECT scene_id, median(ndwi) AS ndwi_p50, median(vv) AS vv_p50, quantile_cont(vv, 0.35) AS vv_p35, stddev_pop(vv) AS vv_std, quantile_cont(vh, 0.35) AS vh_p35, stddev_pop(vh) AS vh_std, max(vv) - min(vv) AS range_db FROM idx GROUP BY 1),
-th AS (SELECT st.*, round(least(greatest(ndwi_p50 + 0.05, 0.05), 0.30), 3) AS t_ndwi, CASE WHEN vv_p50 <= -22 THEN round(least(-16, greatest(-38, vv_p35 - 0.2 * vv_std)), 2) ELSE round(least(-14, greatest(-26, threshold)), 2) END AS t_vv, round(least(-20, greatest(-45, vh_p35 - 0.2 * vh_std)), 2) AS t_vh, round(greatest(-8, vv_p50 + 1.5 * vv_std), 2) AS t_db FROM st JOIN otsu USING (scene_id)),
+th AS (SELECT st.*, {exact('least(greatest(ndwi_p50 + 0.05, 0.05), 0.30)', 3)} AS t_ndwi, CASE WHEN vv_p50 <= -22 THEN {exact('least(-16, greatest(-38, vv_p35 - 0.2 * vv_std))', 2)} ELSE {exact('least(-14, greatest(-26, threshold))', 2)} END AS t_vv, {exact('least(-20, greatest(-45, vh_p35 - 0.2 * vh_std))', 2)} AS t_vh, {exact('greatest(-8, vv_p50 + 1.5 * vv_std)', 2)} AS t_db FROM st JOIN otsu USING (scene_id)),
 gr AS (SELECT scene_id, y, x, sqrt(dx * dx + dy * dy) AS e FROM ({GRAD.format(v='lum', t='idx')})),
 ge AS (SELECT scene_id, y, x, CASE WHEN max(e) OVER p > 0 THEN e / max(e) OVER p ELSE e END AS edges FROM gr WINDOW p AS (PARTITION BY scene_id)),
 mk AS (SELECT i.*, edges, t_ndwi, t_vv, t_vh, t_db, ndwi >= t_ndwi AND b08 <= 0.28 AND b03 >= 0.7 * b04 AS wo, vv <= t_vv AND vh <= t_vh AS ws, ndvi >= 0.3 AND b08 >= 0.2 AS veg, vv >= t_db AS bounce, edges > 0.2 AND vv >= t_db AS structure FROM idx i JOIN th USING (scene_id) JOIN ge USING (scene_id, y, x))""".replace("{h}", f"h AS ({SAR_HIST.format(v='vv', t='db')}), {_otsu('h', -35.0, 30 / 128, True)}")
@@ -101,8 +101,8 @@ def p9_masks(spark, d):
     return fusion.masks(p, s).select("scene_id", "y", "x", "water_opt", "water_sar", "veg", "bounce", "structure", "consensus", "flooded")
 
 
-PCT = lambda c: f"round(avg(CASE WHEN {c} THEN 1 ELSE 0 END) * 100, 2)"
-METRICS = f"me AS (SELECT scene_id, {PCT('wo')} AS optical_water_pct, {PCT('ws')} AS sar_water_pct, {PCT('wo AND ws')} AS consensus_pct, {PCT('wo AND NOT ws')} AS optical_only_pct, {PCT('ws AND NOT wo')} AS sar_only_pct, {PCT('NOT wo AND NOT ws')} AS dry_pct, {PCT('wo OR ws')} AS candidate_pct, count(*) FILTER (wo AND ws) AS nb, count(*) FILTER (wo OR ws) AS ne FROM mk GROUP BY 1), mt AS (SELECT *, round(consensus_pct + dry_pct, 2) AS agreement_pct, round(optical_only_pct + sar_only_pct, 2) AS disagreement_pct, CASE WHEN ne > 0 THEN round(nb * 100.0 / ne, 2) ELSE 100.0 END AS iou_pct FROM me)"
+PCT = lambda c: exact(f"avg(CASE WHEN {c} THEN 1 ELSE 0 END) * 100", 2)
+METRICS = f"me AS (SELECT scene_id, {PCT('wo')} AS optical_water_pct, {PCT('ws')} AS sar_water_pct, {PCT('wo AND ws')} AS consensus_pct, {PCT('wo AND NOT ws')} AS optical_only_pct, {PCT('ws AND NOT wo')} AS sar_only_pct, {PCT('NOT wo AND NOT ws')} AS dry_pct, {PCT('wo OR ws')} AS candidate_pct, count(*) FILTER (wo AND ws) AS nb, count(*) FILTER (wo OR ws) AS ne FROM mk GROUP BY 1), mt AS (SELECT *, {exact('consensus_pct + dry_pct', 2)} AS agreement_pct, {exact('optical_only_pct + sar_only_pct', 2)} AS disagreement_pct, CASE WHEN ne > 0 THEN {exact('nb * 100.0::DOUBLE / ne', 2)} ELSE 100.0 END AS iou_pct FROM me)"
 METRIC_NAMES = ("optical_water_pct", "sar_water_pct", "consensus_pct", "optical_only_pct", "sar_only_pct", "dry_pct", "candidate_pct", "agreement_pct", "disagreement_pct", "iou_pct")
 
 
@@ -148,10 +148,10 @@ h AS (SELECT scene_id, least(floor(g / (1.0 / 256)), 255)::INT AS bin, count(*)
 ch AS (SELECT scene_id, y, x, g, greatest(threshold, 0.05) AS t, g > greatest(threshold, 0.05) AS c FROM sm JOIN otsu USING (scene_id))"""
 
 
-@register("change_detection", f"WITH {CHANGE} SELECT scene_id, round(any_value(t), 6) AS threshold, count(*) FILTER (c) AS n_changed, round(avg(c::INT) * 100, 2) AS changed_percent FROM ch GROUP BY 1")
+@register("change_detection", f"WITH {CHANGE} SELECT scene_id, round(any_value(t), 6) AS threshold, count(*) FILTER (c) AS n_changed, {exact('avg(c::INT) * 100', 2)} AS changed_percent FROM ch GROUP BY 1")
 def change_detection(spark, d):
     _, s = change.detect(synth.change_pairs(spark, d))
-    return s.select("scene_id", r6("threshold"), C("n_changed").cast("long").alias("n_changed"), F.round(C("fraction") * 100, 2).alias("changed_percent"))
+    return s.select("scene_id", r6("threshold"), C("n_changed").cast("long").alias("n_changed"), text.rounded(C("fraction") * 100, 2).alias("changed_percent"))
 
 
 _thirds = lambda v, a, b: f"(CASE WHEN {v} < 0.33 THEN '{a}' WHEN {v} > 0.66 THEN '{b}' ELSE 'central' END)"
@@ -161,7 +161,7 @@ _thirds = lambda v, a, b: f"(CASE WHEN {v} < 0.33 THEN '{a}' WHEN {v} > 0.66 THE
 {COMPONENTS.split('),', 1)[1].strip()}, lb AS (SELECT scene_id, y, x, dense_rank() OVER (PARTITION BY scene_id ORDER BY root)::BIGINT AS region_id FROM roots JOIN mask USING (scene_id, p)),
 rg AS (SELECT scene_id, region_id, count(*)::BIGINT AS area, min(x)::INT AS bx, min(y)::INT AS by_, (max(x) - min(x) + 1)::INT AS bw, (max(y) - min(y) + 1)::INT AS bh, avg(x) / 8 AS cx, avg(y) / 8 AS cy, avg(g) AS magnitude FROM lb JOIN ch USING (scene_id, y, x) GROUP BY ALL),
 nm AS (SELECT *, {_thirds('cy', 'upper', 'lower')} AS v, {_thirds('cx', 'left', 'right')} AS w, row_number() OVER (PARTITION BY scene_id ORDER BY area DESC, region_id)::INT AS rank FROM rg)
-SELECT scene_id, rank, region_id, area, bx, by_, bw, bh, round(magnitude, 6) AS magnitude, round(least(1.0, 0.5 + 0.3 * magnitude + 2.0 * area / 64), 3) AS confidence,
+SELECT scene_id, rank, region_id, area, bx, by_, bw, bh, round(magnitude, 6) AS magnitude, {exact('least(1.0::DOUBLE, 0.5 + 0.3 * magnitude + 2.0 * area / 64.0::DOUBLE)', 3)} AS confidence,
  CASE WHEN v = 'central' AND w = 'central' THEN 'center of the scene' WHEN v = 'central' THEN w || ' portion of the scene' WHEN w = 'central' THEN v || '-central portion of the scene' ELSE v || '-' || w || ' portion of the scene' END AS location FROM nm WHERE rank <= 20""")
 def change_regions(spark, d):
     p, s = change.detect(synth.change_pairs(spark, d))

@@ -487,3 +487,70 @@ def test_what_a_turn_keeps_is_independent_of_pixels(spark):
         df = spark.range(n).select(F.lit(1).cast("long").alias("scene_id"), F.rand(3).alias("v"))
         sizes.append(selection.counted(selection.packed(df, ["v"]), 0).count())
     assert sizes[1] < 1.5 * sizes[0] < 500
+
+
+def test_one_broken_image_fails_one_request(spark):
+    image = np.random.default_rng(1).integers(0, 256, (12, 10, 3)).astype(np.uint8)
+    other, small = np.roll(image, 5, axis=1), image[:9, :8]
+    whole, broken = png.encode(image), png.encode(image)[:80]
+    q = spark.createDataFrame([(1, "what changed?"), (2, "what changed?"), (3, "fuse radar and optical"), (4, "what changed?"), (5, "what changed?"), (6, "hello"), (7, "compare them")], "request_id long, query string")
+    rows = [(1, 0, whole), (1, 1, png.encode(other)), (2, 0, whole), (2, 1, broken), (3, 0, whole), (3, 1, png.encode(small)), (4, 0, whole), (5, 0, b""), (5, 1, whole), (6, 0, whole), (7, 0, whole), (7, 1, png.encode(small)), (7, 2, broken)]
+    files = spark.createDataFrame([(r, p, f"i{p}.png", "image/png", d) for r, p, d in rows], "request_id long, position int, filename string, content_type string, content binary")
+    got = {r.request_id: r for r in router.run(q, files).collect()}
+    assert len(got) == 7
+    for k in (1, 7):
+        assert got[k].model == "Change Detection Pipeline (rule-based)" and got[k].answer.startswith("DETECTED CHANGE") and got[k].trace[-1] == "Change analysis pipeline complete"
+    assert got[1].trace[:5] == ["Query received", "Query classified", "Input validated: 2 image(s)", "Task identified: Bi-Temporal Change Analysis", "Routing to change analysis pipeline"]
+    assert got[3].model == "Multimodal Fusion Pipeline (rule-based)" and got[3].confidence >= 45 and got[3].trace[-1] == "Fusion pipeline complete"
+    for k, why in ((2, "the PNG's samples are broken"), (5, "the image is empty")):
+        assert got[k].confidence == 50 and got[k].model == "Simulated (Change Understanding Model not yet trained/integrated)"
+        assert got[k].trace[5] == f"Change pipeline error: cannot identify image: {why} — falling back to stub" and got[k].trace[-1].startswith("Specialist model 'Change Understanding Model'")
+    assert got[4].answer == "Task 'change' requires two co-registered images (received 1)." and got[4].task == "Validation Error"
+    assert got[6].trace[-1] == "Real VQA model unavailable (Model loading disabled) -- using simulated fallback"
+
+
+def test_validation_names_the_first_bad_file(spark):
+    q = spark.createDataFrame([(1, "hello", 2, ["image/png", "text/html"], ["a.png", "b.html"]), (2, "hello", 0, [], [])], "request_id long, query string, n_images int, content_types array<string>, filenames array<string>")
+    got = {r.request_id: r.error for r in router.classified(q).collect()}
+    assert got == {1: "Unsupported format 'text/html' for b.html.", 2: "At least one image is required."}
+
+
+def test_png_of_every_filter_and_kind(spark):
+    import struct
+    import zlib
+
+    g = np.random.default_rng(2)
+    for kind, channels in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        image = g.integers(0, 256, (10, 7, channels)).astype(np.uint8)
+        flat, lines, above = image.reshape(10, -1).astype(int), [], np.zeros(7 * channels, int)
+        for y in range(10):
+            left = np.concatenate([np.zeros(channels, int), flat[y][:-channels]])
+            corner = np.concatenate([np.zeros(channels, int), above[:-channels]])
+            p = left + above - corner
+            near = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+            guess = [0 * left, left, above, (left + above) // 2, near][y % 5]
+            lines.append(bytes([y % 5]) + ((flat[y] - guess) % 256).astype(np.uint8).tobytes())
+            above = flat[y]
+        data = b"\x89PNG\r\n\x1a\n" + png.chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, kind, 0, 0, 0)) + png.chunk(b"IDAT", zlib.compress(b"".join(lines))) + png.chunk(b"IEND", b"")
+        assert (png.read(data) == image[:, :, : 3 if channels > 2 else 1]).all()
+
+
+def test_resize_with_a_size_for_every_scene(spark):
+    image = np.random.default_rng(3).random((8, 8))
+    pixels = frame(spark, image).unionByName(frame(spark, image * 40 - 7, scene=1)).unionByName(frame(spark, np.full((8, 8), 2.5), scene=2))
+    sizes = spark.createDataFrame([(0, 8, 8, 8, 8), (1, 8, 8, 5, 3), (2, 8, 8, 20, 9)], "scene_id long, h int, w int, out_h int, out_w int")
+    got = stencil.resize_scenes(pixels, ["v"], sizes)
+    assert np.array_equal(back(got.where("scene_id = 0"), "v", (8, 8)), image)
+    assert (back(got.where("scene_id = 2"), "v", (20, 9)) == 2.5).all()
+    small = back(got.where("scene_id = 1"), "v", (5, 3))
+    assert small.min() >= image.min() * 40 - 7 - 1e-9 and small.max() <= image.max() * 40 - 7 + 1e-9
+    places, weights = stencil.fixed_taps(8, 5)
+    assert abs(weights.sum(axis=1) - (1 << 22)).max() <= weights.shape[1] and places.max() == 7
+
+
+def test_shares_are_rounded_by_their_exact_value(spark):
+    from rasterloom.functions import text
+
+    values = [65.625, 3.125, 0.375, 2.675, 1.005, 0.0005, 12.0, 0.125, 100.0, 0.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.rounded(F.col("v"), 2).alias("r"), text.shortest(F.col("v"), 4).alias("s")).collect()
+    assert [r.r for r in rows] == [round(r.v, 2) for r in rows] and [r.s for r in rows] == [str(round(r.v, 4)) for r in rows]
