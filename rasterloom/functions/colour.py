@@ -19,16 +19,28 @@ def linear(v: Column) -> Column:
     return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
 
 
+def tristimulus(r: Column, g: Column, b: Column) -> tuple[Column, ...]:
+    """XYZ over the reference white of linear channels."""
+    return tuple(sum((F.lit(k) * c for k, c in zip(row, (r, g, b))), F.lit(0.0)) / white for row, white in zip(TO_XYZ, WHITE))
+
+
 def xyz(r: Column, g: Column, b: Column) -> tuple[Column, ...]:
-    rgb = [linear(c) for c in (r, g, b)]
-    return tuple(sum((F.lit(k) * c for k, c in zip(row, rgb)), F.lit(0.0)) / white for row, white in zip(TO_XYZ, WHITE))
+    return tristimulus(*map(linear, (r, g, b)))
 
 
-def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    fx, fy, fz = (F.when(t > EPSILON, F.cbrt(t)).otherwise((F.lit(KAPPA) * t + 16.0) / 116.0) for t in xyz(r, g, b))
+def lightness(t: Column) -> Column:
+    return F.when(t > EPSILON, F.cbrt(t)).otherwise((F.lit(KAPPA) * t + 16.0) / 116.0)
+
+
+def opponents(fx: Column, fy: Column, fz: Column) -> tuple[Column, Column, Column]:
     return 116.0 * fy - 16.0, 500.0 * (fx - fy), 200.0 * (fy - fz)
 
 
+def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """LAB as one expression; ``change.difference`` binds its steps instead."""
+    return opponents(*map(lightness, xyz(r, g, b)))
+
+
 def distance(one: tuple[Column, ...], two: tuple[Column, ...]) -> Column:
     """Euclidean: Delta E 1976 for LAB triples."""
     return F.sqrt(sum(((a - b) * (a - b) for a, b in zip(one, two)), F.lit(0.0)))

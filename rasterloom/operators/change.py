@@ -18,8 +18,12 @@ def joined(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def difference(pairs: DataFrame) -> DataFrame:
     """(scene_id, y, x, delta, top, m): LAB distance, the scene's largest, and their ratio (0 where nothing differs)."""
-    before, after = (colour.lab(*(F.col(c + k) for c in "rgb")) for k in "01")
-    d = pairs.select("scene_id", "y", "x", colour.distance(before, after).alias("delta"))
+    place = ("scene_id", "y", "x")
+    # each step binds its columns, as one expression for all would repeat its inputs at every level
+    lit = pairs.select(*place, *[colour.linear(F.col(c + k)).alias(c + k) for k in "01" for c in "rgb"])
+    tri = lit.select(*place, *[t.alias(f"_{n}{k}") for k in "01" for n, t in zip("xyz", colour.tristimulus(*(F.col(c + k) for c in "rgb")))])
+    even = tri.select(*place, *[colour.lightness(F.col(f"_{n}{k}")).alias(f"_{n}{k}") for k in "01" for n in "xyz"])
+    d = even.select(*place, colour.distance(*(colour.opponents(*(F.col(f"_{n}{k}") for n in "xyz")) for k in "01")).alias("delta"))
     top = d.groupBy("scene_id").agg(F.max("delta").alias("top"))
     return stats.with_scene(d, top).withColumn("m", F.when(F.col("top") > 0, F.try_divide(F.col("delta"), F.col("top"))).otherwise(F.lit(0.0)))
 
@@ -50,7 +54,7 @@ def find_regions(pixels: DataFrame, scenes: DataFrame, label=components.grouped)
     return regions.change_regions(labels.join(mask.select("scene_id", "y", "x", "magnitude"), ["scene_id", "y", "x"]), scenes.select("scene_id", "h", "w"))
 
 
-def analyse(pairs: DataFrame, query: str | DataFrame = "", detector: str = "lab", label=components.grouped) -> DataFrame:
+def analyse(pairs: DataFrame, query: str | DataFrame = "", detector: str = "lab", label=components.by_size) -> DataFrame:
     """One row per scene pair: percentage, ranked regions, confidence, evidence, narrative and trace.
 
     ``query``: of all scenes, or (scene_id, query) of each.

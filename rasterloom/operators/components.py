@@ -141,26 +141,87 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def distributed(mask: DataFrame) -> DataFrame:
-    """As ``grouped``, for scenes of any size. Blocks of rows are labelled where they are; only their borders are linked."""
-    r = settled(runs(mask))
-    place = F.pmod("y", F.lit(ROWS))
-    up = r.where(place == ROWS - 1).select("scene_id", (F.col("y") + 1).alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("run").alias("b"))
-    links = r.where(place == 0).join(up, ["scene_id", "y"]).where("lo <= hi2 AND lo2 <= hi").select("scene_id", F.col("run").alias("a"), "b")
-    edges, mark = settled(links.where("a > b").distinct()), None
+def met(a: DataFrame, b: DataFrame, *on: str, how: str = "inner") -> DataFrame:
+    """Join on the scene, of which a missing one is one too, and on columns."""
+    other = b.select(*[F.col(c).alias("_r_" + c) if c in ("scene_id", *on) else F.col(c) for c in b.columns])
+    same = F.col("scene_id").eqNullSafe(F.col("_r_scene_id"))
+    for c in on:
+        same = same & (F.col(c) == F.col("_r_" + c))
+    return a.join(other, same, how).drop("_r_scene_id", *["_r_" + c for c in on])
+
+
+#: Links that one task contracts; more are contracted by joins.
+LINKS = 1 << 20
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(scene_id, run, root) of few links (scene_id, a, b), by union-find in one task."""
+    schema = StructType([edges.schema["scene_id"], *StructType.fromDDL("run long, root long")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if not some:
+            return
+        table = pa.Table.from_batches(some)
+        ids = table.column(0).combine_chunks()
+        scene = ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        parent: dict[tuple[int, int], tuple[int, int]] = {}
+        first: dict[int, int] = {}
+
+        def root(k: tuple[int, int]) -> tuple[int, int]:
+            while (up := parent.setdefault(k, k)) != k:
+                parent[k] = k = parent[up]
+            return k
+
+        for row, (s, a, b) in enumerate(zip(scene.tolist(), table.column(1).to_pylist(), table.column(2).to_pylist())):
+            first.setdefault(s, row)
+            x, y = root((s, a)), root((s, b))
+            parent[max(x, y)] = min(x, y)
+        keys = sorted(parent)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array([first[s] for s, _ in keys])), pa.array([r for _, r in keys], pa.int64()), pa.array([root(k)[1] for k in keys], pa.int64())], ["scene_id", "run", "root"])
+
+    return edges.select("scene_id", "a", "b").coalesce(1).mapInArrow(run, schema)
+
+
+def contracted_by_joins(edges: DataFrame) -> DataFrame:
+    """The same for any number of links: smallest neighbours are taken over until nothing changes, each turn checkpointed."""
+    mark = None
     while True:
         both = edges.unionByName(edges.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("scene_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, ["scene_id", "a"]).select("scene_id", F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = met(both.where("b > a"), low, "a").select("scene_id", F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         low = large.groupBy("scene_id", "a").agg(F.min("b").alias("m"))
         pairs = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        edges = settled(large.join(low, ["scene_id", "a"]).select("scene_id", pairs.alias("e")).select("scene_id", "e.a", "e.b").where("a > b").distinct())
+        edges = settled(met(large, low, "a").select("scene_id", pairs.alias("e")).select("scene_id", "e.a", "e.b").where("a > b").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("scene_id", "a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
-    root = edges.groupBy("scene_id", F.col("a").alias("run")).agg(F.min("b").alias("root"))
-    named = r.join(root, ["scene_id", "run"], "left").withColumn("root", F.coalesce("root", "run"))
+    return edges.groupBy("scene_id", F.col("a").alias("run")).agg(F.min("b").alias("root"))
+
+
+def distributed(mask: DataFrame, few: int | None = None) -> DataFrame:
+    """As ``grouped``, for scenes of any size. Blocks of rows are labelled where they are; only their borders are linked.
+
+    ``few``: links that one task may contract, LINKS if not given.
+    """
+    r = settled(runs(mask))
+    place = F.pmod("y", F.lit(ROWS))
+    up = r.where(place == ROWS - 1).select("scene_id", (F.col("y") + 1).alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("run").alias("b"))
+    links = met(r.where(place == 0), up, "y").where("lo <= hi2 AND lo2 <= hi").select("scene_id", F.col("run").alias("a"), "b")
+    edges = settled(links.where("a > b").distinct())
+    root = contracted(edges) if edges.count() <= (LINKS if few is None else few) else contracted_by_joins(edges)
+    named = met(r, root, "run", how="left").withColumn("root", F.coalesce("root", "run"))
     heads = named.select("scene_id", "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("scene_id").orderBy("root")).cast("long"))
-    wide = named.join(heads, ["scene_id", "root"])
+    wide = met(named, heads, "root")
     return wide.select("scene_id", "y", F.explode(F.sequence("lo", "hi")).alias("x"), "label")
+
+
+#: Pixels of a scene's mask that one task labels.
+LARGE = 1 << 22
+
+
+def by_size(mask: DataFrame) -> DataFrame:
+    """``grouped`` while every scene's mask fits in a task, else ``distributed``. The mask is counted, so it should be at rest."""
+    most = mask.groupBy("scene_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return grouped(mask) if (most or 0) <= LARGE else distributed(mask)

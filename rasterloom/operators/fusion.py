@@ -208,7 +208,7 @@ def texts(scenes: DataFrame, query: str | DataFrame) -> DataFrame:
     return scenes.withColumns({"theme": t, "optical_evidence": line(lead, optical), "sar_evidence": line(radar_lead, sar), "interpretation": fused, "summary": summary})
 
 
-def analyse(pixels: DataFrame, query: str | DataFrame = "", label=components.grouped) -> DataFrame:
+def analyse(pixels: DataFrame, query: str | DataFrame = "", label=components.by_size) -> DataFrame:
     """One row per scene: metrics, confidence, ranked features and texts."""
     p = components.settled(prepared(pixels))  # three branches read it
     s = components.settled(scene_scalars(p, selection.large(p)))

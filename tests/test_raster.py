@@ -554,3 +554,26 @@ def test_shares_are_rounded_by_their_exact_value(spark):
     values = [65.625, 3.125, 0.375, 2.675, 1.005, 0.0005, 12.0, 0.125, 100.0, 0.0]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.rounded(F.col("v"), 2).alias("r"), text.shortest(F.col("v"), 4).alias("s")).collect()
     assert [r.r for r in rows] == [round(r.v, 2) for r in rows] and [r.s for r in rows] == [str(round(r.v, 4)) for r in rows]
+
+
+@pytest.mark.parametrize("few", [0, None])
+def test_scenes_without_a_name_keep_their_pixels(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "ROWS", 2)
+    masks = {None: np.random.default_rng(5).random((9, 11)) > 0.4, 3: np.random.default_rng(6).random((9, 11)) > 0.4}
+    rows = [(k, int(y), int(x)) for k, m in masks.items() for y, x in zip(*np.nonzero(m))]
+    got = {k: np.zeros((9, 11), int) for k in masks}
+    for r in components.distributed(spark.createDataFrame(rows, "scene_id long, y int, x int"), few=few).collect():
+        got[r.scene_id][r.y, r.x] = r.label
+    assert all((got[k] == flood(m)).all() for k, m in masks.items())
+
+
+def test_the_way_to_label_follows_the_measured_size(spark, monkeypatch):
+    taken = []
+    for name in ("grouped", "distributed"):
+        monkeypatch.setattr(components, name, lambda m, n=name: taken.append(n) or m)
+    mask = spark.range(10).selectExpr("0L AS scene_id", "0 AS y", "CAST(id AS INT) AS x")
+    components.by_size(mask)
+    monkeypatch.setattr(components, "LARGE", 9)
+    components.by_size(mask)
+    components.by_size(mask.limit(0))
+    assert taken == ["grouped", "distributed", "grouped"]
