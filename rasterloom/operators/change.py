@@ -60,7 +60,11 @@ def analyse(pairs: DataFrame, query: str | DataFrame = "", detector: str = "lab"
     ``query``: of all scenes, or (scene_id, query) of each.
     """
     pixels, scenes = (components.settled(x) for x in DETECTORS[detector](pairs))
-    found = find_regions(pixels, scenes, label)
+    return told(scenes, find_regions(pixels, scenes, label), query)
+
+
+def told(scenes: DataFrame, found: DataFrame, query: str | DataFrame = "") -> DataFrame:
+    """The rows of ``analyse`` of what has been detected and found."""
     out = regions.collected(scenes, found, regions.region_struct())
     percent = text.rounded(F.col("fraction") * 100.0, 2)
     mean = F.aggregate("regions", F.lit(0.0), lambda a, r: a + r["confidence"]) / F.size("regions")

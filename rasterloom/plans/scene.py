@@ -202,7 +202,9 @@ def fusion_pipeline(spark, d):
     return out.select("scene_id", "confidence", "agreement_pct", "iou_pct", "features", "theme", "optical_evidence", "sar_evidence", "interpretation", "summary", "simulated")
 
 
-@register("p6_radar_threshold_cases", "SELECT * FROM (VALUES (1, -16.0::DOUBLE), (2, -24.4::DOUBLE), (3, -26.0::DOUBLE), (4, -14.0::DOUBLE)) t(k, t_vv)")
+@register("p6_radar_threshold_cases", f"WITH c AS (SELECT p_partkey AS k, -30.0::DOUBLE + p_partkey % 20 AS m, -26.0::DOUBLE + p_partkey * 7 % 20 AS p, 0.5::DOUBLE + p_partkey % 5 * 0.5::DOUBLE AS s, -34.0::DOUBLE + p_partkey * 3 % 30 AS o FROM part) SELECT k, CASE WHEN m <= -22 THEN {exact('least(-16, greatest(-38, p - 0.2 * s))', 2)} ELSE {exact('least(-14, greatest(-26, o))', 2)} END AS t_vv FROM c")
 def p6_radar_threshold_cases(spark, d):
-    rows = spark.createDataFrame([(1, -22.0, -10.0, 1.0, -20.0), (2, -23.0, -24.0, 2.0, -20.0), (3, -21.0, -24.0, 2.0, -30.0), (4, -10.0, -12.0, 2.0, -9.0)], "k int, m double, p double, s double, o double")
+    """Thresholds of scalars that follow from every part's key, through all bounds."""
+    k = C("p_partkey")
+    rows = synth.table(spark, d, "part").select(k.alias("k"), (-30.0 + k % 20).alias("m"), (-26.0 + k * 7 % 20).alias("p"), (0.5 + k % 5 * 0.5).alias("s"), (-34.0 + k * 3 % 30).alias("o"))
     return rows.select("k", radar.water_threshold(C("m"), C("p"), C("s"), C("o")).alias("t_vv"))

@@ -20,12 +20,18 @@ def case(column: str, rules, otherwise: str) -> str:
 #: Every keyword, and pairs in which precedence decides.
 PHRASES = [f"Please {w} it" for rules in (text.INTENTS, text.THEMES, text.CONTEXTS) for _, ws in rules for w in ws] + ["is it necessary", "compare radar", "where is the flood", "describe sar", "", "what is here", "highlight changes", "urban water", "crop shadow"]
 VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(PHRASES))
-ASKED = f"a AS (SELECT k, q AS query, lower(q) AS q FROM (VALUES {VALUES}) t(k, q))"
+ASKED = f"a AS (SELECT c_custkey AS k, p AS query, lower(p) AS q FROM customer JOIN (VALUES {VALUES}) t(i, p) ON i = c_custkey % {len(PHRASES)})"
+
+
+def asked(spark, d):
+    """(k, query): every customer asks one of the phrases."""
+    k = C("c_custkey")
+    return synth.table(spark, d, "customer").select(k.alias("k"), F.element_at(F.array(*map(F.lit, PHRASES)), (k % len(PHRASES) + 1).cast("int")).alias("query"))
 
 
 @register("f1_classifiers", f"WITH {ASKED} SELECT k, query, {case('intent', text.INTENTS, 'vqa')}, {case('client_intent', text.CLIENT_INTENTS, 'vqa')}, {case('theme', text.THEMES, 'general')}, {case('context', text.CONTEXTS, 'none')} FROM a")
 def f1_classifiers(spark, d):
-    q = spark.createDataFrame(list(enumerate(PHRASES)), "k int, query string")
+    q = asked(spark, d)
     return q.select("k", "query", text.intent(C("query")).alias("intent"), text.client_intent(C("query")).alias("client_intent"), text.theme(C("query")).alias("theme"), text.context(C("query")).alias("context"))
 
 
@@ -95,9 +101,16 @@ def f14_formats(spark, d):
 PLACES = ["Delhi", " new delhi ", "12.5, -70.25", "95, 10", "10 20", "atlantis", "GOA", "12.5,"]
 
 
-@register("j9_locate", "SELECT * FROM (VALUES ('Delhi', 28.6139::DOUBLE, 77.209::DOUBLE, 'city'), (' new delhi ', 28.6139::DOUBLE, 77.209::DOUBLE, 'city'), ('12.5, -70.25', 12.5::DOUBLE, -70.25::DOUBLE, 'pair'), ('95, 10', NULL, NULL, 'out of range'), ('10 20', 10::DOUBLE, 20::DOUBLE, 'pair'), ('atlantis', NULL, NULL, 'unknown'), ('GOA', 15.2993::DOUBLE, 74.124::DOUBLE, 'city'), ('12.5,', NULL, NULL, 'unknown')) t(q, lat, lon, how)")
+@register("j9_locate", """WITH p AS (SELECT c_custkey AS k, c_custkey % 12 AS i, c_custkey * 7 % 200 - 100 AS a, c_custkey * 13 % 400 - 200 AS b FROM customer),
+v AS (SELECT * FROM (VALUES (0, 'Delhi', 28.6139::DOUBLE, 77.209::DOUBLE, 'city'), (1, ' new delhi ', 28.6139::DOUBLE, 77.209::DOUBLE, 'city'), (2, '12.5, -70.25', 12.5::DOUBLE, -70.25::DOUBLE, 'pair'), (3, '95, 10', NULL, NULL, 'out of range'), (4, '10 20', 10::DOUBLE, 20::DOUBLE, 'pair'), (5, 'atlantis', NULL, NULL, 'unknown'), (6, 'GOA', 15.2993::DOUBLE, 74.124::DOUBLE, 'city'), (7, '12.5,', NULL, NULL, 'unknown')) t(i, q, lat, lon, how))
+SELECT k, coalesce(v.q, a || ', ' || b) AS q, CASE WHEN v.q IS NOT NULL THEN lat WHEN abs(a) <= 90 AND abs(b) <= 180 THEN a::DOUBLE END AS lat, CASE WHEN v.q IS NOT NULL THEN lon WHEN abs(a) <= 90 AND abs(b) <= 180 THEN b::DOUBLE END AS lon,
+ CASE WHEN v.q IS NOT NULL THEN how WHEN abs(a) <= 90 AND abs(b) <= 180 THEN 'pair' ELSE 'out of range' END AS how FROM p LEFT JOIN v USING (i)""")
 def j9_locate(spark, d):
-    return geo.locate(spark.createDataFrame([(p,) for p in PLACES], "q string"))
+    """Every customer looks for one of the places, or for a pair of numbers of its own."""
+    k = C("c_custkey")
+    own = F.concat((k * 7 % 200 - 100).cast("string"), F.lit(", "), (k * 13 % 400 - 200).cast("string"))
+    place = F.when(k % 12 < len(PLACES), F.get(F.array(*map(F.lit, PLACES)), (k % 12).cast("int"))).otherwise(own)
+    return geo.locate(synth.table(spark, d, "customer").select(k.alias("k"), place.alias("q")))
 
 
 @register("k1_scores", "WITH s AS (SELECT p_partkey AS k, p_size / 50.0 AS m, (p_partkey % 97) / 97.0 AS a FROM part) SELECT k, round(least(1.0, 0.5 + 0.3 * m + 2 * a), 6) AS change, round(least(greatest((m - 0.05 + 0.2) / 0.6, 0.0), 1.0), 6) AS water_o, round(least(greatest((-14 - (a * -30) + 5) / 15, 0.0), 1.0), 6) AS water_r, round(least(1.0, m / 0.5), 6) AS struct_o, round(least(greatest((a * -30 + 8 + 5) / 10, 0.0), 1.0), 6) AS struct_r, round(least(1.0, m / 0.6), 6) AS flood_o, round(least(greatest((-14 - (a * -30) + 3) / 10, 0.0), 1.0), 6) AS flood_r FROM s")
@@ -157,9 +170,14 @@ def src6_event_json(spark, d):
     return e.select("event_id", F.from_json("props", "map<string,string>", {"mode": "PERMISSIVE"}).isNotNull().alias("ok"), "event_type")
 
 
-@register("src9_random", "SELECT 1 AS seed, 0 AS i, 0.627074::DOUBLE AS value")
+_times = lambda a, b: f"((({a})::HUGEINT * ({b})::HUGEINT) % 4294967296)::BIGINT"
+
+
+@register("src9_random", f"WITH a AS (SELECT c_custkey AS seed, (c_custkey + 1831565813) % 4294967296 AS a FROM customer), b AS (SELECT seed, {_times('xor(a, a >> 15)', 'a | 1')} AS t FROM a), c AS (SELECT seed, xor((t + {_times('xor(t, t >> 7)', 't | 61')}) % 4294967296, t) AS t FROM b) SELECT seed::INT AS seed, 0::INT AS i, round(xor(t, t >> 14) / 4294967296.0::DOUBLE, 6) AS value FROM c")
 def src9_random(spark, d):
-    return synth.mulberry(spark.createDataFrame([(1,)], "seed int"), "seed", 1).select(C("seed").cast("int").alias("seed"), "i", r6("value"))
+    """The first number of every customer's generator."""
+    seeds = synth.table(spark, d, "customer").select(C("c_custkey").alias("seed"))
+    return synth.mulberry(seeds, "seed", 1).select(C("seed").cast("int").alias("seed"), "i", r6("value"))
 
 
 @register("src11_uploads", "SELECT doc_id, octet_length(encode(text))::BIGINT AS size FROM documents WHERE doc_id % 5 <> 4 AND length(text) > 0")
@@ -170,10 +188,10 @@ def src11_uploads(spark, d):
     return images.uploads(f).select("doc_id", F.octet_length("content").cast("long").alias("size"))
 
 
-@register("r1_router", f"WITH {ASKED}, c AS (SELECT k, query, k % 3 AS n, {case('t', text.INTENTS, 'vqa')} FROM a) SELECT k AS request_id, CASE WHEN n < 1 OR (t IN ('change', 'fusion') AND n < 2) THEN 'Validation Error' ELSE CASE t WHEN 'vqa' THEN 'Single-Image VQA' WHEN 'grounding' THEN 'Region Grounding' WHEN 'change' THEN 'Bi-Temporal Change Analysis' WHEN 'fusion' THEN 'Optical + SAR Fusion' ELSE 'Scene Captioning' END END AS task, CASE WHEN n < 1 OR (t IN ('change', 'fusion') AND n < 2) THEN 0 WHEN t = 'vqa' THEN 60 ELSE 50 END AS confidence FROM c")
+@register("r1_router", f"WITH {ASKED}, c AS (SELECT k, q, k % 3 AS n, {case('t', text.INTENTS, 'vqa')} FROM a) SELECT k AS request_id, CASE WHEN n < 1 OR (t IN ('change', 'fusion') AND n < 2) THEN 'Validation Error' ELSE CASE t WHEN 'vqa' THEN 'Single-Image VQA' WHEN 'grounding' THEN 'Region Grounding' WHEN 'change' THEN 'Bi-Temporal Change Analysis' WHEN 'fusion' THEN 'Optical + SAR Fusion' ELSE 'Scene Captioning' END END AS task, CASE WHEN n < 1 OR (t IN ('change', 'fusion') AND n < 2) THEN 0 WHEN t = 'vqa' THEN 60 ELSE 50 END AS confidence FROM c")
 def r1_router(spark, d):
-    rows = [(i, p, i % 3, ["image/png"] * (i % 3)) for i, p in enumerate(PHRASES)]
-    q = spark.createDataFrame(rows, "request_id int, query string, n_images int, content_types array<string>")
+    n = (C("k") % 3).cast("int")
+    q = asked(spark, d).select(C("k").alias("request_id"), "query", n.alias("n_images"), F.array_repeat(F.lit("image/png"), n).alias("content_types"))
     return router.answered(q).select("request_id", "task", "confidence")
 
 

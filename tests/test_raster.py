@@ -577,3 +577,44 @@ def test_the_way_to_label_follows_the_measured_size(spark, monkeypatch):
     components.by_size(mask)
     components.by_size(mask.limit(0))
     assert taken == ["grouped", "distributed", "grouped"]
+
+
+def test_a_replayed_batch_adds_nothing_to_the_history(spark, tmp_path):
+    import json
+
+    from rasterloom import streaming
+
+    entries, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    (tmp_path / "in").mkdir()
+
+    def say(name, *rows):
+        (tmp_path / "in" / name).write_text("".join(json.dumps({"query": q}) + "\n" for q in rows))
+        streaming.record_history(spark, entries, "query string", out, log).awaitTermination()
+
+    say("a.json", "one", "two")
+    say("b.json", "three")
+    assert [r.query for r in streaming.history(spark, out).collect()] == ["three", "two", "one"]
+    for f in (tmp_path / "log" / "commits").glob("*1*"):  # as if the driver had been lost before it committed the second batch
+        f.unlink()
+    streaming.record_history(spark, entries, "query string", out, log).awaitTermination()
+    rows = streaming.history(spark, out).collect()
+    assert [r.query for r in rows] == ["three", "two", "one"] and len({(r.batch, r.place) for r in rows}) == 3
+
+
+def test_responses_carry_pictures_regions_and_failures(spark, tmp_path):
+    import base64
+
+    from rasterloom.sources import responses
+
+    failed = spark.createDataFrame([(9, "broken")], "scene_id long, error string")
+    made = responses.change_responses(uniform_pair(spark, (50, 100, 50), (150, 60, 40)).unionByName(uniform_pair(spark, (9, 9, 9), (9, 9, 9)).withColumn("scene_id", F.lit(1).cast("long"))), "what changed?", failed)
+    responses.write(made, str(tmp_path / "r"))
+    got = {r.scene_id: r for r in responses.read_changes(spark, str(tmp_path / "r")).collect()}
+    assert (got[9].status, got[9].detail, got[9].changes) == (500, "Change analysis error: broken", None)
+    assert (got[0].status, got[0].changed_area_percentage, got[0].query) == (200, 100.0, "what changed?")
+    (region,) = got[0].changes
+    assert (region.region_id, region.bbox.asDict(), region.area_pixels, region.area_fraction) == (1, {"x": 0, "y": 0, "width": 20, "height": 20}, 400, 1.0)
+    pictures = {n: png.decode(base64.b64decode(got[0][n])) for n in ("before_image", "after_image", "change_map", "change_overlay")}
+    assert pictures["before_image"][7, 7].tolist() == [50, 100, 50] and all(p.shape == (20, 20, 3) for p in pictures.values())
+    assert pictures["change_overlay"][0, 19].tolist() == list(png.CHANGE_BOX) or pictures["change_overlay"][10, 0].tolist() == list(png.CHANGE_BOX)
+    assert got[1].changes == [] and png.decode(base64.b64decode(got[1].change_map)).sum() == 0
