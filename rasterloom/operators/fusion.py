@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour, radar, scores, spectral, text
+from ..sources import images
 from . import align, components, regions, selection, stats, stencil
 
 WATER, STRUCTURE, FLOODED = "Surface Water / Inundation Candidate", "Built-up Infrastructure / Settlement", "Flooded Agricultural Canopy / Wetland"
@@ -151,6 +152,18 @@ def warped(optical: DataFrame, radar: DataFrame, optical_geo: DataFrame, radar_g
     return one.join(two, ["scene_id", "y", "x"])
 
 
+def from_files(optical: DataFrame, radar: DataFrame, optical_geo: DataFrame, radar_geo: DataFrame) -> DataFrame:
+    """What ``analyse`` reads, from pixels and headers of files: bands mapped, and both rasters on their common grid.
+
+    Pixels: scene_id, n_bands, y, x, v1..v4, as the sources give them, and headers, with scenes named alike in both.
+    """
+    b02, b03, b04, b08 = images.mapped_bands(C("n_bands"), C("v1"), C("v2"), C("v3"), C("v4"))
+    vv, vh = images.radar_bands(C("n_bands"), C("v1"), C("v2"))
+    one = optical.select("scene_id", "y", "x", b02.alias("b02"), b03.alias("b03"), b04.alias("b04"), b08.alias("b08"))
+    two = radar.select("scene_id", "y", "x", vv.alias("vv_raw"), vh.alias("vh_raw"))
+    return warped(one, two, optical_geo, radar_geo, ["b02", "b03", "b04", "b08"], ["vv_raw", "vh_raw"])
+
+
 def fused_picture(m: DataFrame, method: str = "composite") -> DataFrame:
     """(scene_id, y, x, r, g, b) of the chosen method: "ihs" is the intensity substitution, any other name the composite."""
     kind = "ihs" if method == "ihs" else "fc"

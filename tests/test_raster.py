@@ -618,3 +618,40 @@ def test_responses_carry_pictures_regions_and_failures(spark, tmp_path):
     assert pictures["before_image"][7, 7].tolist() == [50, 100, 50] and all(p.shape == (20, 20, 3) for p in pictures.values())
     assert pictures["change_overlay"][0, 19].tolist() == list(png.CHANGE_BOX) or pictures["change_overlay"][10, 0].tolist() == list(png.CHANGE_BOX)
     assert got[1].changes == [] and png.decode(base64.b64decode(got[1].change_map)).sum() == 0
+
+
+def sensors(optical_at, radar_at, res, epsg):
+    """An optical file and a radar file of a scene with a lake and a town, in counts and in linear power."""
+    g = np.random.default_rng(42)
+    ranges = [((700, 1100), (1100, 1400), (2200, 3000)), ((900, 1400), (1400, 1800), (2300, 3100)), ((800, 1300), (300, 500), (2500, 3300)), ((2500, 4000), (150, 300), (2000, 2800))]
+    optical = np.zeros((150, 200, 4))
+    for b, (land, water, town) in enumerate(ranges):
+        optical[:, :, b] = g.uniform(*land, (150, 200))
+        optical[50:110, 40:120, b] = g.uniform(*water, (60, 80))
+        optical[20:45, 140:180, b] = g.uniform(*town, (25, 40))
+    radar = np.zeros((140, 180, 2))
+    for b, (land, water, town) in enumerate([((0.02, 0.08), (0.0005, 0.002), (0.6, 1.8)), ((0.003, 0.015), (0.0001, 0.0005), (0.08, 0.25))]):
+        radar[:, :, b] = g.uniform(*land, (140, 180))
+        radar[40:100, 30:110, b] = g.uniform(*water, (60, 80))
+        radar[15:40, 130:170, b] = g.uniform(*town, (25, 40))
+    return geotiff.encode(optical.astype(np.uint16), *optical_at, res, epsg, tile=64, deflate=True), geotiff.encode(radar.astype(np.float32), *radar_at, res, epsg)
+
+
+@pytest.mark.parametrize("places", [((250000.0, 3050000.0), (250100.0, 3049900.0), 10.0, 32642, (140, 180)), ((68.10, 27.60), (68.1010, 27.5990), 0.0001, 4326, (140, 180))])
+def test_files_to_fused_regions(spark, tmp_path, places):
+    *where, size = places
+    heads, pixels = [], []
+    for name, data in zip(("o", "r"), sensors(*where)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1.tif").write_bytes(data)
+        heads.append(geotiff.load(spark, str(tmp_path / name), what="geo").withColumn("scene_id", F.lit(1)))
+        pixels.append(geotiff.load(spark, str(tmp_path / name), split_bytes=20_000).withColumn("scene_id", F.lit(1)))
+    p = components.settled(fusion.from_files(*pixels, *heads))
+    assert tuple(p.agg(F.max("y") + 1, F.max("x") + 1, F.count("*")).first()) == (*size, size[0] * size[1])
+    r = fusion.analyse(p, "is there surface water?").first()
+    kinds = {f.category for f in r.features}
+    assert fusion.WATER in kinds and all(0 <= f.optical_score <= 1 and 0 <= f.sar_score <= 1 and f.area > 0 for f in r.features)
+    lake = next(f for f in r.features if f.category == fusion.WATER)
+    # both sensors see the lake at the same place of the ground, some 60 by 80 pixels from row 40 and column 30 of the common grid
+    assert abs(lake.bx - 30) <= 3 and abs(lake.by - 40) <= 3 and abs(lake.bw - 80) <= 5 and abs(lake.bh - 60) <= 5
+    assert r.iou_pct > 80 and r.agreement_pct > 95 and 45 <= r.confidence <= 96
