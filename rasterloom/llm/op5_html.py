@@ -5,7 +5,8 @@ each path the text length per block, its spread, the punctuation per block and i
 one score, the scores of the block sequence are smoothed by a Gaussian, and a two-class split of the paths' mean smoothed
 scores (largest variance between classes, a path counts once for each block) parts content from the rest. A page whose
 classes lie close to each other, or whose lower class holds most of the text, isn't split. A heading directly before
-content is content. Links count against a block. Elements and classes that never are the article (menus, headers and
+content is content. Links count against a block. Nothing of a marked article goes by its score, and nothing that shares a
+container with selected text. Elements and classes that never are the article (menus, headers and
 footers of the page, sidebars, notices, adverts, forms, comments, hidden parts), and what lies outside a marked article, are
 a prior against blocks that the score has selected.
 
@@ -34,7 +35,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: Elements that never hold the article.
-OUTSIDE = frozenset("nav footer aside form menu dialog button select fieldset head".split()) | RAW
+OUTSIDE = frozenset("nav footer aside menu dialog button select fieldset head".split()) | RAW
+#: Elements that hold blocks of one kind or other together.
+CONTAINERS = frozenset("div section article main".split())
 #: Class or id words that mark what surrounds an article, words that may stand beside them, words of readers' own texts.
 AROUND = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|respond|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice\w*|pager|pagination|popup|promo\w*|related|rail|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widgets?|alert|login|signup|search|skip)", re.I)
 BESIDE = frozenset("area bar block box container inner list section site slot unit wrap wrapper".split())
@@ -97,7 +100,8 @@ def entered(parent: Node, tag: str, attrs: str) -> Node:
     if parent.article:
         words.discard("header")
     node.readers = not words.isdisjoint(READERS)
-    node.wraps = (*parent.wraps, node) if words else parent.wraps
+    # a form around most of the page is a frame of it, and no form
+    node.wraps = (*parent.wraps, node) if words or tag == "form" else parent.wraps
     return node
 
 
@@ -118,7 +122,8 @@ def unwrapped(found: list[Block]) -> None:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     root = Node("", "", False, False)
-    stack, out, held, linked, link = [root], [], [], 0, 0
+    stack, out, held, linked = [root], [], [], 0
+    link = 0  # depth of the open link, which may hold blocks; it ends with the element around it
 
     def flush() -> None:
         nonlocal linked
@@ -145,20 +150,21 @@ def blocks(page: str) -> list[Block]:
             if tag == "br":
                 held.append(" ")
             elif tag == "a":
-                link = 0 if m["end"] else 1
+                link = 0 if m["end"] else len(stack)
             continue
         flush()
-        link = 0
         if m["end"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
                     break
+            link = link if link <= len(stack) else 0
             continue
         if tag in VOID:
             continue
         while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1].tag, ()):
             stack.pop()
+        link = link if link <= len(stack) else 0
         node = entered(stack[-1], tag, m["attrs"] or "")
         if not (m["attrs"] or "").endswith("/"):
             stack.append(node)
@@ -228,12 +234,23 @@ def selected(found: list[Block]) -> list[bool]:
     return [v >= limit for v in score]
 
 
+def container(path: str) -> str:
+    """The path down to the nearest element that holds blocks together; empty where the page alone does."""
+    parts = path.split("/")
+    for k in range(len(parts) - 1, 0, -1):
+        if parts[k].partition(".")[0] in CONTAINERS:
+            return "/".join(parts[: k + 1])
+    return ""
+
+
 def judged(page: str | None) -> list[tuple[Block, str]]:
     """Every block of the page with the reason why it goes: "score", "marks" or "links"; "" for content.
 
     The score selects among all blocks of the page first. Marks (elements, classes and roles that surround articles, and
     what lies outside a marked article) are a prior against blocks that it has selected, and give the others, which no
-    mark tells apart, a selection among themselves.
+    mark tells apart, a selection among themselves. Inside a marked article the score has nothing to part: its lists,
+    headings and links belong to it. Elsewhere it decides between containers: what shares one with selected text stays,
+    but for blocks that are links.
     """
     found = blocks(page or "")
     article = any(b.article and not b.outside for b in found)
@@ -245,6 +262,8 @@ def judged(page: str | None) -> list[tuple[Block, str]]:
             reason[i] = "score"
     free = [b.linked < LINK_SHARE * max(len(b.text), 1) for b in plain]
     kept = [chosen and f for chosen, f in zip(selected(plain), free)]
+    holds = {container(b.path) for b, k in zip(plain, kept) if k} - {""}
+    kept = [article or k or (f and container(b.path) in holds) for b, k, f in zip(plain, kept, free)]
     for i in range(len(plain) - 2, -1, -1):
         kept[i] = kept[i] or (free[i] and kept[i + 1] and _HEADING.search(plain[i].path) is not None)
     places = [i for i, m in enumerate(marked) if not m]

@@ -311,6 +311,36 @@ def test_scores_equal_brute_force_and_select_on_supplied_pages(spark, sf):
     assert reasons["score"] > 3 * reasons.get("marks", 0) > 0  # the score alone drops most of what goes
 
 
+RAIN = "It rained all day, and the river rose, slowly at first; by night it had reached the mill. Nobody slept."
+
+
+@pytest.mark.parametrize("extra", [
+    "<ul><li>Milk</li><li>Eggs</li><li>Bread</li></ul>", "<h2>Shopping</h2><ul><li>Milk</li></ul>", "<dl><dt>Age</dt><dd>4</dd></dl>",
+    "<p><a href=x>The whole story, told elsewhere.</a></p>", "<table><tr><td>1</td><td>2</td></tr></table>", "<h2>Last</h2>",
+])
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<div class=post>%s</div>"])
+def test_short_blocks_of_the_article_are_not_lost(extra, wrap):
+    import html
+    import re
+
+    page = f"<html><body><nav><a href=1>Home</a></nav>{wrap % (f'<p>{RAIN * 3}</p>' * 6 + extra)}<footer>&copy; x</footer></body></html>"
+    words = " ".join(html.unescape(re.sub("<[^>]+>", " ", extra)).split())
+    kept = " ".join([RAIN * 3] * 6 + ([words] if wrap.startswith("<article") or "href" not in extra else []))
+    assert op5_html.main_text(page) == kept
+
+
+def test_a_form_around_the_page_is_a_frame_and_a_form_in_it_is_not():
+    body = f"<p>{RAIN * 2}</p>" * 3
+    page = f"<html><body><form id=aspnetForm><div class=z>{body}</div><form class=mail><p>Your name, please.</p></form></form></body></html>"
+    assert op5_html.main_text(page).startswith(RAIN) and op5_html.main_text(f"<body>{body}<form><p>Your name, please.</p></form></body>") == " ".join([RAIN * 2] * 3)
+
+
+def test_links_around_blocks_count_as_links():
+    page = f"<html><body><div class=z>{f'<p>{RAIN * 2}</p>' * 4}</div><div class=t><a href=x><h2>Another story</h2><p>{RAIN}</p></a></div></body></html>"
+    assert op5_html.main_text(page) == " ".join([RAIN * 2] * 4)
+    assert op5_html.main_text(f"<body><div><p><a href=x>never closed<p>{RAIN}<p>{RAIN}</div></body>").endswith(f"{RAIN} {RAIN}")
+
+
 def test_extraction_of_repeated_and_clashing_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a, b.</p>", "x")] * 2 + [(None, None, None, "x"), (2, "u", "", "x"), (3, "u", "<p>" + "long text, " * 40_000, "x")], "page_id long, url string, html string, text string")
     rows = op5_html.extract(df).collect()
