@@ -129,7 +129,7 @@ def run(requests: DataFrame, images: DataFrame, no_model: str = NO_MODEL) -> Dat
     radar = radar.select("scene_id", "y", "x", vv.alias("vv_raw"), vh.alias("vh_raw"))
     optical, radar = resized(optical, radar, ["b02", "b03", "b04", "b08"], ["vv_raw", "vh_raw"], True)
     fused = fusion.analyse(optical.join(radar, ["scene_id", "y", "x"]), questions("fusion"))
-    fused = fused.select(C("scene_id").alias("request_id"), C("summary").alias("answer"), scores.to_percent(F.lit("fusion"), C("confidence")).alias("confidence"), F.array().cast("array<string>").alias("trace"), "simulated")
+    fused = fused.select(C("scene_id").alias("request_id"), C("summary").alias("answer"), scores.to_percent(F.lit("fusion"), C("confidence")).alias("confidence"), "trace", "simulated")
     results = {}
     for task, found in (("change", changed), ("fusion", fused)):
         own = valid.where(C("task") == task).select("request_id").join(found, "request_id", "left").join(broken, "request_id", "left")

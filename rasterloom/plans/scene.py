@@ -8,7 +8,7 @@ from ..functions import radar, spectral, text
 from ..operators import change, components, fusion, regions, selection, stats
 from ..sources import synth
 from .pixel import COMPONENTS, DB, DELTA, GAUSS, GRAD, INDEX
-from .registry import SCENES, SIX, TILES, exact, r6, register
+from .registry import SCENES, SIX, SQL, TILES, exact, r6, register
 
 C = F.col
 
@@ -154,6 +154,13 @@ def change_detection(spark, d):
     return s.select("scene_id", r6("threshold"), C("n_changed").cast("long").alias("n_changed"), text.rounded(C("fraction") * 100, 2).alias("changed_percent"))
 
 
+@register("u1_tile_detector", SQL["change_detection"])
+def u1_tile_detector(spark, d):
+    """The same by the detector that works on tiles with halos; tiles of five pixels cut every scene in four."""
+    _, s = change.detect_tiles(synth.change_pairs(spark, d), 5)
+    return s.select("scene_id", r6("threshold"), C("n_changed").cast("long").alias("n_changed"), text.rounded(C("fraction") * 100, 2).alias("changed_percent"))
+
+
 _thirds = lambda v, a, b: f"(CASE WHEN {v} < 0.33 THEN '{a}' WHEN {v} > 0.66 THEN '{b}' ELSE 'central' END)"
 
 

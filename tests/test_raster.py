@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geo
-from rasterloom.operators import change, components, fusion, router, stats, stencil
+from rasterloom.operators import change, components, fusion, router, stats, stencil, tiles
 from rasterloom.sources import geotiff, images, png, synth
 
 
@@ -655,3 +655,63 @@ def test_files_to_fused_regions(spark, tmp_path, places):
     # both sensors see the lake at the same place of the ground, some 60 by 80 pixels from row 40 and column 30 of the common grid
     assert abs(lake.bx - 30) <= 3 and abs(lake.by - 40) <= 3 and abs(lake.bw - 80) <= 5 and abs(lake.bh - 60) <= 5
     assert r.iou_pct > 80 and r.agreement_pct > 95 and 45 <= r.confidence <= 96
+
+
+@pytest.mark.parametrize("tile", [3, 7, 64])
+def test_blur_over_tiles_is_that_of_the_scene(spark, tile):
+    image = np.random.default_rng(3).uniform(-0.2, 1.2, (19, 23))
+    f = frame(spark, image, "m")
+    whole = np.clip(back(stencil.gaussian(f, "m"), "m", image.shape), 0, 1)
+    assert np.array_equal(back(tiles.mapped(f, ["m"], change.smoothed, "g", change.HALO, tile), "g", image.shape), whole)
+
+
+def test_tiles_of_odd_scenes(spark):
+    """No rows, no name, holes and nulls, bands with names of the operator's own; a function that changes the shape is refused."""
+    rows = [(None, 0, 0, 1.0), (None, 0, 5, None), (7, 4, 4, 2.0)]
+    f = spark.createDataFrame(rows, "scene_id long, y int, x int, `_y` double")
+    seen = {(r.scene_id, r.y, r.x): r.n for r in tiles.mapped(f.withColumnRenamed("_y", "v"), ["v"], lambda t: t["v"] + t["v"].size, "n", 1, 4).collect()}
+    assert seen == {(None, 0, 0): 2.0, (None, 0, 5): 1.0, (7, 4, 4): 3.0}
+    assert tiles.mapped(f.withColumnRenamed("_y", "v").limit(0), ["v"], lambda t: t["v"], "n", 1).count() == 0
+    with pytest.raises(ValueError):
+        tiles.mapped(f, ["_y"], lambda t: t["_y"], "n", 1, 0)
+    with pytest.raises(Exception, match="became one of"):
+        tiles.mapped(f.withColumnRenamed("_y", "v"), ["v"], lambda t: t["v"][:0], "n", 1).collect()
+
+
+def test_a_detector_of_tiles_is_chosen_by_name(spark, sf, monkeypatch):
+    pairs = synth.change_pairs(spark, sf)
+    columns = ("scene_id", "threshold", "changed_percent", "n_regions", "summary", "trace")
+    want, got = ({r.scene_id: r for r in change.analyse(pairs, "", name).select(*columns).collect()} for name in ("lab", "lab_tiles"))
+    assert got == want and any(r.n_regions for r in want.values())
+    red = change.tiled(lambda t: np.abs(t["r1"] - t["r0"]), 0, 3)
+    monkeypatch.setitem(change.DETECTORS, "red", red)
+    one = uniform_pair(spark, (50, 100, 50), (50, 60, 40), 6).unionByName(uniform_pair(spark, (0, 0, 0), (255, 0, 0), 6).withColumn("scene_id", F.lit(1).cast("long")))
+    assert {r.scene_id: r.changed_percent for r in change.analyse(one, "", "red").collect()} == {0: 0.0, 1: 100.0}
+
+
+def test_fusion_responses_carry_pictures_features_and_failures(spark, sf, tmp_path):
+    import base64
+
+    from rasterloom.sources import responses
+
+    p = synth.scenes(spark, sf).where("scene_id <= 2").select("scene_id", "y", "x", "b02", "b03", "b04", "b08", "vv_raw", "vh_raw")
+    failed = spark.createDataFrame([(99, "no radar")], "scene_id long, error string")
+    places = spark.createDataFrame([(1, "geo_referenced", "by zone", "EPSG:32643", "1,2,3,4")], "scene_id long, method string, details string, crs string, bounds string")
+    responses.write(responses.fusion_responses(p, "flooding?", "composite", places, failed), str(tmp_path / "r"))
+    got = {r.scene_id: r for r in responses.read_fusions(spark, str(tmp_path / "r")).collect()}
+    plain = {r.scene_id: r for r in fusion.analyse(p, "flooding?").collect()}
+    assert (got[99].status, got[99].detail, got[99].features) == (500, "Fusion analysis error: no radar", None)
+    assert (got[1].alignment_method, got[1].geo_crs, got[2].alignment_method, got[2].geo_bounds) == ("geo_referenced", "EPSG:32643", "dimension_matched", None)
+    for k in (1, 2):
+        r, a = got[k], plain[k]
+        assert (r.status, r.summary, r.fused_interpretation, r.confidence) == (200, a.summary, a.interpretation, a.confidence)
+        assert [(f.id, f.bbox.x, f.bbox.width, f.category, f.agreement_score, f.confidence) for f in r.features] == [(f.feature_id, f.bx, f.bw, f.category, f.agreement_score, f.confidence) for f in a.features]
+        assert (r.diagnostics.inundation_iou_pct, r.diagnostics.number_of_regions) == (a.iou_pct, len(a.features))
+        shown = {n: png.decode(base64.b64decode(r[n])) for n in ("optical_image", "sar_image", "fusion_visualization", "evidence_map")}
+        assert all(s.shape == (64, 64, 3) for s in shown.values())
+        assert np.array_equal(shown["sar_image"][:, :, 0], shown["sar_image"][:, :, 2]) and shown["optical_image"].std() > 0
+        f = next(f for f in r.features if f.category == fusion.WATER)
+        box = shown["fusion_visualization"][f.bbox.y + f.bbox.height - 1, f.bbox.x + 3]
+        assert box.tolist() == list(png.WATER_BOX)
+        assert r.execution_trace[0].endswith("payloads received") and "Cross-modal fusion execution (method: composite)" in r.execution_trace
+        assert set(a.trace) < set(r.execution_trace) and any(str(a.agreement_pct) + "% physical sensor agreement" in s for s in a.trace)
