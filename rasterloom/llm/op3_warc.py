@@ -1,12 +1,14 @@
 """WARC archives with a Zstandard dictionary, one compressed frame for each record.
 
-A file begins with a skippable frame that holds the (compressed) dictionary, built from records of that file; every
-record follows as a frame of its own, compressed with the dictionary, so any record can be read alone from its offset.
-Payloads that were archived before become revisit records that refer to the first.
+A file begins with a skippable frame that holds the (compressed) dictionary, built from records of that file, or, where
+these are few or small, from a bounded sample of all records; every record follows as a frame of its own, compressed with
+the dictionary, so any record can be read alone from its offset. Payloads that were archived before become revisit records
+that refer to the first.
 
 Edge cases: null and empty payloads are records of length 0; payloads under ``MIN_REVISIT`` bytes are always responses;
-too few or too small records for a dictionary give a file without one; rows of equal id are records of
-their own; a row without an id counts as before all others, and revisits of it refer to null.
+where all records are too few or too small to train on, the dictionary is the beginning of one (raw content);
+an empty table gives no files; payloads of any length are whole records; further columns, whatever their names, are left
+out; rows of equal id are records of their own; a row without an id counts as before all others, and revisits of it refer to null.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 MIN_REVISIT = 100
 #: Bounds of what a dictionary is built from and of its size; bytes of a file before the next begins.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, FILE_BYTES = 400, 4 << 20, 64 << 10, 64 << 20
+#: Bytes of a record that the dictionary of the whole table is built from, and of one that stands for a dictionary.
+SAMPLE_TEXT, BEGINNING = 8 << 10, 400
 LEVEL = 3
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -64,8 +68,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 class WarcWriter:
     """Writes one archive: records are sampled for the dictionary until the bound, then all are written."""
 
-    def __init__(self, out):
-        self.out, self.held, self.room, self.packer, self.size = out, [], 0, None, 0
+    def __init__(self, out, common: bytes = b""):
+        """``common``: the dictionary of a file whose own records make none."""
+        self.out, self.common, self.held, self.room, self.packer, self.size = out, common, [], 0, None, 0
 
     def add(self, data: bytes) -> None:
         if self.packer is None:
@@ -77,10 +82,9 @@ class WarcWriter:
             self._write(self.packer.compress(data))
 
     def _begin(self) -> None:
-        made = dictionary(self.held)
-        if made:
-            packed = zstandard.ZstdCompressor(level=19).compress(made.as_bytes())
-            self._write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
+        made = dictionary(self.held) or zstandard.ZstdCompressionDict(self.common or beginning(self.held))
+        packed = zstandard.ZstdCompressor(level=19).compress(made.as_bytes())
+        self._write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
         self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_checksum=True)
         for data in self.held:
             self._write(self.packer.compress(data))
@@ -106,6 +110,18 @@ def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None
 
 
+def beginning(records: list[bytes]) -> bytes:
+    """Raw content for records that no dictionary can be trained on: the headers of the first, by and large."""
+    return records[0][:BEGINNING]
+
+
+def common_dictionary(rows: DataFrame) -> bytes:
+    """A dictionary of at most SAMPLE_RECORDS records of the table, each by its first SAMPLE_TEXT bytes; empty if they make none."""
+    some = rows.select("page_id", F.substring("url", 1, 1 << 10).alias("url"), F.substring("payload", 1, SAMPLE_TEXT).alias("payload")).limit(SAMPLE_RECORDS).collect()
+    made = dictionary([record(r.page_id, r.url, bytes(r.payload), hashlib.sha256(r.payload).hexdigest(), None) for r in some])
+    return made.as_bytes() if made else b""
+
+
 def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
     """All records of an archive, a frame at a time."""
     buffer, made = source.read(8), None
@@ -140,6 +156,8 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
     marked = marked.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
+    common = common_dictionary(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = out = None
         path = ""
@@ -151,7 +169,7 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
                     fs.create_dir(root, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     path, out = f"{folder}/{name}", fs.open_output_stream(f"{root}/{name}", compression=None)
-                    writer = WarcWriter(out)
+                    writer = WarcWriter(out, common)
                 writer.add(record(i, url, payload, digest, ref))
                 if writer.size >= FILE_BYTES:
                     writer.close()
