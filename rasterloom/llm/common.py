@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_recorders: list[list[str]] = []
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 @contextmanager
 def recorded(paths: list[str]) -> Iterator[None]:
     """Adds to ``paths`` what is put into the shared folder meanwhile, for ``removed`` once nothing reads it any more."""
-    _recorders.append(paths)
+    mark = _recorders.set((*_recorders.get(), paths))
     try:
         yield
     finally:
-        _recorders.pop()
+        _recorders.reset(mark)
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
@@ -53,7 +54,7 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    for paths in _recorders:
+    for paths in _recorders.get():
         paths.append(path)
     return path
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -186,6 +187,29 @@ def test_archive_has_a_dictionary_and_detects_truncation():
         list(op3_warc.read_records(io.BytesIO(data[:-3])))
 
 
+def test_every_archive_has_a_dictionary_however_small_its_partition(spark, tmp_path):
+    def frames(rows, parts, name):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        files = [r.path for r in op3_warc.archive(df, f"file://{tmp_path}/{name}").collect()]
+        assert {r.page_id for r in op3_warc.read_archives(spark.createDataFrame([(f,) for f in files], "path string")).collect()} == {r[0] for r in rows}
+        return [open(f.removeprefix("file://"), "rb").read(4) for f in files]
+
+    mark = op3_warc.DICTIONARY_FRAME.to_bytes(4, "little")
+    pages = [(i, f"http://x/{i}", f"<html><body><p>{'plain words and more ' * 20}{i * 7919}</p></body></html>") for i in range(250)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        many = frames(pages, 64, "many")
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(many) > 8 and set(many) == {mark}
+    assert set(frames([(1, "u", ""), (2, None, None)], 2, "few")) == {mark}  # nothing to train on
+    spread = op3_warc.common_dictionary(spark.createDataFrame(pages, "page_id long, url string, html string").select("page_id", "url", F.col("html").cast("binary").alias("payload")))
+    assert 0 < len(spread) <= op3_warc.DICTIONARY_BYTES
+
+
 # ---- 4 ----
 
 
@@ -702,3 +726,48 @@ def test_pipeline_stages_equal_brute_force_on_odd_rows(spark, tmp_path):
     assert sorted((x.doc_id or -1, x.n_tokens) for x in got) == sorted((i or -1, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_no_link_of_a_query_row_is_lost(spark, width):
+    """Rows whose id is divisible by 50 against all rows: each pair of 80 % and more is in one component; no other row joins theirs."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))
+        sets[r.doc_id] = {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    holders: dict = {}
+    for i, own in sets.items():
+        for g in own:
+            holders.setdefault(g, []).append(i)
+    component = {r.doc_id: r.component_id for r in op7_minhash.near_duplicates(docs, width, 80).collect()}
+    links = 0
+    for i in (i for i in sets if i % 50 == 0):
+        shared: dict = {}
+        for g in sets[i]:
+            for j in holders[g]:
+                shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if j != i and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                links += 1
+                assert component[i] == component[j], (i, j)
+    assert links
+
+
+def test_runs_beside_each_other_keep_their_folders(spark):
+    from contextvars import copy_context
+
+    import corpus_pipeline
+
+    first, second = (corpus_pipeline.staged(lambda spark, docs, sf_dir: cut(docs, "left")) for _ in range(2))
+    docs = docs_of(spark, ["a", "b"])
+    one, two = copy_context(), copy_context()
+    for run in (one, two):
+        run.run(corpus_pipeline._of_run.set, {})
+    held, gone = one.run(first, spark, docs, "d"), two.run(first, spark, docs, "d")
+    assert two.run(second, spark, docs, "d").count() == 2 and held.count() == 2
+    with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist|not exist"):
+        gone.collect()
+    alone = first(spark, docs, "e")
+    second(spark, docs, "f")
+    assert first(spark, docs, "e").count() == alone.count() == 2
