@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import fusion, stats, stencil
+from rasterloom.operators import components, fusion, regions, stats, stencil
 from rasterloom.sources import synth
 
 RAW = ("scene_id", "y", "x", "b02", "b03", "b04", "b08", "vv_raw", "vh_raw")
@@ -59,3 +59,21 @@ def test_listed_percentiles_are_those_of_percentile(spark):
     df = spark.createDataFrame(rows, "scene_id long, v double")
     one, two = (sorted(stats.profile(df, ["v"], listed=k).collect()) for k in (False, True))
     assert one == two
+
+
+def test_labels_bring_the_pixels_columns_along(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, int(y), int(x), float(rng.random())) for s in range(2) for y, x in zip(*np.nonzero(rng.random((70, 9)) > 0.5))]
+    df = spark.createDataFrame(rows, "scene_id long, y int, x int, v double")
+    found = [sorted(components.labelled(df, k).select("scene_id", "y", "x", "v", "label").collect()) for k in (components.grouped, components.by_size, components.distributed)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+
+
+def test_pictures_and_regions_join_without_broadcasts(spark, sf):
+    p = fusion.prepared(synth.scenes(spark, sf).select(*RAW))
+    s = components.settled(fusion.scene_scalars(p))
+    m = fusion.masks(p, s)
+    assert "Broadcast" not in plan(fusion.composites(m))
+    found = fusion.features(m, s, components.grouped)
+    assert "Broadcast" not in plan(found)
+    assert "Broadcast" not in plan(regions.collected(s, found, F.struct("rank", "kind")))
