@@ -41,11 +41,12 @@ def difference(pairs: DataFrame) -> DataFrame:
 
 def thresholded(pairs: DataFrame, magnitudes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a detector returns, from the magnitude of every pixel that may have changed; others are unchanged."""
-    cut = stats.change_threshold(magnitudes, "magnitude").select("scene_id", F.greatest("threshold", F.lit(0.05)).alias("threshold"))
+    magnitudes = components.settled(magnitudes)  # read by the histogram and by the pixels
+    cut = components.settled(stats.change_threshold(magnitudes, "magnitude").select("scene_id", F.greatest("threshold", F.lit(0.05)).alias("threshold")))
     pixels = stats.with_scene(magnitudes, cut).withColumn("changed", F.col("magnitude") > F.col("threshold"))
     found = pixels.groupBy("scene_id").agg(F.first("threshold").alias("threshold"), F.sum(F.col("changed").cast("int")).alias("n_changed"))
     size = pairs.groupBy("scene_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    scenes = size.join(found, "scene_id", "left").withColumn("n_changed", F.coalesce("n_changed", F.lit(0))).withColumn("fraction", F.col("n_changed") / (F.col("h") * F.col("w")))
+    scenes = size.join(found.hint("shuffle_hash"), "scene_id", "left").withColumn("n_changed", F.coalesce("n_changed", F.lit(0))).withColumn("fraction", F.col("n_changed") / (F.col("h") * F.col("w")))
     return pixels.drop("threshold"), scenes
 
 
@@ -88,9 +89,8 @@ DETECTORS = {"lab": detect, "lab_tiles": detect_tiles}
 
 
 def find_regions(pixels: DataFrame, scenes: DataFrame, label=components.grouped) -> DataFrame:
-    mask = pixels.where("changed")
-    labels = label(mask.select("scene_id", "y", "x"))
-    return regions.change_regions(labels.join(mask.select("scene_id", "y", "x", "magnitude"), ["scene_id", "y", "x"]), scenes.select("scene_id", "h", "w"))
+    mask = pixels.where("changed").select("scene_id", "y", "x", "magnitude")
+    return regions.change_regions(components.labelled(mask, label), scenes.select("scene_id", "h", "w"))
 
 
 def analyse(pairs: DataFrame, query: str | DataFrame = "", detector: str = "lab", label=components.by_size) -> DataFrame:
@@ -98,7 +98,8 @@ def analyse(pairs: DataFrame, query: str | DataFrame = "", detector: str = "lab"
 
     ``query``: of all scenes, or (scene_id, query) of each.
     """
-    pixels, scenes = (components.settled(x) for x in DETECTORS[detector](pairs))
+    pixels, scenes = DETECTORS[detector](pairs)
+    scenes = components.settled(scenes)
     return told(scenes, find_regions(pixels, scenes, label), query)
 
 

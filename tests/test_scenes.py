@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import components, fusion, regions, stats, stencil
+from rasterloom.operators import change, components, fusion, regions, stats, stencil
 from rasterloom.sources import synth
 
 RAW = ("scene_id", "y", "x", "b02", "b03", "b04", "b08", "vv_raw", "vh_raw")
@@ -77,3 +77,10 @@ def test_pictures_and_regions_join_without_broadcasts(spark, sf):
     found = fusion.features(m, s, components.grouped)
     assert "Broadcast" not in plan(found)
     assert "Broadcast" not in plan(regions.collected(s, found, F.struct("rank", "kind")))
+
+
+def test_changed_regions_join_without_broadcasts(spark, sf):
+    pairs = synth.scenes(spark, sf).select("scene_id", "y", "x", *[F.col(c + k).alias(n + i) for k, i in (("", "0"), ("m", "1")) for c, n in (("b04", "r"), ("b03", "g"), ("b02", "b"))])
+    pixels, sizes = change.detect(pairs)
+    assert "Broadcast" not in plan(sizes)
+    assert "Broadcast" not in plan(change.find_regions(pixels, sizes, components.grouped))
